@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, simhash
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
+    "op7_simhash": simhash.query,
+    "op10_mixing": mixing.query,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
