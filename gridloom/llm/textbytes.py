@@ -90,12 +90,20 @@ class Texts:
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span's bytes; it depends on the bytes alone."""
-        powers, inverse = _power_tables(len(self.data) + 1)
-        prefix = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span; spans are in order and don't overlap.
+
+        Works through ``block`` bytes at once, so a text of any length takes bounded memory.
+        """
+        out = np.empty(len(starts), np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(self.data), block)), len(starts)))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            low, high = starts[i], ends[j - 1]
+            powers, inverse = _power_tables(high - low + 1)
+            prefix = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=prefix[1:])
+            out[i:j] = mix((prefix[ends[i:j] - low] - prefix[starts[i:j] - low]) * inverse[starts[i:j] - low])
+        return out
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +113,9 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     combined = np.zeros(n, np.uint64)
-    for k in range(width):
-        combined[: n - k] += mix(hashes[k:] + np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93)) if n > k else 0
+    steps = [np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64)) for k in range(width)]
+    for k in range(min(width, n)):
+        combined[: n - k] += mix(hashes[k:] + steps[k])
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - firsts[owner]
     whole = counts[owner] >= width
@@ -114,10 +123,7 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     short = np.flatnonzero((counts > 0) & (counts < width))
     for i in short:  # at most width - 1 words each
         a, b = firsts[i], firsts[i + 1]
-        total = np.uint64(b - a)
-        for k in range(b - a):
-            total = total + mix(hashes[a + k : a + k + 1] + np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93))[0]
-        combined[a] = total
+        combined[a] = np.sum([mix(hashes[a + k : a + k + 1] + steps[k])[0] for k in range(b - a)], dtype=np.uint64) + np.uint64(b - a)
         keep[a] = True
     return mix(combined[keep]), owner[keep]
 
