@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, simhash, token_scan
+from . import exact_dedup, minhash, mixing, packing, quality, simhash, token_scan
 
 QUERIES = {
     "op2_minhash": minhash.query,
     "op3_token_scan": token_scan.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_simhash": simhash.query,
+    "op8_quality": quality.query,
     "op9_packing": packing.query,
     "op10_mixing": mixing.query,
 }
