@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, quality, simhash, token_scan, toxicity
+from . import exact_dedup, minhash, mixing, packing, pii, quality, simhash, token_scan, toxicity
 
 QUERIES = {
     "op2_minhash": minhash.query,
     "op3_token_scan": token_scan.query,
+    "op4_pii": pii.query,
     "op5_toxicity": toxicity.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_simhash": simhash.query,
