@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, pii, quality, simhash, token_scan, toxicity
+from . import exact_dedup, minhash, mixing, packing, pii, quality, simhash, token_scan, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_minhash": minhash.query,
     "op3_token_scan": token_scan.query,
     "op4_pii": pii.query,
