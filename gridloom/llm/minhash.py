@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table, text_of
-from .textbytes import Texts, mix, shingles
+from .textbytes import Texts, chunks, mix, shingles
 
 WIDTH = 5
 BIN_BITS = 9
@@ -75,8 +75,6 @@ def likeness(a: np.ndarray, b: np.ndarray, has_a: np.ndarray, has_b: np.ndarray)
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint) for every row: BINS * KEPT_BITS / 8 bytes, or none for a text without words or null."""
-    from .textbytes import chunks
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):

@@ -250,3 +250,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = uses(mix, slim)
     rows = rows.join(F.broadcast(about), F.to_json("members") == F.col("of"))
     return rows.select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.size("used")).alias("taken"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix uses it."""
+    placed = docs.withColumn("__members", F.array(F.col(source).cast("string"))).withColumn("__place", line(SEED, doc_id, text))
+    slim = materialise(sized(placed.select(F.col(text).alias("text"), F.col("__members").alias("members"), F.col("__place").alias("place"))).drop("text"), "sizes")
+    if slim.isEmpty():
+        return docs
+    rows = uses(decide(slim), placed.withColumnRenamed("__members", "members").withColumnRenamed("__place", "place"))
+    return rows.withColumn("__use", F.explode("used")).select(*docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import connected
+from .textbytes import Texts, chunks, mix, shingles
 
 SEED = 42
 SEGMENTS = 16
@@ -128,3 +129,138 @@ def mark(prints: DataFrame, most: int = 2) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     prints = materialise(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     return mark(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicates by Jaccard similarity. Copies that share 0.8 of their shingles differ in 5 to 16
+# of 64 SimHash bits, where no segment need agree; buckets of MinHash bands find them, the
+# Hamming check prunes pairs in a bucket, and shingle sets decide.
+
+WIDTH, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 5
+BAND_BINS = 128
+#: Pairs at SIMILARITY lie near 10 bits; unrelated ones near 32.
+MOST_BITS = 24
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    texts = Texts(_LOWER[texts.data], texts.offsets)
+    starts, ends, firsts = texts.words()
+    return shingles(texts.hashes(starts, ends), firsts, WIDTH)
+
+
+def _bands(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A row of BANDS bucket keys for each text; of no use for texts without shingles."""
+    values = np.full(n * BAND_BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(values, owner * BAND_BINS + (hashes >> np.uint64(57)).astype(np.int64), hashes & np.uint64((1 << 57) - 1))
+    values = values.reshape(n, BAND_BINS)
+    empty = values == np.uint64(0xFFFFFFFFFFFFFFFF)
+    own, row, bin_, attempt = values.copy(), *np.nonzero(empty & ~empty.all(axis=1)[:, None]), 0
+    while len(row):
+        attempt += 1
+        drawn = mix(np.arange(BAND_BINS, dtype=np.uint64) * np.uint64(0x100000001B3) + np.uint64(attempt)) % np.uint64(BAND_BINS)
+        values[row, bin_] = own[row, drawn[bin_].astype(np.int64)]
+        left = empty[row, drawn[bin_].astype(np.int64)]
+        row, bin_ = row[left], bin_[left]
+    keys = np.zeros((n, BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(n, np.uint64(b + 1))
+        for r in range(ROWS):
+            key = mix(key + values[:, b * ROWS + r])
+        keys[:, b] = key
+    return keys
+
+
+def _votes(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of each text from its shingle hashes, sorted by text."""
+    out = np.zeros(n, np.int64)
+    cuts = np.searchsorted(owner, np.arange(n + 1))
+    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        ones = np.zeros(64, np.int64)
+        for at in range(a, b, BLOCK):
+            part = np.ascontiguousarray(hashes[at : min(b, at + BLOCK)])
+            ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(ones * 2 > b - a, bitorder="little").view(np.int64)[0]
+    return out
+
+
+def _node(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def _candidates(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket that pass the Hamming check.
+
+    Buckets of up to MOST_PAIRED compare their members. In larger ones each member meets
+    the smallest member of the bucket and of its parts by each byte of the SimHash, so
+    the pairs grow with the members.
+    """
+    rows = prints.select("node", "sim", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(rows.join(sizes, "key"), "bands")
+    few = met.where(F.col("n") <= MOST_PAIRED).groupBy("key").agg(F.collect_list(F.struct("node", "sim")).alias("all"))
+    close = f"transform(all, x -> named_struct('a', x.node, 'bs', transform(filter(all, y -> y.node > x.node and bit_count(x.sim ^ y.sim) <= {MOST_BITS}), y -> y.node)))"
+    few = few.select(F.inline(F.expr(close))).where("size(bs) > 0").select("a", F.explode("bs").alias("b"))
+    parts = F.array(F.xxhash64("key"), *[F.xxhash64("key", F.lit(i), F.shiftrightunsigned("sim", 8 * i).bitwiseAND(F.lit(255))) for i in range(8)])
+    many = met.where(F.col("n") > MOST_PAIRED).select("node", "sim", F.explode(parts).alias("part"))
+    leads = many.groupBy("part").agg(F.min(F.struct("node", "sim")).alias("lead"))
+    many = many.join(leads, "part").where((F.col("node") != F.col("lead.node")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead.sim"))) <= MOST_BITS))
+    return few.unionByName(many.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, doc_id, component_id): the documents of groups of two or more whose links reach each other.
+
+    A link is a pair whose sets of five-word shingles, A-Z in lower case, have a Jaccard
+    similarity of SIMILARITY or more. component_id is the smallest doc_id of the group. node is a hash
+    of doc_id and text; texts without words have no links.
+    """
+    base = docs.select(_node(doc_id, text).alias("node"), F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                n = part.num_rows
+                hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
+                some = np.bincount(owner, minlength=n) > 0
+                keys = _bands(hashes, owner, n).view(np.int64)
+                out = pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.array(_votes(hashes, owner, n)), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "doc_id", "sim", "keys"])
+                yield out.filter(pa.array(some))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
+                cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) else 0
+                alike.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
+
+    prints = materialise(base.mapInArrow(sketch, "node bigint, doc_id bigint, sim bigint, keys array<bigint>"), "sketches")
+    pairs = materialise(_candidates(prints), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = base.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(sets, "node bigint, shingles binary")
+    found = materialise(found.dropDuplicates(["node"]), "shingles")
+    joined = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    links_ = joined.mapInArrow(verify, "a bigint, b bigint")
+    roots = connected(links_)
+    named = materialise(roots.join(prints.select("node", "doc_id"), "node"), "named")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("node", "doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns, less those whose group has a smaller doc_id."""
+    losers = near_duplicates(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("node")
+    return docs.withColumn("__node", _node(doc_id, text)).join(losers.withColumnRenamed("node", "__node"), "__node", "left_anti").drop("__node")
