@@ -1,0 +1 @@
+"""Reserved for streamed fields: the engine's operators are batch plans, and none of them needs a stream."""
