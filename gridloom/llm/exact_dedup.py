@@ -93,11 +93,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     The other columns ride along in the aggregate, so no join follows it.
     """
-    base = docs.withColumn("digest", sha256(text_of(text)))
     rest = [F.col(c) for c in docs.columns if c not in (doc_id, text)]
     row = F.struct(F.col(doc_id).alias("doc_id"), F.col(text).isNotNull().alias("has_text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
-    rows = base.select(F.col(doc_id).alias("salt_id"), "digest", text_of(text).alias("text"), row.alias("row"))
-    kept = _combine(rows, _hot(base.select("digest")), "salt_id")
+    rows = docs.select(F.col(doc_id).alias("salt_id"), sha256(text_of(text)).alias("digest"), text_of(text).alias("text"), row.alias("row"))
+    kept = _combine(rows, _hot(rows.select("digest")), "salt_id")
     columns = {doc_id: F.col("row.doc_id"), text: F.when(F.col("row.has_text"), F.col("text"))}
     return kept.select(*[columns.get(c, F.col(f"row.rest.{c}")).alias(c) for c in docs.columns])
 

@@ -254,9 +254,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix uses it."""
-    placed = docs.withColumn("__members", F.array(F.col(source).cast("string"))).withColumn("__place", line(SEED, doc_id, text))
-    slim = materialise(sized(placed.select(F.col(text).alias("text"), F.col("__members").alias("members"), F.col("__place").alias("place"))).drop("text"), "sizes")
+    placed = docs.select(F.struct(*docs.columns).alias("doc"), F.array(F.col(source).cast("string")).alias("members"), line(SEED, doc_id, text).alias("place"))
+    slim = materialise(sized(placed.select(F.col(f"doc.{text}").alias("text"), "members", "place")).drop("text"), "sizes")
     if slim.isEmpty():
         return docs
-    rows = uses(decide(slim), placed.withColumnRenamed("__members", "members").withColumnRenamed("__place", "place"))
-    return rows.withColumn("__use", F.explode("used")).select(*docs.columns)
+    return uses(decide(slim), placed).select("doc", F.explode("used")).select("doc.*")
