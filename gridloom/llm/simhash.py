@@ -136,8 +136,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 # Hamming check prunes pairs in a bucket, and shingle sets decide.
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 20, 5
+#: Members of a bucket of bands that are compared with each other.
+MOST_MET = 256
 BAND_BINS = 128
+#: Pairs whose sketches estimate a similarity this far below SIMILARITY, four standard deviations, are dropped unseen.
+SLACK = 0.15
+#: Bits of the filter that spares rows of no interest a shuffle: a bitmap of 8 MB, whatever the input.
+FILTER_BITS = 26
 #: Pairs at SIMILARITY lie near 10 bits; unrelated ones near 32.
 MOST_BITS = 24
 
@@ -152,8 +158,8 @@ def _shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return shingles(texts.hashes(starts, ends), firsts, WIDTH)
 
 
-def _bands(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """A row of BANDS bucket keys for each text; of no use for texts without shingles."""
+def _bands(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a row of BANDS bucket keys, and four bits of each bin, two bins a byte; of no use for texts without shingles."""
     values = np.full(n * BAND_BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
     np.minimum.at(values, owner * BAND_BINS + (hashes >> np.uint64(57)).astype(np.int64), hashes & np.uint64((1 << 57) - 1))
     values = values.reshape(n, BAND_BINS)
@@ -171,7 +177,8 @@ def _bands(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         for r in range(ROWS):
             key = mix(key + values[:, b * ROWS + r])
         keys[:, b] = key
-    return keys
+    low = (mix(values ^ (np.arange(BAND_BINS, dtype=np.uint64) << np.uint64(57))) & np.uint64(15)).astype(np.uint8)
+    return keys, (low[:, 0::2] << 4) | low[:, 1::2]
 
 
 def _votes(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -194,23 +201,42 @@ def _node(doc_id: str, text: str) -> Column:
 def _candidates(prints: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of a bucket that pass the Hamming check.
 
-    Buckets of up to MOST_PAIRED compare their members. In larger ones each member meets
-    the smallest member of the bucket and of its parts by each byte of the SimHash, so
+    Buckets of up to MOST_MET compare their members. In larger ones each member meets
+    the smallest member of the bucket and of its parts by each of the next three bands, so
     the pairs grow with the members.
     """
     rows = prints.select("node", "sim", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(rows.join(sizes, "key"), "bands")
-    few = met.where(F.col("n") <= MOST_PAIRED).groupBy("key").agg(F.collect_list(F.struct("node", "sim")).alias("all"))
+    few = met.where(F.col("n") <= MOST_MET).groupBy("key").agg(F.collect_list(F.struct("node", "sim")).alias("all"))
     close = f"transform(all, x -> named_struct('a', x.node, 'bs', transform(filter(all, y -> y.node > x.node and bit_count(x.sim ^ y.sim) <= {MOST_BITS}), y -> y.node)))"
     few = few.select(F.inline(F.expr(close))).where("size(bs) > 0").select("a", F.explode("bs").alias("b"))
-    parts = F.array(F.xxhash64("key"), *[F.xxhash64("key", F.lit(i), F.shiftrightunsigned("sim", 8 * i).bitwiseAND(F.lit(255))) for i in range(8)])
-    many = met.where(F.col("n") > MOST_PAIRED).select("node", "sim", F.explode(parts).alias("part"))
+    # A part holds those members that also share one of the next bands, so its smallest is like to be near.
+    many = met.where(F.col("n") > MOST_MET).join(prints.select("node", "keys"), "node")
+    at = F.array_position("keys", F.col("key"))
+    parts = F.array(F.xxhash64("key"), *[F.xxhash64("key", F.get("keys", F.pmod(at - 1 + step, F.lit(BANDS)).cast("int"))) for step in (1, 2, 3)])
+    many = many.select("node", "sim", F.explode(parts).alias("part"))
     leads = many.groupBy("part").agg(F.min(F.struct("node", "sim")).alias("lead"))
     many = many.join(leads, "part").where((F.col("node") != F.col("lead.node")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead.sim"))) <= MOST_BITS))
     return few.unionByName(many.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).distinct()
 
 
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of the low FILTER_BITS bits of a column ``node``; it is made by an aggregate of at most 2 ** (FILTER_BITS - 6) rows."""
+    low = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = nodes.select(F.shiftrightunsigned(low, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out
+
+
+def _hits(bitmap: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Whether nodes may be in a bitmap's table; those that are always hit."""
+    low = node & ((1 << FILTER_BITS) - 1)
+    return (bitmap[low >> 6] >> (low & 63)) & 1 == 1
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, doc_id, component_id): the documents of groups of two or more whose links reach each other.
 
@@ -226,12 +252,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 n = part.num_rows
                 hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
                 some = np.bincount(owner, minlength=n) > 0
-                keys = _bands(hashes, owner, n).view(np.int64)
-                out = pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.array(_votes(hashes, owner, n)), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "doc_id", "sim", "keys"])
+                keys, low = _bands(hashes, owner, n)
+                columns = [part.column("node"), part.column("doc_id"), pa.array(_votes(hashes, owner, n)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
+                out = pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "sim", "keys", "low"])
                 yield out.filter(pa.array(some))
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BAND_BINS // 2) for c in ("x", "y"))
+            differ = x ^ y
+            alike = ((differ & 15) == 0).mean(axis=1) / 2 + ((differ >> 4) == 0).mean(axis=1) / 2
+            yield batch.filter(pa.array((alike - 1 / 16) / (1 - 1 / 16) >= SIMILARITY - SLACK)).select(["a", "b"])
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_hits(wanted.value, batch.column("node").to_numpy())))
             for part in chunks(batch, "text"):
                 hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -247,10 +282,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 alike.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
 
-    prints = materialise(base.mapInArrow(sketch, "node bigint, doc_id bigint, sim bigint, keys array<bigint>"), "sketches")
-    pairs = materialise(_candidates(prints), "pairs")
+    prints = materialise(base.mapInArrow(sketch, "node bigint, doc_id bigint, sim bigint, keys array<bigint>, low binary"), "sketches")
+    low = prints.select("node", "low")
+    met = _candidates(prints).join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+    pairs = materialise(met.mapInArrow(likely, "a bigint, b bigint"), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = base.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(sets, "node bigint, shingles binary")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    # Only texts that the bitmap hits are shingled and shuffled.
+    found = base.select("node", "text").mapInArrow(sets, "node bigint, shingles binary").join(nodes, "node", "left_semi")
     found = materialise(found.dropDuplicates(["node"]), "shingles")
     joined = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links_ = joined.mapInArrow(verify, "a bigint, b bigint")
@@ -261,6 +300,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns, less those whose group has a smaller doc_id."""
-    losers = near_duplicates(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("node")
-    return docs.withColumn("__node", _node(doc_id, text)).join(losers.withColumnRenamed("node", "__node"), "__node", "left_anti").drop("__node")
+    """The rows of ``docs`` with all their columns, less those whose group has a smaller doc_id.
+
+    Rows that the losers' bitmap doesn't hit stay without a shuffle; the few it hits are joined with the losers.
+    """
+    losers = near_duplicates(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("node").alias("__node"))
+    losers = materialise(losers.distinct(), "losers")
+    gone = docs.sparkSession.sparkContext.broadcast(_bitmap(losers.select(F.col("__node").alias("node"))))
+
+    def rows(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_hits(gone.value, batch.column("__node").to_numpy()) == hit))
+
+        return run
+
+    keyed = docs.withColumn("__node", _node(doc_id, text))
+    clear, doubtful = (keyed.mapInArrow(rows(hit), keyed.schema) for hit in (False, True))
+    return clear.unionByName(doubtful.join(losers, "__node", "left_anti")).drop("__node")
