@@ -16,7 +16,9 @@ import numpy as np
 from .textbytes import Texts
 
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 500_000
+#: Words that go through the tokenizer together.
+AT_ONCE = 4096
 
 
 def default_path() -> str:
@@ -60,8 +62,11 @@ class Encoder:
 
     def _learn(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, one: np.ndarray) -> None:
         data = texts.data
-        words = [data[a:b].tobytes().decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        spans = list(zip(starts[one].tolist(), ends[one].tolist(), strict=True))
+        found = []
+        for n in range(0, len(spans), AT_ONCE):  # a word's encoding takes a hundred times its ids' memory
+            words = [data[a:b].tobytes().decode() for a, b in spans[n : n + AT_ONCE]]
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))
         while self.used + len(flat) > len(self.ids):
