@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -231,10 +232,16 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _hits(bitmap: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Whether nodes may be in a bitmap's table; those that are always hit."""
-    low = node & ((1 << FILTER_BITS) - 1)
-    return (bitmap[low >> 6] >> (low & 63)) & 1 == 1
+def _may_be_in(nodes: DataFrame):
+    """A function of a column of nodes: true for those of the table, and for few others. Only that column visits Python."""
+    bitmap = nodes.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+
+    @F.pandas_udf("boolean")
+    def hit(node: pd.Series) -> pd.Series:
+        low = node.to_numpy() & ((1 << FILTER_BITS) - 1)
+        return pd.Series((bitmap.value[low >> 6] >> (low & 63)) & 1 == 1)
+
+    return hit
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,7 +273,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_hits(wanted.value, batch.column("node").to_numpy())))
             for part in chunks(batch, "text"):
                 hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -287,9 +293,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = _candidates(prints).join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
     pairs = materialise(met.mapInArrow(likely, "a bigint, b bigint"), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
     # Only texts that the bitmap hits are shingled and shuffled.
-    found = base.select("node", "text").mapInArrow(sets, "node bigint, shingles binary").join(nodes, "node", "left_semi")
+    found = base.select("node", "text").where(_may_be_in(nodes)(F.col("node"))).mapInArrow(sets, "node bigint, shingles binary").join(nodes, "node", "left_semi")
     found = materialise(found.dropDuplicates(["node"]), "shingles")
     joined = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links_ = joined.mapInArrow(verify, "a bigint, b bigint")
@@ -306,15 +311,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     losers = near_duplicates(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("node").alias("__node"))
     losers = materialise(losers.distinct(), "losers")
-    gone = docs.sparkSession.sparkContext.broadcast(_bitmap(losers.select(F.col("__node").alias("node"))))
-
-    def rows(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_hits(gone.value, batch.column("__node").to_numpy()) == hit))
-
-        return run
-
+    gone = _may_be_in(losers.select(F.col("__node").alias("node")))
     keyed = docs.withColumn("__node", _node(doc_id, text))
-    clear, doubtful = (keyed.mapInArrow(rows(hit), keyed.schema) for hit in (False, True))
+    clear, doubtful = keyed.where(~gone(F.col("__node"))), keyed.where(gone(F.col("__node")))
     return clear.unionByName(doubtful.join(losers, "__node", "left_anti")).drop("__node")
