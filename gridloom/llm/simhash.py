@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -134,12 +135,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 # Near-duplicates by Jaccard similarity. Copies that share 0.8 of their shingles differ in 5 to 16
 # of 64 SimHash bits, where no segment need agree; buckets of MinHash bands find them, the
-# Hamming check prunes pairs in a bucket, and shingle sets decide.
+# Hamming check prunes pairs in a bucket, and shingle sets decide. Members of large buckets
+# are compared by the rarest of their shingles instead, which finds every link among them.
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Members of a bucket of bands that are compared with each other.
-MOST_MET = 256
+#: Members of a bucket of bands that are compared with each other; those of larger ones meet by their rarest shingles.
+MOST_MET = 16
 BAND_BINS = 128
 #: Pairs whose sketches estimate a similarity this far below SIMILARITY, four standard deviations, are dropped unseen.
 SLACK = 0.15
@@ -199,27 +201,68 @@ def _node(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket that pass the Hamming check.
-
-    Buckets of up to MOST_MET compare their members. In larger ones each member meets
-    the smallest member of the bucket and of its parts by each of the next three bands, so
-    the pairs grow with the members.
-    """
-    rows = prints.select("node", "sim", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(rows.join(sizes, "key"), "bands")
+def _close(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket of up to MOST_MET members that pass the Hamming check."""
     few = met.where(F.col("n") <= MOST_MET).groupBy("key").agg(F.collect_list(F.struct("node", "sim")).alias("all"))
     close = f"transform(all, x -> named_struct('a', x.node, 'bs', transform(filter(all, y -> y.node > x.node and bit_count(x.sim ^ y.sim) <= {MOST_BITS}), y -> y.node)))"
-    few = few.select(F.inline(F.expr(close))).where("size(bs) > 0").select("a", F.explode("bs").alias("b"))
-    # A part holds those members that also share one of the next bands, so its smallest is like to be near.
-    many = met.where(F.col("n") > MOST_MET).join(prints.select("node", "keys"), "node")
-    at = F.array_position("keys", F.col("key"))
-    parts = F.array(F.xxhash64("key"), *[F.xxhash64("key", F.get("keys", F.pmod(at - 1 + step, F.lit(BANDS)).cast("int"))) for step in (1, 2, 3)])
-    many = many.select("node", "sim", F.explode(parts).alias("part"))
-    leads = many.groupBy("part").agg(F.min(F.struct("node", "sim")).alias("lead"))
-    many = many.join(leads, "part").where((F.col("node") != F.col("lead.node")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("lead.sim"))) <= MOST_BITS))
-    return few.unionByName(many.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).distinct()
+    return few.select(F.inline(F.expr(close))).where("size(bs) > 0").select("a", F.explode("bs").alias("b")).distinct()
+
+
+def _rarest(shingles_: DataFrame) -> DataFrame:
+    """(token, node, size, place): of each set, put in order of how many sets hold a shingle, those first places that decide.
+
+    Two sets of SIMILARITY or more share one of their first size - ceil(SIMILARITY * size) + 1. Shingles of one set alone count as
+    places but meet nothing. A copy whose own changes fill these places has no row left, so a large
+    group of loose copies is not compared within itself.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "shingles", 1 << 20):
+                sizes = pc.binary_length(part.column("shingles")).to_numpy() // 8
+                nodes = np.repeat(part.column("node").to_numpy(), sizes)
+                tokens = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(tokens)], ["node", "size", "token"])
+
+    tokens = shingles_.mapInArrow(unpack, "node bigint, size int, token bigint")
+    holders = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
+    order = Window.partitionBy("node").orderBy("holders", "token")
+    placed = tokens.join(holders, "token").withColumn("place", F.row_number().over(order) - 1)
+    first = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    return placed.where((F.col("place") < first) & (F.col("holders") > 1)).select("token", "node", "size", "place")
+
+
+def _within_reach(x: str, y: str) -> Column:
+    """Whether two sets that share a shingle can still reach SIMILARITY: at the first they share, all that they share comes from there on."""
+    left = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
+    return left * (1 + SIMILARITY) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * SIMILARITY - 1e-9
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+
+
+def _hub_pairs(rarest: DataFrame) -> DataFrame:
+    """(a, b): of each shingle the member that has it at the first place, like to be what the others were copied from, with the others."""
+    hubs = rarest.groupBy("token").agg(F.min(F.struct("place", "node", "size")).alias("hub")).select("token", "hub.*")
+    met = rarest.alias("x").join(hubs.alias("y"), "token").where((F.col("x.node") != F.col("y.node")) & _within_reach("x", "y"))
+    return met.select(_ordered("x", "y")).distinct()
+
+
+def _open_pairs(rarest: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all pairs that share a shingle of ``rarest``, may reach SIMILARITY and have different roots so far.
+
+    Those of a shingle's most frequent root meet the others only, never each other.
+    """
+    known = rarest.join(roots, "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    known = materialise(known, "known")
+    by_root = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = by_root.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    open_ = materialise(known.join(most.select("token", F.col("most.root").alias("most")), "token"), "open")
+    rest = open_.where("root <> most")
+    new = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
+    met = rest.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & new & _within_reach("x", "y"))
+    return met.select(_ordered("x", "y")).distinct()
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
@@ -247,7 +290,7 @@ def _may_be_in(nodes: DataFrame):
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, doc_id, component_id): the documents of groups of two or more whose links reach each other.
 
-    A link is a pair whose sets of five-word shingles, A-Z in lower case, have a Jaccard
+    A link is a pair that meets in a bucket of bands and whose sets of five-word shingles, A-Z in lower case, have a Jaccard
     similarity of SIMILARITY or more. component_id is the smallest doc_id of the group. node is a hash
     of doc_id and text; texts without words have no links.
     """
@@ -290,15 +333,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     prints = materialise(base.mapInArrow(sketch, "node bigint, doc_id bigint, sim bigint, keys array<bigint>, low binary"), "sketches")
     low = prints.select("node", "low")
-    met = _candidates(prints).join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
-    pairs = materialise(met.mapInArrow(likely, "a bigint, b bigint"), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = prints.select("node", "sim", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(rows.join(sizes, "key"), "bands")
+    many = met.where(F.col("n") > MOST_MET).select("node").distinct()
+    close = _close(met).join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
+    pairs = materialise(close.mapInArrow(likely, "a bigint, b bigint"), "pairs")
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many).distinct(), "nodes")
     # Only texts that the bitmap hits are shingled and shuffled.
     found = base.select("node", "text").where(_may_be_in(nodes)(F.col("node"))).mapInArrow(sets, "node bigint, shingles binary").join(nodes, "node", "left_semi")
     found = materialise(found.dropDuplicates(["node"]), "shingles")
-    joined = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    links_ = joined.mapInArrow(verify, "a bigint, b bigint")
-    roots = connected(links_)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        return joined.mapInArrow(verify, "a bigint, b bigint")
+
+    rarest = materialise(_rarest(found.join(many, "node", "left_semi")), "rarest")
+    roots = materialise(connected(linked(pairs.unionByName(_hub_pairs(rarest)).distinct())), "roots")
+    roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(_open_pairs(rarest, roots))))
     named = materialise(roots.join(prints.select("node", "doc_id"), "node"), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("node", "doc_id", "component_id")
