@@ -134,9 +134,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 # Near-duplicates by Jaccard similarity. Copies that share 0.8 of their shingles differ in 5 to 16
-# of 64 SimHash bits, where no segment need agree; buckets of MinHash bands find them, the
-# Hamming check prunes pairs in a bucket, and shingle sets decide. Members of large buckets
-# are compared by the rarest of their shingles instead, which finds every link among them.
+# of 64 SimHash bits, where no segment need agree, and a repeated line moves the SimHash at will;
+# buckets of MinHash bands find them, sketches prune pairs in a bucket, and shingle sets decide.
+# Members of large buckets are compared by the rarest of their shingles instead, which finds every link among them.
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -147,8 +147,6 @@ BAND_BINS = 128
 SLACK = 0.15
 #: Bits of the filter that spares rows of no interest a shuffle: a bitmap of 8 MB, whatever the input.
 FILTER_BITS = 26
-#: Pairs at SIMILARITY lie near 10 bits; unrelated ones near 32.
-MOST_BITS = 24
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -184,28 +182,15 @@ def _bands(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     return keys, (low[:, 0::2] << 4) | low[:, 1::2]
 
 
-def _votes(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of each text from its shingle hashes, sorted by text."""
-    out = np.zeros(n, np.int64)
-    cuts = np.searchsorted(owner, np.arange(n + 1))
-    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        ones = np.zeros(64, np.int64)
-        for at in range(a, b, BLOCK):
-            part = np.ascontiguousarray(hashes[at : min(b, at + BLOCK)])
-            ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(ones * 2 > b - a, bitorder="little").view(np.int64)[0]
-    return out
-
-
 def _node(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
 def _close(met: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket of up to MOST_MET members that pass the Hamming check."""
-    few = met.where(F.col("n") <= MOST_MET).groupBy("key").agg(F.collect_list(F.struct("node", "sim")).alias("all"))
-    close = f"transform(all, x -> named_struct('a', x.node, 'bs', transform(filter(all, y -> y.node > x.node and bit_count(x.sim ^ y.sim) <= {MOST_BITS}), y -> y.node)))"
-    return few.select(F.inline(F.expr(close))).where("size(bs) > 0").select("a", F.explode("bs").alias("b")).distinct()
+    """(a, b), a < b: all pairs of a bucket of up to MOST_MET members."""
+    few = met.where(F.col("n") <= MOST_MET).groupBy("key").agg(F.collect_list("node").alias("all"))
+    pairs = "transform(all, x -> named_struct('a', x, 'bs', filter(all, y -> y > x)))"
+    return few.select(F.inline(F.expr(pairs))).where("size(bs) > 0").select("a", F.explode("bs").alias("b")).distinct()
 
 
 def _rarest(shingles_: DataFrame) -> DataFrame:
@@ -303,8 +288,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
                 some = np.bincount(owner, minlength=n) > 0
                 keys, low = _bands(hashes, owner, n)
-                columns = [part.column("node"), part.column("doc_id"), pa.array(_votes(hashes, owner, n)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
-                out = pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "sim", "keys", "low"])
+                columns = [part.column("node"), part.column("doc_id"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
+                out = pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "keys", "low"])
                 yield out.filter(pa.array(some))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +316,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 alike.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
 
-    prints = materialise(base.mapInArrow(sketch, "node bigint, doc_id bigint, sim bigint, keys array<bigint>, low binary"), "sketches")
+    prints = materialise(base.mapInArrow(sketch, "node bigint, doc_id bigint, keys array<bigint>, low binary"), "sketches")
     low = prints.select("node", "low")
-    rows = prints.select("node", "sim", F.explode("keys").alias("key"))
+    rows = prints.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(rows.join(sizes, "key"), "bands")
     many = met.where(F.col("n") > MOST_MET).select("node").distinct()

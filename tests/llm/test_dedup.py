@@ -183,6 +183,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, paired):
     assert kept == {i for i, _ in rows if find(i) == i}
 
 
+@pytest.mark.parametrize("repeats", [10, 50])
+def test_near_copies_with_a_repeated_line_are_linked(spark, repeats):
+    rng = np.random.default_rng(1)
+    rows = []
+    for group in range(40):
+        base = " ".join(f"g{group}w{n}" for n in rng.integers(0, 10_000, 200).tolist())
+        line = " ".join(f"g{group}line{n}" for n in range(10))
+        rows += [(group * 2, base), (group * 2 + 1, base + f" {line}" * repeats)]
+    assert min(jaccard(rows[n][1], rows[n + 1][1]) for n in range(0, len(rows), 2)) > 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(0, 80, 2))
+
+
 def test_near_duplicate_stage_keeps_odd_rows(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
