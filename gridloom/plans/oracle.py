@@ -274,3 +274,30 @@ SQL["stress_tensor"] = f"""WITH {LAT}, {_STATE}, q AS (SELECT *, (d0 * d0 + d1 *
   SELECT i, j, k, round(d0 * d0 + d1 * d1 - 2.25 * lag + 3.7e-9, 7) + 0.0 AS t00, round(d0 * f0 + d1 * f1 + 3.7e-9, 7) + 0.0 AS t01, round(4 * (f0 * f0 + f1 * f1) + 2.25 * lag + 3.7e-9, 7) + 0.0 AS t22,
   round(2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS s12, round(0.5 - 0.6 * 0.25 + 16 * pi() * 2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS h12 FROM q"""
 SQL["output_append"] = f"WITH {LAT} SELECT t::BIGINT AS t, round(avg(g + t), 9) AS mean FROM lat, range(2) r(t) GROUP BY t"
+
+# --- whole tables: the statements above over all events
+
+#: A cell for each event, in a line.
+ALL = """
+size AS (SELECT max(event_id) + 1 AS n FROM events),
+lat AS (SELECT CAST(event_id AS INT) AS i, 0 AS j, 0 AS k, CAST(round(value * 100) AS BIGINT) AS f, CAST(json_extract_string(props, '$.k') AS INT) AS g, n FROM events, size)"""
+#: The smallest even lattice, its longest side at most five times the shortest, that holds all events; other cells are 0.
+EVEN = """
+least AS (SELECT (max(event_id) + 8) // 8 AS m, CAST(ceil(cbrt((max(event_id) + 8) // 8)) AS BIGINT) AS s FROM events),
+tried AS (SELECT unnest(range(m, m + s * s + 1)) AS m, s FROM least), first AS (SELECT m, s, unnest(range(1, s + 1)) AS a FROM tried),
+second AS (SELECT m, a, unnest(range(a, 5 * a + 1)) AS b FROM first WHERE m % a = 0),
+size AS (SELECT CAST(2 * a AS INT) AS ni, CAST(2 * b AS INT) AS nj, CAST(2 * (m // (a * b)) AS INT) AS nk FROM second
+  WHERE m % (a * b) = 0 AND b <= m // (a * b) AND m // (a * b) <= 5 * a ORDER BY m, m // (a * b) - a, a DESC, b LIMIT 1),
+lat AS (
+  SELECT CAST(c // (nj * nk) AS INT) AS i, CAST(c // nk % nj AS INT) AS j, CAST(c % nk AS INT) AS k,
+         coalesce(CAST(round(value * 100) AS BIGINT), 0) AS f, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS g, ni, nj, nk
+  FROM (SELECT unnest(range(ni::BIGINT * nj * nk)) AS c, ni, nj, nk FROM size) LEFT JOIN events ON event_id = c)"""
+for _name in [n for n in SQL if n.startswith(("map_", "step_", "hist_", "reduce_", "scalar_")) or n in ("potential_diff", "expr_rewrite", "field_stats", "rho_and_p", "stress_tensor", "output_append")]:
+    if LAT in SQL[_name] and _name != "reduce_prod":
+        SQL[f"{_name}_all"] = SQL[_name].replace(LAT, ALL)
+for _name in ("laplacian_h1", "lap_summary", "streaming_stencil", "divergence", "gradlap", *[f"grad_h{h}" for h in (1, 2, 3, 4)], *[f"lap_h{h}" for h in (2, 3, 4)], "halo_remove", "gather_roundtrip", "inject", "full_weighting",
+              "restrict_correct", "jacobi_sweep", "residual_norms", "lhs_correction", "idft_roundtrip", "poisson"):
+    _text = SQL[_name].replace(LAT, EVEN)
+    for _a in "ijk":
+        _text = _text.replace(f"(c.{_a} + t.d{_a} + c.n) % c.n", f"(c.{_a} + t.d{_a} + c.n{_a}) % c.n{_a}")
+    SQL[f"{_name}_all"] = _text

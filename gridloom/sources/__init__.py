@@ -2,6 +2,6 @@
 
 from .output import OutputFile, get_versions
 from .session import make_session, quiet
-from .tables import embedding_lattice, event_lattice
+from .tables import all_events, embedding_lattice, event_lattice, whole_event_lattice
 
-__all__ = ["OutputFile", "embedding_lattice", "event_lattice", "get_versions", "make_session", "quiet"]
+__all__ = ["OutputFile", "all_events", "embedding_lattice", "event_lattice", "get_versions", "make_session", "quiet", "whole_event_lattice"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,51 @@ def event_lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = next(n for n in (32, 16, 8) if n == 8 or events.count() >= n**3)
     lattice = Lattice((n, n, n))
+    return _fields(events, lattice), lattice
+
+
+def _fields(events: DataFrame, lattice: Lattice) -> DataFrame:
     cells = from_ids(events.select("event_id", "value", "props"), "event_id", lattice)
     f = F.round(F.col("value") * 100).cast("bigint").alias("f")
     g = F.get_json_object("props", "$.k").cast("int").alias("g")
-    return cells.select(*lattice.axes, f, g), lattice
+    return cells.select(*lattice.axes, f, g)
+
+
+def even_shape(n: int) -> tuple[int, int, int]:
+    """Even sides, the longest at most five times the shortest, of the smallest lattice that holds n cells; of several the one nearest to a cube."""
+    eighths = max(1, -(-n // 8))
+    while True:
+        found = []
+        for a in range(1, round(eighths ** (1 / 3)) + 2):
+            if eighths % a == 0:
+                rest = eighths // a
+                found += [(rest // b - a, -a, b) for b in range(a, math.isqrt(rest) + 1) if rest % b == 0 and rest // b <= 5 * a]
+        if found:
+            _, a, b = min(found)
+            return 2 * -a, 2 * b, 2 * (eighths // -a // b)
+        eighths += 1
+
+
+def _ids(events: DataFrame) -> int:
+    return (events.agg(F.max("event_id")).first()[0] or 0) + 1
+
+
+def all_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]:
+    """All events as a line of cells, for what needs no neighbours: i is event_id, j and k are 0."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lattice = Lattice((_ids(events), 1, 1))
+    return _fields(events, lattice), lattice
+
+
+def whole_event_lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]:
+    """All events in order as a lattice of ``even_shape``; cells beyond or between the events hold 0."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lattice = Lattice(even_shape(_ids(events)))
+    cells = _fields(events, lattice)
+    if events.count() < lattice.cells:
+        zeros = lattice.grid(spark).join(cells.select(*lattice.axes), [*lattice.axes], "left_anti")
+        cells = cells.unionByName(zeros.withColumns({"f": F.lit(0).cast("bigint"), "g": F.lit(0)}))
+    return cells, lattice
 
 
 def embedding_lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]:
