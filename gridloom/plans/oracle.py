@@ -301,3 +301,5 @@ for _name in ("laplacian_h1", "lap_summary", "streaming_stencil", "divergence",
     for _a in "ijk":
         _text = _text.replace(f"(c.{_a} + t.d{_a} + c.n) % c.n", f"(c.{_a} + t.d{_a} + c.n{_a}) % c.n{_a}")
     SQL[f"{_name}_all"] = _text
+SQL["reduce_prod_all"] = f"""WITH {EVEN}, p AS (SELECT i, j, product(1 + g / 100.0::DOUBLE) AS v FROM lat GROUP BY i, j)
+  SELECT i, j, round(v / pow(10.0, floor(log10(v))), 8) AS p_0 FROM p"""

@@ -700,4 +700,30 @@ for _names, _events in ((BY_CELL, all_events), (BY_LATTICE, whole_event_lattice)
     for _name in _names:
         QUERIES[f"{_name}_all"] = _over(QUERIES[_name], _events)
 
+
+@query("reduce_prod_all")
+def reduce_prod_all(spark, sf_dir):
+    """A product for each line of cells along k: one over all cells would leave the range of doubles."""
+    df, lattice = whole_event_lattice(spark, sf_dir)
+    lines = Lattice((1, 1, lattice.shape[2]), outer=("i", "j"))
+    return Reduction(lines, {"p": [(1 + g / 100, "prod")]}).frame(df).select("i", "j", _mantissa("p_0"))
+
+
+@query("zero_corner_all")
+def zero_corner_all(spark, sf_dir):
+    """All modes; only those at 0 or n / 2 on every axis are 0."""
+    df, lattice = whole_event_lattice(spark, sf_dir)
+    fft = DFT(lattice)
+    return fft.zero_corner_modes(fft.dft(df, "f"), "f").select("kx", "ky", "kz", _r("f_re", 0), _r("f_im", 0))
+
+
+@query("decompose_vector_all")
+def decompose_vector_all(spark, sf_dir):
+    """The parts of all modes; 0 where every effective momentum is 0, as at k = 0."""
+    df, lattice = _vector(spark, sf_dir, whole_event_lattice)
+    fft = DFT(lattice)
+    parts = Projector(fft, 1).decompose_vector(fft.dft(df, *VECTOR), VECTOR)
+    return parts.select("kx", "ky", "kz", *[_r(f"{v}_{p}", 2) for v in ("plus", "minus", "lng") for p in ("re", "im")])
+
+
 __all__ = ["QUERIES"]

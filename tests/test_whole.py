@@ -43,3 +43,42 @@ def test_modes_of_all_events(spark, sf_dir, events):
 def test_statistics_of_all_events(spark, sf_dir, events):
     assert QUERIES["field_stats_all"](spark, sf_dir).first().mean == pytest.approx(events["f"].mean(), abs=1e-5)
     assert sum(r.linear for r in QUERIES["hist_linear_all"](spark, sf_dir).collect()) == len(events["f"])
+
+
+def test_products_cover_every_line(spark, sf_dir, events):
+    wanted = (1 + events["g"].astype(float) / 100).reshape(10, 10, 10).prod(axis=2)
+    rows = QUERIES["reduce_prod_all"](spark, sf_dir).collect()
+    assert len(rows) == 100
+    for r in rows:
+        assert r.p_0 == pytest.approx(wanted[r.i, r.j] / 10.0 ** math.floor(math.log10(wanted[r.i, r.j])), abs=1e-7)
+
+
+def test_zeroed_corners_and_no_other_mode(spark, sf_dir, events):
+    wanted = np.fft.rfftn(events["f"].astype(float).reshape(10, 10, 10))
+    rows = QUERIES["zero_corner_all"](spark, sf_dir).collect()
+    assert len(rows) == wanted.size
+    for r in rows:
+        corner = all(k % 5 == 0 for k in (r.kx, r.ky, r.kz))
+        assert abs(complex(r.f_re, r.f_im) - (0 if corner else wanted[r.kx, r.ky, r.kz])) < 1
+
+
+def test_parts_of_every_mode(spark, sf_dir, events):
+    f, g = (events[c].astype(float).reshape(10, 10, 10) for c in "fg")
+    fields = np.stack([np.fft.rfftn(x) for x in (f, g, f - g)])
+    rows = QUERIES["decompose_vector_all"](spark, sf_dir).collect()
+    assert len(rows) == fields[0].size
+    for r in rows:
+        v = fields[:, r.kx, r.ky, r.kz]
+        # The eigenvalue of the first difference over two cells; cells are one apart.
+        k = np.array([0.0 if abs(n) in (0, 5) else math.sin(2 * math.pi * n / 10) for n in (r.kx, r.ky, r.kz)])
+        size, flat = np.linalg.norm(k), math.hypot(k[0], k[1])
+        if size == 0:
+            eps, lng = np.zeros(3), 0
+        else:
+            lng = -1j * (k @ v) / size**2
+            if flat == 0:
+                eps = np.array([1, 1j, 0]) / math.sqrt(2)
+            else:
+                eps = np.array([k[0] * k[2] / size - 1j * k[1], k[1] * k[2] / size + 1j * k[0], -(flat**2) / size]) / flat / math.sqrt(2)
+        found = [complex(r.plus_re, r.plus_im), complex(r.minus_re, r.minus_im), complex(r.lng_re, r.lng_im)]
+        assert np.allclose(found, [v @ eps.conj(), v @ eps, lng], atol=0.02)
