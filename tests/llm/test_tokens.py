@@ -25,12 +25,31 @@ def test_encoder_matches_tokenizer(tokenizer, documents):
 
 
 def test_encoder_starts_anew(tokenizer, monkeypatch):
-    monkeypatch.setattr(tokens, "MOST_WORDS", 2)
+    monkeypatch.setattr(tokens, "MOST_UNITS", 4)
+    monkeypatch.setattr(tokens, "BLOCK", 2)
     e = tokens.Encoder(tokens.default_path())
-    for t in ("alpha beta gamma", "delta alpha", "gamma beta"):
+    for t in ("alpha beta gamma", "delta alpha a" + "b" * 40, "gamma beta " + "c" * 50):
         assert e.encode(Texts.of([t.encode()]))[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_with_equal_hashes_are_told_apart(tokenizer):
+    """The word of Thue and Morse and its complement collide under every polynomial hash of 64 bits."""
+    one = "".join("ab"[n.bit_count() % 2] for n in range(1024))
+    for words in ([one, one.translate(str.maketrans("ab", "ba"))], ["abababababababab", "babababababababa"]):
+        ids, offsets = tokens.Encoder(tokens.default_path()).encode(Texts.of([w.encode() for w in words]))
+        for i, w in enumerate(words):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(w, add_special_tokens=False).ids
+
+
+def test_units_of_odd_characters(tokenizer):
+    rng = np.random.default_rng(0)
+    alphabet = list("abcXYZ019.,!?'-_<|>éÉß×÷ñ İΣς ​\x00\x1c\x85\x7f²½日😀sdtmvrel") + ["e\u0301", "<|endoftext|>", " ", "\n"]
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 120)))) for _ in range(800)]
+    ids, offsets = tokens.Encoder(tokens.default_path()).encode(Texts.of([t.encode() for t in texts]))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def check_packing(rows, ids, window):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
