@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..sources.session import shared_folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's ``spark.checkpoint.dir``, so an executor's loss costs no more than the step since.
 
-    Only a local session may lack that setting; it then gets ``/tmp/checkpoints``.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None and not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or "file:///tmp/checkpoints")
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, so an executor's loss costs no more than the step since."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -31,11 +31,15 @@ def quiet(spark: SparkSession, level: str = "ERROR", after: str = "WARN") -> Ite
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without it gets ``/tmp/checkpoints``."""
+    """The folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
+
+    Only a local session may lack one; it then gets ``/tmp/checkpoints``.
+    """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if path is None and sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints"
+    path = (path or "file:///tmp/checkpoints").rstrip("/")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
+    return path
