@@ -4,59 +4,103 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import shared_folder
+
 #: A word is a maximal run of code points other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
+#: What goes to a Python worker at once, in rows and in bytes; a single longer row goes alone.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
-#: Rows that go to a Python worker at once; Spark's own 10000 is much for rows that hold whole texts.
-BATCH_ROWS = 1024
+_written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size.
 
-    It is the session's ``spark.checkpoint.dir``. Only a local session may lack
-    one; it then gets ``/tmp/checkpoints``.
+    Spark has no setting of this for a single plan: the session's two limits are lowered to BATCH_ROWS and
+    BATCH_BYTES, and left as they are where the caller has set lower ones.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file:///tmp/checkpoints")
-    return "file:///tmp/checkpoints"
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    said = conf.get(size)
+    if not said.lower().rstrip("b").isdigit() or not 0 < int(said.lower().rstrip("b")) <= BATCH_BYTES:
+        conf.set(size, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def local(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small table of the driver's as a DataFrame. Unlike rows of Python objects, Arrow columns start no Python workers."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when the driver or a ``scratch`` ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` in no more tasks than an eighth of the shuffle partitions, or two a core.
+
+    Partitions are as many as whole texts need; tables of ids that were shuffled are small beside those, and a file a task of
+    them is a burden to any store.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 8))
+
+
+def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again; ``small`` tables are made compact.
 
     The lineage is cut at a file that survives the loss of any executor, and the
     costly stage before it runs once however often the result is used.
     """
     spark = df.sparkSession
+    df = compact(df) if small else df
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later plan reads."""
+    for df in tables:
+        discard(df.sparkSession, df._path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``new_path`` gave."""
+    delete(spark, path)
+    _written.remove((spark, path))
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end what was written to the shared folder within, but for paths that were taken before."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[before:]:
+            delete(spark, path)
+        del _written[before:]
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.session import shared_folder
+from .common import compact
+
+#: Edges that a task writes; their number never grows from round to round.
+EDGES_A_TASK = 200_000
+
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that can be reached.
@@ -12,15 +18,16 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round keeps at most as many edges as before and the rounds grow with the
     logarithm of the largest component. A node of many edges costs no task more than
     its share: minima are pre-aggregated, and the joins are ones that Spark can split.
-    Edges are checkpointed each round in the shared folder. Self-loops are
+    Edges are checkpointed each round in the shared folder, in as many parts as their number calls for. Self-loops are
     ignored, repeated edges count once, no edges give no rows.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    shared_folder(edges.sparkSession)
+    now = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).checkpoint()
     mark = _mark(now)
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        now = _small_star(_large_star(now)).checkpoint()
+        now = _small_star(_large_star(now)).coalesce(1 + mark[0] // EDGES_A_TASK).checkpoint()
         before, mark = mark, _mark(now)
         if mark == before:
             break

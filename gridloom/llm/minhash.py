@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, text_of
+from .common import local, map_arrow, shuffle_partitions, table, text_of
 from .textbytes import Texts, chunks, mix, shingles
 
 WIDTH = 5
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.binary())], ["doc_id", "fingerprint"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint binary")
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), run, f"doc_id {kind}, fingerprint binary")
 
 
 def _bucket(bounds: list[int], key: Column) -> Column:
@@ -113,7 +113,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     base = base.withColumn("key", key).withColumn("bucket", _bucket(bounds, F.col("key")))
     firsts = sorted((r.bucket, r.first) for r in base.groupBy("bucket").agg(F.min("key").alias("first")).collect())
     to = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    to = F.broadcast(spark.createDataFrame(to, "key bigint, before int"))  # a row a bucket
+    to = F.broadcast(local(spark, {"key": pa.array([k for k, _ in to], pa.int64()), "before": pa.array([b for _, b in to], pa.int32())}))  # a row a bucket
     places = F.array(F.struct(F.col("bucket"), F.lit(False).alias("sentinel")))
     places = F.when(F.col("before").isNull(), places).otherwise(F.concat(places, F.array(F.struct(F.col("before").alias("bucket"), F.lit(True).alias("sentinel")))))
     dealt = base.join(to, "key", "left").select(F.inline(places), "key", "doc_id", "text")
@@ -166,7 +166,7 @@ def edited(docs: DataFrame) -> DataFrame:
                 size += len(text)
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).mapInArrow(run, schema)
+    return map_arrow(in_order(docs), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

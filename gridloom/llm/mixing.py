@@ -16,16 +16,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import local, map_arrow, materialise, release, table
 from .textbytes import Texts, chunks
 
 MOST_REPEATS = 3
@@ -33,7 +33,8 @@ MOST_REPEATS = 3
 REPEAT_COSTS = (0, 1, 3)
 SEED = 20240607
 DIGIT_BITS = 12
-#: Patterns and sources live on the driver; more than this is refused.
+#: Patterns and sources live on the driver up to this number. More sources without overlap are mixed by DataFrame plans instead;
+#: only more patterns of overlapping sources are refused.
 MOST_PATTERNS = 20_000
 
 
@@ -57,9 +58,33 @@ def weighted_targets(sizes: list[int], weights: list[int], most: int = MOST_REPE
 def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], costs: tuple[int, ...] = REPEAT_COSTS) -> list[dict[int, int]]:
     """For each pattern (member sources, words) the words that it sends to each source.
 
-    Successive shortest paths with potentials. Each source takes at most its quota,
-    each pattern gives at most len(costs) times its words, at the least total cost.
+    Each source takes at most its quota, each pattern gives at most len(costs) times its words, at the least total
+    cost. Patterns that no chain of shared sources joins are networks of their own.
     """
+    parts, root = {}, list(range(len(quotas)))
+
+    def find(s: int) -> int:
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            root[find(s)] = find(members[0])
+    for p, (members, _) in enumerate(patterns):
+        parts.setdefault(find(members[0]), []).append(p)
+    out: list[dict[int, int]] = [{}] * len(patterns)
+    for part in parts.values():
+        sources = sorted({s for p in part for s in patterns[p][0]})
+        at = {s: i for i, s in enumerate(sources)}
+        found = _flow([(tuple(at[s] for s in patterns[p][0]), patterns[p][1]) for p in part], [quotas[s] for s in sources], costs)
+        for p, flow in zip(part, found, strict=True):
+            out[p] = {sources[i]: words for i, words in flow.items()}
+    return out
+
+
+def _flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], costs: tuple[int, ...]) -> list[dict[int, int]]:
+    """A network's flow by successive shortest paths with potentials."""
     n_p = len(patterns)
     source, sink = 0, 1 + n_p + len(quotas)
     graph: list[list[list[int]]] = [[] for _ in range(sink + 1)]  # each arc: to, capacity, cost, index of its reverse
@@ -114,7 +139,7 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts = pa.array(firsts[1:] - firsts[:-1], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, counts], [*part.schema.names, "words"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("words", T.LongType())]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("words", T.LongType())]))
 
 
 def line(seed: int, doc_id: str, text: str) -> Column:
@@ -135,6 +160,12 @@ class Mix:
     cuts: list[list[tuple[int, int, int]]]  # of each pattern: (repetition, first place that is past the cut, source before it)
 
 
+def _frame(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A small table of the driver's, a column for each kind."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return local(spark, {name: pa.array(list(x), kind) for (name, kind), x in zip(kinds.items(), columns, strict=True)})
+
+
 def _unsigned(place: Column) -> Column:
     """Flip the sign bit: the order of these is the order of the places as signed integers."""
     return place.bitwiseXOR(F.lit(-(1 << 63)))
@@ -152,15 +183,15 @@ def _thresholds(slim: DataFrame, wanted: dict[tuple[int, int], int]) -> dict[tup
         rows = [(p, k, prefix, bits) for (p, k), (prefix, bits, _) in state.items()]
         bits = rows[0][3]
         take = min(DIGIT_BITS, 64 - bits)
-        now = F.broadcast(spark.createDataFrame(rows, "pattern int, cut int, prefix bigint, bits int"))  # a row for each cut
+        now = _frame(spark, rows, pattern=pa.int32(), cut=pa.int32(), prefix=pa.int64(), bits=pa.int32())  # a row for each cut
         digit = F.shiftrightunsigned(F.shiftleft("place", bits), 64 - take)
         above = F.shiftrightunsigned("place", 64 - bits) if bits else F.lit(0).cast("bigint")
-        sums = slim.withColumn("prefix", above).join(now, ["pattern", "prefix"]).groupBy("pattern", "cut", digit.alias("digit"))
+        sums = slim.withColumn("prefix", above).join(F.broadcast(now), ["pattern", "prefix"]).groupBy("pattern", "cut", digit.alias("digit"))
         sums = sums.agg(F.sum("words").alias("words"))
         order = Window.partitionBy("pattern", "cut").orderBy("digit")  # at most 2 ** DIGIT_BITS rows each
         sums = sums.select("pattern", "cut", "digit", "words", (F.sum("words").over(order) - F.col("words")).alias("before"))
-        cuts = F.broadcast(spark.createDataFrame([(p, k, left) for (p, k), (_, _, left) in state.items()], "pattern int, cut int, left bigint"))
-        hit = sums.join(cuts, ["pattern", "cut"]).where("before <= left and left < before + words").collect()
+        cuts = _frame(spark, [(p, k, left) for (p, k), (_, _, left) in state.items()], pattern=pa.int32(), cut=pa.int32(), left=pa.int64())
+        hit = sums.join(F.broadcast(cuts), ["pattern", "cut"]).where("before <= left and left < before + words").collect()
         passed = {(r.pattern, r.cut): r for r in hit}
         new = {}
         for key, (prefix, _, left) in state.items():
@@ -206,10 +237,10 @@ def decide(slim: DataFrame, weights: list[int] | None = None) -> Mix:
             if rest:
                 wanted[p, k] = rest
         plan.append(cuts)
-    keys = spark.createDataFrame([([sources[i] for i in p], n) for n, p in enumerate(patterns)], "members array<string>, pattern int") if patterns else None
     found = {}
     if wanted:
-        placed = slim.join(F.broadcast(keys.withColumn("key", F.to_json("members")).drop("members")), F.to_json(slim.members) == F.col("key"))
+        keys = _frame(spark, [([sources[i] for i in p], n) for n, p in enumerate(patterns)], members=pa.list_(pa.string()), pattern=pa.int32())
+        placed = slim.join(F.broadcast(keys.select(F.to_json("members").alias("key"), "pattern")), F.to_json(slim.members) == F.col("key"))
         found = _thresholds(placed.where("words > 0").select("pattern", _unsigned(F.col("place")).alias("place"), "words"), wanted)
     cuts = [[(e, found.get((p, k), 0), s) for k, (e, _, s) in enumerate(c)] for p, c in enumerate(plan)]
     return Mix(sources, sizes, targets, patterns, words, flows, cuts)
@@ -231,8 +262,9 @@ def uses(mix: Mix, rows: DataFrame) -> DataFrame:
         for e, past, s in mix.cuts[p]:
             stretches.append((e, past - (1 << 63) if past < 1 << 64 else None, s))
         plan.append(([mix.sources[i] for i in members], stretches))
-    kind = "members array<string>, stretches array<struct<e:int,past:bigint,source:int>>"
-    plan = spark.createDataFrame(plan, kind).select(F.to_json("members").alias("key"), "stretches")
+    stretch = pa.list_(pa.struct([("e", pa.int32()), ("past", pa.int64()), ("source", pa.int32())]))
+    plan = [(members, [dict(zip(("e", "past", "source"), x, strict=True)) for x in stretches]) for members, stretches in plan]
+    plan = _frame(spark, plan, members=pa.list_(pa.string()), stretches=stretch).select(F.to_json("members").alias("key"), "stretches")
     # A document's use number e lies before a cut if e < cut.e, or e == cut.e and its place is before cut.past.
     before = "(x.e > e or (x.e = e and (x.past is null or place < x.past)))"
     use = f"transform(sequence(0, {MOST_REPEATS - 1}), e -> element_at(filter(stretches, x -> {before}).source, 1))"
@@ -241,21 +273,108 @@ def uses(mix: Mix, rows: DataFrame) -> DataFrame:
     return joined.withColumn("used", F.coalesce(used, F.array().cast("array<int>"))).drop("key", "stretches")
 
 
+@dataclass
+class ManyMix:
+    """The mix of more sources than the driver should hold, none of which overlap: ``about`` has a row a source."""
+
+    about: DataFrame  # source, words, weight, target, quota
+    written: list[DataFrame] = field(default_factory=list)
+
+
+def decide_many(slim: DataFrame) -> ManyMix:
+    """``decide`` for rows of one source each, as DataFrames throughout: exact, whatever the number of sources."""
+    spark = slim.sparkSession
+    sums = slim.groupBy(F.col("members")[0].alias("source")).agg(F.sum("words").alias("words"))
+    # In the order of code points, null last: a sort by ranges, then each range's rows before it.
+    sorted_ = sums.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    ranked = materialise(sorted_.withColumn("id", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("id", 33).cast("int")
+    counts = sorted((r.part, r.n) for r in ranked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a task
+    before = [(p, sum(n for q, n in counts if q < p)) for p, _ in counts]
+    offsets = _frame(spark, before, part=pa.int32(), before=pa.int64())
+    rank = F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    sources = ranked.withColumn("part", part).join(F.broadcast(offsets), "part").select("source", "words", (1 + F.pmod(rank, F.lit(3))).cast("bigint").alias("weight"))
+    sources = materialise(sources, "weights")
+    # A share stops at MOST_REPEATS times its source: a round takes out those that the present unit passes.
+    all_words, all_weights = sources.agg(F.sum("words"), F.sum("weight")).first()
+    left, weights = all_words, all_weights
+    unit = "cast(weight as decimal(38,0)) * {left} > cast(words as decimal(38,0)) * {most} * {weights}"
+    while weights:
+        over = F.expr(unit.format(left=left, weights=weights, most=MOST_REPEATS))
+        full = sources.where(over).agg(F.sum("words"), F.sum("weight")).first()
+        before_, (left, weights) = (left, weights), (all_words - MOST_REPEATS * (full[0] or 0), all_weights - (full[1] or 0))
+        if (left, weights) == before_:
+            break
+    over = F.expr(unit.format(left=left, weights=max(weights, 1), most=MOST_REPEATS)) if weights else F.lit(True)
+    share = F.col("weight").cast("double") * left / max(weights, 1)
+    whole = F.expr(f"cast((2 * cast(weight as decimal(38,0)) * {left} + {max(weights, 1)}) div (2 * {max(weights, 1)}) as bigint)")
+    target = F.when(over, (MOST_REPEATS * F.col("words")).cast("double")).otherwise(share)
+    quota = F.when(over, MOST_REPEATS * F.col("words")).otherwise(whole)
+    about = materialise(sources.select("source", "words", "weight", target.alias("target"), quota.alias("quota")), "targets")
+    return ManyMix(about, [ranked, sources, about])
+
+
+def uses_many(mix: ManyMix, rows: DataFrame) -> DataFrame:
+    """``rows`` (members, place, words and any more columns) with ``times``, ``source_size`` and ``target``.
+
+    A large source's cut is found by the radix search like any other; there are at most MOST_PATTERNS of those, and
+    each of the others has a smaller part of all rows than 1 / MOST_PATTERNS, so a window a source is bounded by that part.
+    """
+    spark = rows.sparkSession
+    about = mix.about.select("source", F.col("words").alias("source_size"), "target", F.when(F.col("words") > 0, F.expr("quota div words")).otherwise(F.lit(0)).cast("int").alias("e"), F.when(F.col("words") > 0, F.col("quota") % F.col("words")).otherwise(F.lit(0)).alias("rest"))
+    sizes = rows.groupBy(F.col("members")[0].alias("source")).agg(F.count(F.lit(1)).alias("rows"))
+    told = about.withColumnRenamed("source", "of")
+    large = sizes.orderBy(F.desc("rows"), "source").limit(MOST_PATTERNS).join(told, F.col("source").eqNullSafe(F.col("of"))).select("source", "e", "rest").collect()  # at most MOST_PATTERNS rows
+    pattern = _frame(spark, [(r.source, n) for n, r in enumerate(large)], source=pa.string(), pattern=pa.int32())
+    keyed = rows.withColumn("source", F.col("members")[0])
+    placed = keyed.join(F.broadcast(pattern.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).where("words > 0").select("pattern", _unsigned(F.col("place")).alias("place"), "words")
+    found = _thresholds(placed, {(n, 0): r.rest for n, r in enumerate(large) if r.rest})
+    cuts = [(r.source, None if found.get((n, 0), 0) >= 1 << 64 else found.get((n, 0), 0) - (1 << 63)) for n, r in enumerate(large)]
+    cuts = _frame(spark, cuts, of=pa.string(), past=pa.int64()).withColumn("is_large", F.lit(True))
+    joined = keyed.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    joined = joined.join(told, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    big, small = joined.where(F.col("is_large")), joined.where(F.col("is_large").isNull())
+    big = big.withColumn("times", F.col("e") + ((F.col("rest") > 0) & (F.col("past").isNull() | (F.col("place") < F.col("past")))).cast("int"))
+    order = Window.partitionBy("source").orderBy("place")
+    up_to = F.sum("words").over(order.rangeBetween(Window.unboundedPreceding, 0))
+    same = F.sum("words").over(Window.partitionBy("source", "place"))
+    inside = (F.col("up_to") <= F.col("rest")) | ((F.col("up_to") - F.col("same") <= F.col("rest")) & (2 * (F.col("rest") - F.col("up_to") + F.col("same")) >= F.col("same")))
+    small = small.withColumns({"up_to": up_to, "same": same}).withColumn("times", F.col("e") + ((F.col("rest") > 0) & inside).cast("int")).drop("up_to", "same")
+    return big.unionByName(small).drop("is_large", "past", "e", "rest", "source")
+
+
+def _are_many(slim: DataFrame) -> bool:
+    """Whether there are more than MOST_PATTERNS patterns, none of them of two sources or more."""
+    if slim.select("members").distinct().limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS:
+        return False
+    return slim.where(F.size("members") > 1).isEmpty()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("members"), line(SEED, "doc_id", "text").alias("place"))
     slim = materialise(sized(docs).drop("text"), "sizes")
+    if _are_many(slim):
+        rows = uses_many(decide_many(slim), slim)
+        return rows.select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.col("times")).alias("taken"))
     mix = decide(slim)
     about = [(mix.sources[i], mix.sizes[i], float(mix.targets[i])) for i in range(len(mix.sources))]
-    about = spark.createDataFrame(about, "source string, source_size bigint, target double").select(F.to_json(F.array("source")).alias("of"), "source_size", "target")
+    about = _frame(spark, about, source=pa.string(), source_size=pa.int64(), target=pa.float64()).select(F.to_json(F.array("source")).alias("of"), "source_size", "target")
     rows = uses(mix, slim)
     rows = rows.join(F.broadcast(about), F.to_json("members") == F.col("of"))
     return rows.select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.size("used")).alias("taken"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as the mix uses it."""
+    """The rows of ``docs`` with all their columns, each as often as the mix uses it.
+
+    A null text has no words and isn't used unless its source is; a null source is a source of its own, the last. Rows that repeat
+    doc_id and text share a place on the line and so their uses. An empty table gives no rows.
+    """
     placed = docs.select(F.struct(*docs.columns).alias("doc"), F.array(F.col(source).cast("string")).alias("members"), line(SEED, doc_id, text).alias("place"))
     slim = materialise(sized(placed.select(F.col(f"doc.{text}").alias("text"), "members", "place")).drop("text"), "sizes")
     if slim.isEmpty():
         return docs
+    if _are_many(slim):
+        rows = sized(placed.withColumn("text", F.col(f"doc.{text}"))).drop("text")
+        return uses_many(decide_many(slim), rows).where("times > 0").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("doc.*")
     return uses(decide(slim), placed).select("doc", F.explode("used")).select("doc.*")

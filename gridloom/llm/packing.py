@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table, text_of
+from .common import map_arrow, materialise, table, text_of
 from .textbytes import Texts, chunks
 from .tokens import default_path, encoder
 
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, nth bigint"
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), run, schema)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None) -> DataFrame:
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(run, schema)
+    return map_arrow(ranked, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

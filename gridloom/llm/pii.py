@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import map_arrow, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)  # the label of a token that is none of them
@@ -254,7 +254,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
     some = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).where(F.col("text").rlike("[@0-9]"))
     picked = some.select("doc_id").orderBy(F.xxhash64(F.lit(31), "doc_id"), "doc_id").limit(MOST_LEARNT).distinct()
     sample = some.join(F.broadcast(picked), "doc_id").select("text")  # at most MOST_LEARNT ids
-    rows = sample.mapInArrow(run, "x array<double>, label bigint, n bigint").groupBy("x", "label").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(sample, run, "x array<double>, label bigint, n bigint").groupBy("x", "label").agg(F.sum("n").alias("n")).collect()
     counts, x, y, n = np.zeros(4), [], [], []
     for r in rows:
         if r.label < 0:
@@ -306,7 +306,7 @@ def find(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, table, text_of
+from .common import held_out, map_arrow, materialise, table, text_of
 from .textbytes import Texts, chunks
 
 #: predicted is 1 from this score on.
@@ -86,6 +86,14 @@ def statistics(texts: Texts) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _forward(factor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Solve ``factor @ y = row`` for each row by forward substitution; the factor is lower triangular."""
+    solved = np.empty_like(rows)
+    for i in range(len(factor)):
+        solved[:, i] = (rows[:, i] - solved[:, :i] @ factor[i, :i]) / factor[i, i]
+    return solved
+
+
 @dataclass
 class Model:
     """Means and cached Cholesky factors of both classes on scaled statistics, and the logistic curve."""
@@ -104,8 +112,7 @@ class Model:
         z = (x - self.centre) / self.scale
         logs = []
         for mean, factor, log in zip(self.means, self.factors, self.logs, strict=True):
-            solved = np.linalg.solve(factor, (z - mean).T)
-            logs.append(-0.5 * (solved**2).sum(axis=0) - 0.5 * log)
+            logs.append(-0.5 * (_forward(factor, z - mean) ** 2).sum(axis=1) - 0.5 * log)
         return np.clip(logs[1] - logs[0], -MOST_RAW, MOST_RAW)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -124,7 +131,7 @@ def _moments(learnt: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
         where = np.indices(sums.shape).reshape(3, -1)
         yield pa.RecordBatch.from_arrays([*[pa.array(k) for k in where], pa.array(sums.ravel())], ["label", "i", "j", "value"])
 
-    parts = learnt.mapInArrow(run, "label bigint, i bigint, j bigint, value double")
+    parts = map_arrow(learnt, run, "label bigint, i bigint, j bigint, value double")
     full = np.zeros((2, D + 1, D + 1))
     for r in parts.groupBy("label", "i", "j").agg(F.sum("value").alias("value")).collect():  # 2 * (D + 1) ** 2 rows
         full[r.label, r.i, r.j] = r.value
@@ -165,7 +172,7 @@ def _curve(learnt: DataFrame, model: Model) -> tuple[float, float]:
             raw = model.raw(batch.column(1).flatten().to_numpy().reshape(-1, D))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.floor((raw + MOST_RAW) / step).astype(np.int64))], ["label", "bin"])
 
-    rows = learnt.mapInArrow(run, "label int, bin bigint").groupBy("label", "bin").count().collect()  # at most 2 * RAW_BINS rows
+    rows = map_arrow(learnt, run, "label int, bin bigint").groupBy("label", "bin").count().collect()  # at most 2 * RAW_BINS rows
     x = np.array([[r.bin * step - MOST_RAW + step / 2, 1.0] for r in rows])
     y, n = np.array([r.label for r in rows], float), np.array([r["count"] for r in rows], float)
     w = np.array([0.1, 0.0])
@@ -190,7 +197,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), run, f"doc_id {kind}, x array<double>")
 
 
 def learn(rows: DataFrame, labels: DataFrame) -> Model:
@@ -200,24 +207,29 @@ def learn(rows: DataFrame, labels: DataFrame) -> Model:
 
 
 def judge(rows: DataFrame, model: Model) -> DataFrame:
-    """Measured rows with ``score``."""
+    """(doc_id, score) for every row of ``measured``, repeated rows too; an empty table gives no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(batch.column(1).flatten().to_numpy().reshape(-1, D))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return map_arrow(rows, run, f"doc_id {kind}, score double")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``.
+
+    A null text is scored as an empty one; rows that repeat share their fate. Other columns, whatever their
+    names, are carried along unread; an empty table gives no rows.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text):
                 yield part.filter(pa.array(model.score(statistics(Texts.arrow(part.column(text)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

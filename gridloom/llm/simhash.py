@@ -25,35 +25,47 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import map_arrow, materialise, release, table
 from .components import connected
-from .textbytes import Texts, chunks, mix, shingles
+from .textbytes import IS_SPACE, Texts, chunks, mix, shingles
 
 SEED = 42
 SEGMENTS = 16
 BITS = 64 // SEGMENTS
 MOST_PAIRED = 64
 #: Shingles that are hashed and counted at once, so a text of any length takes bounded memory.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _joined(text: bytes) -> np.ndarray:
+    """The bytes of a text in lower case, with one space between words and none at the ends."""
+    data = _LOWER[np.frombuffer(text, np.uint8)]
+    space = IS_SPACE[data]
+    data[space] = 0x20
+    space[1:] &= space[:-1]  # the first space after a word stays
+    data = data[~space]
+    return data[:-1] if len(data) and data[-1] == 0x20 else data
 
 
 def fingerprint(text: bytes, width: int) -> int:
     """The SimHash of a text: words parted by ASCII white space, A-Z in lower case, shingles of ``width`` words, repeats counted."""
-    words = text.lower().split()
-    if not words:
+    data = _joined(text)
+    if not len(data):
         return 0
-    joined = b" ".join(words)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(joined))
-    if len(words) >= width:
-        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
+    gaps = np.flatnonzero(data == 0x20)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
+    if len(starts) >= width:
+        starts, ends = starts[: len(starts) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    ones = np.zeros(64, np.int64)
+    ones, joined = np.zeros(64, np.int64), memoryview(data)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), BLOCK):
         spans = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(starts[at : at + BLOCK]))
         ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.int64)[0])
 
@@ -67,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp bigint")
 
 
 def _turn(x: Column, by: Column) -> Column:
@@ -94,7 +106,7 @@ def links(distinct: DataFrame, most: int = 2) -> DataFrame:
     turned = turned.withColumn("key", F.shiftrightunsigned("ring", open_bits).bitwiseOR(F.shiftleft(F.col("start").cast("bigint"), 48)))
     sizes = turned.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Most buckets have one member; what is left is small beside the input.
-    met = materialise(turned.join(sizes, "key"), "buckets")
+    met = materialise(turned.join(sizes, "key"), "buckets", small=True)
 
     few = met.where(F.col("n") <= MOST_PAIRED).groupBy("start", "key").agg(F.collect_list("ring").alias("rings"))
     within = " and ".join(f"bit_count(shiftrightunsigned(x ^ y, {64 - bits})) <= {budget}" for bits, budget in wider)
@@ -119,10 +131,10 @@ def mark(prints: DataFrame, most: int = 2) -> DataFrame:
     component_id is the smallest doc_id that links reach. Equal fingerprints are one
     node however many rows have them. Null ids count only if a component has no other.
     """
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", small=True)
     roots = connected(links(nodes.select("fp"), most))
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = materialise(joined, "roots")
+    joined = materialise(joined, "roots", small=True)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp")
@@ -145,12 +157,9 @@ MOST_MET = 16
 BAND_BINS = 128
 #: Pairs whose sketches estimate a similarity this far below SIMILARITY, four standard deviations, are dropped unseen.
 SLACK = 0.15
-#: Bits of the filter that spares rows of no interest a shuffle: a bitmap of 8 MB, whatever the input.
-FILTER_BITS = 26
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+#: The filter that spares rows of no interest a shuffle has so many bits for each row of interest, and 2 ** MOST_FILTER_BITS (128 MB)
+#: at most; where there are more such rows than that serves, more others are shuffled with them.
+FILTER_ROOM, MOST_FILTER_BITS = 32, 30
 
 
 def _shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +195,11 @@ def _node(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def _check(doc_id: str, text: str) -> Column:
+    """A second hash of the same. Groups hold and drop only rows that have the checks of the texts that were compared."""
+    return F.xxhash64(F.lit("check"), F.col(text), F.col(doc_id))
+
+
 def _close(met: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of a bucket of up to MOST_MET members."""
     few = met.where(F.col("n") <= MOST_MET).groupBy("key").agg(F.collect_list("node").alias("all"))
@@ -209,7 +223,7 @@ def _rarest(shingles_: DataFrame) -> DataFrame:
                 tokens = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(sizes, sizes), pa.int32()), pa.array(tokens)], ["node", "size", "token"])
 
-    tokens = shingles_.mapInArrow(unpack, "node bigint, size int, token bigint")
+    tokens = map_arrow(shingles_, unpack, "node bigint, size int, token bigint")
     holders = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
     order = Window.partitionBy("node").orderBy("holders", "token")
     placed = tokens.join(holders, "token").withColumn("place", F.row_number().over(order) - 1)
@@ -234,28 +248,29 @@ def _hub_pairs(rarest: DataFrame) -> DataFrame:
     return met.select(_ordered("x", "y")).distinct()
 
 
-def _open_pairs(rarest: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all pairs that share a shingle of ``rarest``, may reach SIMILARITY and have different roots so far.
+def _open_pairs(rarest: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): all pairs that share a shingle of ``rarest``, may reach SIMILARITY and have different roots so far; and the tables it reads.
 
     Those of a shingle's most frequent root meet the others only, never each other.
     """
     known = rarest.join(roots, "node", "left").select("token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    known = materialise(known, "known")
+    known = materialise(known, "known", small=True)
     by_root = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     most = by_root.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-    open_ = materialise(known.join(most.select("token", F.col("most.root").alias("most")), "token"), "open")
+    open_ = materialise(known.join(most.select("token", F.col("most.root").alias("most")), "token"), "open", small=True)
     rest = open_.where("root <> most")
     new = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
     met = rest.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & new & _within_reach("x", "y"))
-    return met.select(_ordered("x", "y")).distinct()
+    return met.select(_ordered("x", "y")).distinct(), [known, open_]
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of the low FILTER_BITS bits of a column ``node``; it is made by an aggregate of at most 2 ** (FILTER_BITS - 6) rows."""
-    low = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    """A bitmap of the low bits of a column ``node``, as many as its rows call for; its words are made by an aggregate and bounded by MOST_FILTER_BITS."""
+    bits = min(MOST_FILTER_BITS, max(10, (FILTER_ROOM * nodes.count()).bit_length()))
+    low = F.col("node").bitwiseAND(F.lit((1 << bits) - 1))
     words = nodes.select(F.shiftrightunsigned(low, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out
 
@@ -266,20 +281,21 @@ def _may_be_in(nodes: DataFrame):
 
     @F.pandas_udf("boolean")
     def hit(node: pd.Series) -> pd.Series:
-        low = node.to_numpy() & ((1 << FILTER_BITS) - 1)
+        low = node.to_numpy() & (64 * len(bitmap.value) - 1)
         return pd.Series((bitmap.value[low >> 6] >> (low & 63)) & 1 == 1)
 
     return hit
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, doc_id, component_id): the documents of groups of two or more whose links reach each other.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The groups (node, check, doc_id, component_id, first) of two documents or more whose links reach each other, and the nodes of repeated rows.
 
     A link is a pair that meets in a bucket of bands and whose sets of five-word shingles, A-Z in lower case, have a Jaccard
-    similarity of SIMILARITY or more. component_id is the smallest doc_id of the group. node is a hash
-    of doc_id and text; texts without words have no links.
+    similarity of SIMILARITY or more. node and check are hashes of doc_id and text, so rows that repeat both are one document; the second
+    table has (node, check) of those with more than one row. component_id is the smallest doc_id of the group, null if all are null;
+    ``first`` marks the one document with it, of equal ids that with the least node. Texts without words have no links.
     """
-    base = docs.select(_node(doc_id, text).alias("node"), F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(_node(doc_id, text).alias("node"), _check(doc_id, text).alias("check"), F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,8 +304,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
                 some = np.bincount(owner, minlength=n) > 0
                 keys, low = _bands(hashes, owner, n)
-                columns = [part.column("node"), part.column("doc_id"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
-                out = pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "keys", "low"])
+                columns = [part.column("node"), part.column("check"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
+                out = pa.RecordBatch.from_arrays(columns, ["node", "check", "keys", "low"])
                 yield out.filter(pa.array(some))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +321,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("node", "check", "doc_id")], pa.array(found, pa.binary())], ["node", "check", "doc_id", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,39 +332,59 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 alike.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
 
-    prints = materialise(base.mapInArrow(sketch, "node bigint, doc_id bigint, keys array<bigint>, low binary"), "sketches")
-    low = prints.select("node", "low")
-    rows = prints.select("node", F.explode("keys").alias("key"))
+    prints = materialise(map_arrow(base, sketch, "node bigint, check bigint, keys array<bigint>, low binary"), "sketches")
+    twins = materialise(prints.groupBy("node", "check").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node", "check"), "twins", small=True)
+    one = prints.dropDuplicates(["node"]) if not twins.isEmpty() else prints
+    low = one.select("node", "low")
+    rows = one.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(rows.join(sizes, "key"), "bands")
+    met = materialise(rows.join(sizes, "key"), "bands", small=True)
     many = met.where(F.col("n") > MOST_MET).select("node").distinct()
     close = _close(met).join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
-    pairs = materialise(close.mapInArrow(likely, "a bigint, b bigint"), "pairs")
-    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many).distinct(), "nodes")
+    pairs = materialise(map_arrow(close, likely, "a bigint, b bigint"), "pairs", small=True)
+    release(prints)
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many).distinct(), "nodes", small=True)
     # Only texts that the bitmap hits are shingled and shuffled.
-    found = base.select("node", "text").where(_may_be_in(nodes)(F.col("node"))).mapInArrow(sets, "node bigint, shingles binary").join(nodes, "node", "left_semi")
-    found = materialise(found.dropDuplicates(["node"]), "shingles")
+    wanted = base.where(_may_be_in(nodes)(F.col("node")))
+    found = map_arrow(wanted, sets, "node bigint, check bigint, doc_id bigint, shingles binary").join(nodes, "node", "left_semi")
+    found = materialise(found.dropDuplicates(["node"]), "shingles", small=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return joined.mapInArrow(verify, "a bigint, b bigint")
+        return map_arrow(joined, verify, "a bigint, b bigint")
+
+    rarest = materialise(_rarest(found.join(many, "node", "left_semi")), "rarest", small=True)
+    release(met, nodes)
+    roots = materialise(connected(linked(pairs.unionByName(_hub_pairs(rarest)).distinct())), "roots", small=True)
+    open_pairs, read = _open_pairs(rarest, roots)
+    more = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(open_pairs)))
+    named = materialise(more.join(found.select("node", "check", "doc_id"), "node"), "named", small=True)
+    release(pairs, rarest, roots, found, *read)
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
+    found = named.join(least, "root").select("node", "check", "doc_id", F.col("least.doc_id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
+    return found, twins
+
 
-    rarest = materialise(_rarest(found.join(many, "node", "left_semi")), "rarest")
-    roots = materialise(connected(linked(pairs.unionByName(_hub_pairs(rarest)).distinct())), "roots")
-    roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(_open_pairs(rarest, roots))))
-    named = materialise(roots.join(prints.select("node", "doc_id"), "node"), "named")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("node", "doc_id", "component_id")
+def _unused(docs: DataFrame, name: str) -> str:
+    return name if name not in docs.columns else _unused(docs, name + "_")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns, less those whose group has a smaller doc_id.
+    """The rows of ``docs`` with all their columns, one of each group of near copies.
 
-    Rows that the losers' bitmap doesn't hit stay without a shuffle; the few it hits are joined with the losers.
+    The document with the smallest doc_id stays, a null id counts as larger than any other, and of equal ids
+    one stays too. Of rows that repeat both doc_id and text one stays. Null and empty texts, and those without words, have no
+    near copies and all stay; an empty table gives no rows. Rows that the losers' bitmap doesn't hit stay without a shuffle.
     """
-    losers = near_duplicates(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("node").alias("__node"))
-    losers = materialise(losers.distinct(), "losers")
-    gone = _may_be_in(losers.select(F.col("__node").alias("node")))
-    keyed = docs.withColumn("__node", _node(doc_id, text))
-    clear, doubtful = keyed.where(~gone(F.col("__node"))), keyed.where(gone(F.col("__node")))
-    return clear.unionByName(doubtful.join(losers, "__node", "left_anti")).drop("__node")
+    found, twins = near_duplicates(docs, doc_id, text)
+    losers = materialise(found.where(~F.col("first")).select("node", "check").distinct(), "losers", small=True)
+    node, check = _unused(docs, "__node"), _unused(docs, "__check")
+    of = lambda d: d.select(F.col("node").alias(node), F.col("check").alias(check))
+    gone = _may_be_in(losers.unionByName(twins))
+    keyed = docs.withColumns({node: _node(doc_id, text), check: _check(doc_id, text)})
+    clear, doubtful = keyed.where(~gone(F.col(node))), keyed.where(gone(F.col(node)))
+    left = doubtful.join(of(losers), [node, check], "left_anti")
+    if not twins.isEmpty():
+        repeated = left.join(of(twins), [node, check], "left_semi").groupBy(node, check).agg(F.first(F.struct(*docs.columns)).alias("row"))
+        left = left.join(of(twins), [node, check], "left_anti").unionByName(repeated.select(node, check, "row.*"))
+    return clear.unionByName(left).drop(node, check)

@@ -7,6 +7,8 @@ Arrow buffer: some nanoseconds a byte, with no object per word.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,19 +21,19 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers = np.ones(1, np.uint64)
-_inverse_powers = np.ones(1, np.uint64)
+#: Bytes that are hashed at once; what bounds memory, however long a text or a word is.
+BLOCK = 1 << 18
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse_powers
-    if len(_powers) < n:
-        size = max(n, 1 << 20)
-        for base, name in ((_MULTIPLIER, "_powers"), (_INVERSE, "_inverse_powers")):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers, _inverse_powers
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse; a worker makes them once, so no plan carries them."""
+    store = sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker"))
+    if not hasattr(store, "powers"):
+        steps = [np.full(2 * BLOCK + 1, base, np.uint64) for base in (_MULTIPLIER, _INVERSE)]
+        for x in steps:
+            x[0] = 1
+        store.powers = tuple(np.cumprod(x, dtype=np.uint64) for x in steps)
+    return store.powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,20 +92,32 @@ class Texts:
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of each span; spans are in order and don't overlap.
 
-        Works through ``block`` bytes at once, so a text of any length takes bounded memory.
+        Works through BLOCK bytes at once, and longer spans piece by piece.
         """
         out = np.empty(len(starts), np.uint64)
-        cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(self.data), block)), len(starts)))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            low, high = starts[i], ends[j - 1]
-            powers, inverse = _power_tables(high - low + 1)
-            prefix = np.zeros(high - low + 1, np.uint64)
-            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=prefix[1:])
-            out[i:j] = mix((prefix[ends[i:j] - low] - prefix[starts[i:j] - low]) * inverse[starts[i:j] - low])
-        return out
+        powers, inverse = _power_tables()
+        long = ends - starts > BLOCK
+        for i in np.flatnonzero(long).tolist():
+            total, shift = 0, 1
+            for low in range(int(starts[i]), int(ends[i]), BLOCK):
+                high = min(low + BLOCK, int(ends[i]))
+                part = (self.data[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low]
+                total = (total + int(part.sum(dtype=np.uint64)) * shift) % (1 << 64)
+                shift = shift * pow(_MULTIPLIER, high - low, 1 << 64) % (1 << 64)
+            out[i] = np.uint64(total)
+        rest = np.flatnonzero(~long)
+        if len(rest):
+            a, b = starts[rest], ends[rest]
+            cuts = np.unique(np.append(np.searchsorted(a, np.arange(a[0], b[-1], BLOCK)), len(a)))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                low, high = a[i], b[i:j].max()
+                prefix = np.zeros(high - low + 1, np.uint64)
+                np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=prefix[1:])
+                out[rest[i:j]] = (prefix[b[i:j] - low] - prefix[a[i:j] - low]) * inverse[a[i:j] - low]
+        return mix(out)
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +142,7 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     return mix(combined[keep]), owner[keep]
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts pass ``most`` bytes; a longer text is a batch of its own."""
     texts = batch.column(column)
     lengths = np.diff(Texts.arrow(texts).offsets)

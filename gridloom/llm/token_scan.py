@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, table, text_of
+from .common import map_arrow, new_path, table, text_of
 from .textbytes import Texts, chunks
 from .tokens import default_path, encoder
 
@@ -59,7 +59,7 @@ def write(docs: DataFrame, to: str, doc_id: str = "doc_id", text: str = "text",
                 heads = [np.array(spell(x), "<u2").tobytes() for x in part.column("doc_id").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([h + stored[a:b].tobytes() for h, a, b in zip(heads, offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["value"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "value binary")
+    rows = map_arrow(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text")), run, "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\0\0").text(to)
 
 
@@ -114,7 +114,7 @@ def scan(spark: SparkSession, folder: str, header: int = 0, joined: bool = False
                 yield pa.RecordBatch.from_arrays(columns, ["file", "document", "start", "tokens", "head", "ends"])
 
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    found = files.mapInArrow(run, "file string, document bigint, start bigint, tokens bigint, head array<int>, ends bigint")
+    found = map_arrow(files, run, "file string, document bigint, start bigint, tokens bigint, head array<int>, ends bigint")
     if not joined:
         return found.drop("ends")
     totals = found.groupBy("file").agg(F.max("ends").alias("ends"))  # a row a file

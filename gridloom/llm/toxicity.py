@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, table, text_of
+from .common import held_out, map_arrow, materialise, table, text_of
 from .textbytes import Texts, chunks, mix
 
 #: Labelled rows of each class that are learnt from at most, chosen by a hash of their id.
@@ -91,7 +91,7 @@ def trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    rows = docs.select(text_of(text).alias("text")).mapInArrow(run, "at bigint, n bigint")
+    rows = map_arrow(docs.select(text_of(text).alias("text")), run, "at bigint, n bigint")
     counts = np.full(SYMBOLS**3, 0.5)
     for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS ** 3 rows
         counts[r.at] += r.n
@@ -259,7 +259,7 @@ def _lexicon(rows: DataFrame, language: np.ndarray, sizes: dict[int, int]) -> tu
                 good = np.bincount(which, minlength=len(keys)) - bad
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bad), pa.array(good)], ["key", "bad", "good"])
 
-    counts = rows.select("label", "text").mapInArrow(run, "key bigint, bad bigint, good bigint")
+    counts = map_arrow(rows.select("label", "text"), run, "key bigint, bad bigint, good bigint")
     counts = counts.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST_DOCUMENTS)
     weight = F.log((F.col("bad") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("good") + 0.5) / (sizes.get(0, 0) + 1))
     top = counts.select("key", weight.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc("weight"), "key").limit(MOST_ENTRIES).collect()
@@ -290,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 x = model.evidence(Texts.arrow(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
-    found = rows.where("half = 1").select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # bounded by the sample
+    found = map_arrow(rows.where("half = 1").select("label", "text"), run, "label int, x array<double>").collect()  # bounded by the sample
     x, y = np.array([r.x for r in found]), np.array([r.label for r in found], float)
     total = {c: labels_ for c, labels_ in ((r.label, r["count"]) for r in labels.where("toxic in (0, 1)").where(~held_out()).groupBy(F.col("toxic").cast("int").alias("label")).count().collect())}
     weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))  # the sample may hold fewer rows of one class
@@ -320,7 +320,7 @@ def judge(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(Texts.arrow(part.column("text"))))], ["doc_id", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), run, f"doc_id {kind}, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, shuffle_partitions, table
+from .common import map_arrow, materialise, new_path, shuffle_partitions, table
 
 #: Captures in an archive file at most, so that a file is read whole in bounded memory.
 MOST_IN_FILE = 4096
@@ -117,7 +117,7 @@ def write(pages: DataFrame, to: str, least: int = 0) -> None:
             made = [record(*row)[:-1] for row in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "first", "revisit")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
-    rows = joined.select("page_id", "url", "payload", "first", "revisit").mapInArrow(run, "value binary")
+    rows = map_arrow(joined.select("page_id", "url", "payload", "first", "revisit"), run, "value binary")
     # Spark's own writer makes the files, so any store it knows will do: the separator is each record's last byte.
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", MOST_IN_FILE).text(to)
 
@@ -214,7 +214,7 @@ def index(spark: SparkSession, archives: str, bounds: list[Key]) -> DataFrame:
 
     segments = ", ".join(f"{name} array<{kind}>" for name, kind in zip(FIELDS, _KINDS, strict=True))
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
-    runs = files.mapInArrow(cut, f"range int, run string, {segments}")
+    runs = map_arrow(files, cut, f"range int, run string, {segments}")
 
     def merged(number: int, waiting: list[list[list]]) -> pa.RecordBatch:
         rows = list(LoserTree([zip(*segment, strict=True) for segment in waiting]))
@@ -242,7 +242,7 @@ def index(spark: SparkSession, archives: str, bounds: list[Key]) -> DataFrame:
 
     plain = ", ".join(f"{name} {kind}" for name, kind in zip(FIELDS, _KINDS, strict=True))
     dealt = runs.repartition(max(1, min(len(bounds) + 1, MOST_RANGES)), "range").sortWithinPartitions("range", "run")
-    found = materialise(dealt.mapInArrow(merge, f"range int, place bigint, visit bigint, {plain}"), "captures")
+    found = materialise(map_arrow(dealt, merge, f"range int, place bigint, visit bigint, {plain}"), "captures")
 
     ends = found.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min_by("urlkey", "place").alias("first"), F.max_by(F.struct("urlkey", "visit"), "place").alias("last"))
     before, carried, last, plan = 0, 0, None, []

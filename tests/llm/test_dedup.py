@@ -201,3 +201,20 @@ def test_near_duplicate_stage_keeps_odd_rows(odd):
     assert kept.columns == odd.columns
     # Only the row that differs in case alone is a near copy; equal texts are linked too.
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-4, 1, 3, 4, 5, 6, 7, 8, 10]
+
+
+def test_near_copies_of_equal_or_null_ids(spark):
+    rng = np.random.default_rng(3)
+    a, b, c, d = (" ".join(f"w{n}" for n in rng.integers(0, 9000, 60).tolist()) for _ in range(4))
+    rows = [(None, a), (None, a + " more"), (5, b), (5, b + " more"), (7, c), (7, c), (7, c), (9, d), (None, d), (3, d + " more"), (4, "one"), (4, ""), (4, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = [sorted((r.doc_id is None, r.doc_id or 0) for r in kept if r.text.startswith(x)) for x in (a, b, c, d)]
+    assert groups == [[(True, 0)], [(False, 5)], [(False, 7)], [(False, 3)]]
+    assert sorted(r.text for r in kept if len(r.text) < 9) == ["", "", "one"]
+
+
+def test_fingerprint_of_long_texts():
+    text = b"Many  words\tand more\n" * 20_000
+    words = text.lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)]
+    assert simhash.fingerprint(text, 3) % (1 << 64) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))

@@ -136,6 +136,22 @@ def test_query_meets_targets(spark):
     assert sorted(again) == sorted(rows)
 
 
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_many_sources_are_mixed_alike(spark, monkeypatch, most):
+    """The plan for more sources than the driver holds gives what the flow gives."""
+    folder = "/root/testdata/sf0.001"
+    wanted = sorted(mixing.query(spark, folder).collect())
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", most)
+    assert sorted(mixing.query(spark, folder).collect()) == wanted
+
+
+def test_many_odd_sources(spark, odd, monkeypatch):
+    wanted = sorted(map(str, mixing.mixed(odd).collect()))
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+    found = mixing.mixed(odd)
+    assert found.columns == odd.columns and sorted(map(str, found.collect())) == wanted
+
+
 def test_overlapping_sources(spark):
     """Documents of two sources serve both quotas, and each use is routed to one."""
     rng = np.random.default_rng(2)
