@@ -4,7 +4,9 @@ A writer who hides a word sends it through a noisy channel: letters become look-
 characters, are repeated, or are set apart by spaces. Units that such a channel could
 have made are restored before scoring: a Viterbi search over the lattice of what each
 character may stand for, under a character trigram model of the whole corpus, finds
-the likeliest source word.
+the likeliest source words. Between letters set apart the lattice has arcs that end a word and
+begin the next; after a word's last letter it has arcs that leave the remaining signs as they are. The
+search keeps a few states a character, so units of any length are restored in linear time.
 
 The restored text is scored by the prefixes and the whole of its words. Their log-odds
 are learnt from one half of a sample of labelled rows, and the logistic curve over a
@@ -13,6 +15,7 @@ document's evidence from the other half, so no row counts twice.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Iterator
@@ -34,9 +37,8 @@ LEAST_DOCUMENTS = 4
 LEAST_WEIGHT = 1.5
 STRONG = 3.0
 PREFIXES = tuple(range(3, 11))
-#: Longer units are taken as they are.
-MOST_UNIT = 40
-MOST_REMEMBERED = 200_000
+#: Restored units that a worker keeps, shorter than LONGEST_REMEMBERED; beyond it the cache starts anew.
+MOST_REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
 
 # What a character may stand for besides itself.
 STANDS_FOR = {
@@ -58,6 +60,8 @@ STANDS_FOR = {
 }
 #: Negative log probabilities of the channel.
 SWAPPED, REPEATED, DOUBLED, KEPT_SIGN = 0.7, 0.2, 3.0, 6.0
+#: A word that ends within a run of letters set apart, where the gap is like the others; the signs left after a word, the first of equal ones and each more.
+BOUNDARY, LEFT, LEFT_AGAIN = 1.0, 1.5, 0.1
 LETTERS = 26
 EDGE = 26  # start or end of a word
 SYMBOLS = 28  # letters, edge, any other character
@@ -68,6 +72,8 @@ _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[ord("a") : ord("z") + 1] = _IS_LETTER[ord("A") : ord("Z") + 1] = True
 _IS_SIGN = np.zeros(256, bool)
 _IS_SIGN[[ord(c) for c in STANDS_FOR]] = True
+_ENDS = np.zeros(256, bool)  # signs that stand for a letter at a word's end; the others are punctuation there
+_ENDS[[ord(c) for c in STANDS_FOR if c not in "!|+("]] = True
 _SYMBOL = np.full(256, SYMBOLS - 1, np.int64)
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(LETTERS)
 _SYMBOL[[0x20, *range(0x09, 0x0E)]] = EDGE
@@ -99,81 +105,116 @@ def trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
-def decode(unit: str, model: np.ndarray) -> str:
-    """The likeliest source word of a unit in lower case, by Viterbi over its character lattice."""
-    states = {(EDGE, EDGE, ""): (0.0, "")}  # last two symbols and the last character read: cost, word so far
+def decode(unit: str, model: np.ndarray, gaps: list[bool] | None = None) -> str:
+    """The likeliest source of a unit in lower case, by Viterbi over its character lattice.
+
+    ``gaps`` makes the unit a run of letters set apart, which may be several words: it tells for each character whether
+    the gap before it is wider than a single space.
+    """
+    # Last two symbols and the last character read: cost, and the path as (character, path before it).
+    states: dict[tuple, tuple[float, tuple | None]] = {(EDGE, EDGE, ""): (0.0, None)}
+    letters = [i for i, c in enumerate(unit) if "a" <= c <= "z"]
+    open_from = len(unit) if gaps or not letters else letters[-1] + 1
+    left = [0.0] * (len(unit) + 1)  # what it costs to leave the signs from here on
+    for i in range(len(unit) - 1, open_from - 1, -1):
+        left[i] = left[i + 1] + (LEFT_AGAIN if i + 1 < len(unit) and unit[i] == unit[i + 1] else LEFT)
+    best: tuple[float, tuple | None, int] = (np.inf, None, len(unit))
+
+    def close(at: int) -> tuple[float, tuple | None, int]:
+        cost, path = min(((cost + model[a, b, EDGE], path) for (a, b, _), (cost, path) in states.items()), key=lambda x: x[0])
+        return (cost + left[at], path, at)
+
     for i, c in enumerate(unit):
+        if i >= open_from:
+            best = min(best, close(i), key=lambda x: x[0])
         run = i >= 1 and unit[i - 1] == c
         long = run and ((i >= 2 and unit[i - 2] == c) or (i + 1 < len(unit) and unit[i + 1] == c))
         options = [(x, SWAPPED) for x in STANDS_FOR.get(c, "")]
         options.append((c, 0.0 if "a" <= c <= "z" else KEPT_SIGN))
-        after: dict[tuple, tuple[float, str]] = {}
-        for (a, b, last), (cost, word) in states.items():
-            moves = [((b, _index(x), c), cost + price + model[a, b, _index(x)], word + x) for x, price in options]
+        if gaps and i:
+            ended: dict[tuple, tuple[float, tuple | None]] = {}
+            for (a, b, _), (cost, path) in states.items():
+                total = cost + model[a, b, EDGE] + (0.0 if gaps[i] else BOUNDARY)
+                if (b, EDGE, "") not in ended or total < ended[b, EDGE, ""][0]:
+                    ended[b, EDGE, ""] = total, (" ", path)
+            states |= ended
+        after: dict[tuple, tuple[float, tuple | None]] = {}
+        for (a, b, last), (cost, path) in states.items():
+            moves = [((b, _index(x), c), cost + price + model[a, b, _index(x)], (x, path)) for x, price in options]
             if run and last == c:
-                moves.append(((a, b, c), cost + (REPEATED if long else DOUBLED), word))
+                moves.append(((a, b, c), cost + (REPEATED if long else DOUBLED), path))
             for state, total, longer in moves:
                 if state not in after or total < after[state][0]:
                     after[state] = total, longer
         states = after
-    return min((cost + model[a, b, EDGE], word) for (a, b, _), (cost, word) in states.items())[1]
+    _, path, at = min(best, close(len(unit)), key=lambda x: x[0])
+    found = []
+    while path:
+        found.append(path[0])
+        path = path[1]
+    return "".join(reversed(found)) + unit[at:]
 
 
 def _index(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else SYMBOLS - 1
 
 
-def _units(texts: Texts, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(first byte, end byte, unit) of the words and runs of spaced letters that the channel may have made."""
+def _units(texts: Texts, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, bytes, list[bool] | None]]:
+    """(first byte, end byte, unit, gaps) of the words and runs of letters set apart that the channel may have made."""
     data, n = texts.data, len(texts.data)
     if not len(starts):
         return []
     letter, sign = _IS_LETTER[data], _IS_SIGN[data]
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    signs = np.concatenate([[0], np.cumsum(sign)])
+    before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    letters, signs, tails = before(letter), before(sign), before(_ENDS[data])
     three = np.zeros(n, bool)
     three[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
-    threes = np.concatenate([[0], np.cumsum(three)])
+    threes = before(three)
     last = np.maximum.accumulate(np.where(letter, np.arange(n), -1))[ends - 1] + 1  # past the word's last letter
     last = np.maximum(last, starts)
-    hidden = ((signs[last] - signs[starts]) > 0) & ((letters[last] - letters[starts]) > 0)
+    held = last > starts
+    # Signs up to the last letter stand for letters; those after it may, unless they are punctuation.
+    ended = held & (tails[ends] - tails[last] > 0)
+    stop = np.where(ended, ends, last)
+    hidden = held & ((signs[last] - signs[starts] > 0) | ended) & (letters[last] - letters[starts] > 0)
     room = np.minimum(starts + 2, last)
     stretched = (threes[last] - threes[room]) > 0
-    fits = (ends - starts <= MOST_UNIT) & (last - starts >= 3)
-    words = np.flatnonzero((hidden | stretched) & fits)
-    out = [(a, b, data[a:b].tobytes()) for a, b in zip(starts[words].tolist(), last[words].tolist(), strict=True)]
+    words = np.flatnonzero((hidden | stretched) & (stop - starts >= 3))
+    out = [(a, b, data[a:b].tobytes(), None) for a, b in zip(starts[words].tolist(), stop[words].tolist(), strict=True)]
     single = (ends - starts == 1) & (letter | sign)[starts]
     edge = np.zeros(len(starts) + 1, bool)
     edge[firsts] = True
-    run = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
-    for a, b in zip(run[0::2].tolist(), run[1::2].tolist(), strict=True):
-        while a < b:
-            stop = next((k for k in range(a + 1, b) if edge[k]), b)
-            if 4 <= stop - a <= MOST_UNIT:
-                out.append((int(starts[a]), int(ends[stop - 1]), data[starts[a:stop]].tobytes()))
-            a = stop
-    return sorted(out)
-
-
-def restore(texts: Texts, model: np.ndarray) -> Texts:
-    """Texts in lower case with each unit replaced by its likeliest source word."""
+    begins = np.flatnonzero(single & ~(np.concatenate([[False], single[:-1]]) & ~edge[:-1]))
+    stops = np.flatnonzero(single & ~(np.concatenate([single[1:], [False]]) & ~edge[1:])) + 1
+    for a, b in zip(begins.tolist(), stops.tolist(), strict=True):
+        if b - a >= 4:
+            gaps = np.concatenate([[False], starts[a + 1 : b] - ends[a : b - 1] > 1]).tolist()
+            out.append((int(starts[a]), int(ends[b - 1]), data[starts[a:b]].tobytes(), gaps))
+    return sorted(out, key=lambda x: x[0])
+
+
+def restore(texts: Texts, model: np.ndarray, digest: bytes | None = None) -> Texts:
+    """Texts in lower case with each unit replaced by its likeliest source. ``digest`` names the model, if the caller knows it."""
     texts = lower(texts)
     starts, ends, firsts = texts.words()
     units = _units(texts, starts, ends, firsts)
     if not units:
         return texts
     store = sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker"))
-    known = store.__dict__.setdefault("restored", {})
-    if len(known) > MOST_REMEMBERED or known.get("model") != model[0, 0, :3].tolist():
-        known.clear()
-        known["model"] = model[0, 0, :3].tolist()
+    digest = digest or digest_of(model)
+    if getattr(store, "restored", (None, {}))[0] != digest or len(store.restored[1]) > MOST_REMEMBERED:
+        store.restored = (digest, {})
+    known = store.restored[1]
     pieces, at, shift = [], 0, np.zeros(len(texts) + 1, np.int64)
     data = texts.data.tobytes()
     owners = np.searchsorted(texts.offsets, [u[0] for u in units], side="right") - 1
-    for (a, b, unit), owner in zip(units, owners.tolist(), strict=True):
-        if unit not in known:
-            known[unit] = decode(unit.decode("utf-8", "replace"), model).encode()
-        word = known[unit]
+    for (a, b, unit, gaps), owner in zip(units, owners.tolist(), strict=True):
+        key = (unit, tuple(gaps) if gaps else None)
+        word = known.get(key)
+        if word is None:
+            word = decode(unit.decode("utf-8", "replace"), model, gaps).encode()
+            if len(unit) < LONGEST_REMEMBERED:
+                known[key] = word
         pieces += [data[at:a], word]
         at = b
         shift[owner + 1] += len(word) - (b - a)
@@ -181,6 +222,10 @@ def restore(texts: Texts, model: np.ndarray) -> Texts:
     return Texts(np.frombuffer(b"".join(pieces), np.uint8), texts.offsets + np.cumsum(shift))
 
 
+def digest_of(model: np.ndarray) -> bytes:
+    return hashlib.sha256(np.ascontiguousarray(model).tobytes()).digest()
+
+
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word spans' owner, hashes): a row for each word, a column for each prefix length and the whole word; 0 where there is none; and words of each text."""
     starts, ends, firsts = texts.words()
@@ -212,12 +257,13 @@ class Model:
     curve: np.ndarray  # of the evidence columns and 1
 
     def __post_init__(self) -> None:
+        self.digest = digest_of(self.language)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def evidence(self, texts: Texts) -> np.ndarray:
         """Of each text: its strongest word's weight, how many strong words it has, and its length."""
-        owner, hashes, words = features(restore(texts, self.language))
+        owner, hashes, words = features(restore(texts, self.language, self.digest))
         best = np.zeros(len(owner))
         row, column = np.nonzero(self.sieve[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if len(row) and len(self.keys):
@@ -244,12 +290,13 @@ def _sample(labels: DataFrame) -> DataFrame:
 
 def _lexicon(rows: DataFrame, language: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature hashes and their log-odds."""
+    digest = digest_of(language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 label = part.column("label").to_numpy()
-                owner, hashes, _ = features(restore(Texts.arrow(part.column("text")), language))
+                owner, hashes, _ = features(restore(Texts.arrow(part.column("text")), language, digest))
                 rows = np.repeat(owner, hashes.shape[1])
                 there = hashes.ravel() != 0
                 once = np.unique(np.stack([rows[there].astype(np.uint64), hashes.ravel()[there]], axis=1), axis=0)
@@ -312,7 +359,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def judge(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) for every row; the whole text is restored and scored, null as empty."""
+    """(doc_id, score) for every row, repeated ones too; the whole text is restored and scored, null as empty.
+
+    Ties can't arise: a score is a function of the text alone. Other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
