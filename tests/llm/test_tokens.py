@@ -138,6 +138,63 @@ def test_documents_run_on_over_files(spark, tmp_path):
     assert token_scan.unspell(token_scan.spell(-5)) == -5 and token_scan.unspell(token_scan.spell(None)) is None
 
 
+def brute_scan(files, joined):
+    """(file, document, start, tokens) by a plain loop over ids."""
+    out, number, opened = [], 0, None
+    for name, content in files:
+        ids = np.frombuffer(content[: len(content) // 2 * 2], "<u2").tolist()
+        if not joined:
+            number, opened = 0, None
+        for at, x in enumerate(ids):
+            opened = opened or [name, number, at, 0]
+            if x == token_scan.END:
+                out.append(tuple(opened))
+                number, opened = number + 1, None
+            else:
+                opened[3] += 1
+        if opened and not joined:
+            out.append(tuple(opened))
+    return out + ([tuple(opened)] if opened and joined else [])
+
+
+@pytest.mark.parametrize("joined", [False, True])
+@pytest.mark.parametrize("split", [31, 1 << 20])
+def test_files_larger_than_a_split(spark, tmp_path, split, joined):
+    """Files of many splits, ids with a zero byte in either half, empty documents, a byte order mark, odd ends, no ends."""
+    rng = np.random.default_rng(split)
+    files = [("a", b"\xef\xbb\xbf\x01\x00\x00\x05\x00"), ("b", b""), ("c", b"\x00\x00" * 9), ("d", b"\xef\xbb\xbf\x07"), ("e", b"\x05"), ("f", b"\x00\x01\x00\x00\x00")]
+    files += [(f"g{n}", rng.choice([0, 0, 1, 256, 512, 300, 65535, 40000], int(rng.integers(1, 80))).astype("<u2").tobytes()) for n in range(3)]
+    for name, content in files:
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = token_scan.scan(spark, f"file://{tmp_path}", joined=joined, block=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = sorted((r.file.rpartition("/")[2], r.document, r.start, r.tokens) for r in rows)
+    assert found == sorted(brute_scan(files, joined))
+
+
+def test_heads_across_splits(spark, odd, tokenizer, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    token_scan.write(odd.where("n_chars < 100 or n_chars is null").coalesce(1), folder)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        found = token_scan.scan(spark, folder, token_scan.HEADER).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = sorted(((r[0], len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in ODD if (r[4] or 0) < 100), key=str)
+    assert sorted(((token_scan.unspell(r.head), r.tokens) for r in found), key=str) == wanted
+
+
+def test_no_token_files(spark, empty, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    token_scan.write(empty, folder)
+    assert token_scan.scan(spark, folder, token_scan.HEADER).count() == 0
+
+
 def test_minhash_edits(odd, spark, sf_dir, documents):
     rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [r[1] or "" for r in rows]
