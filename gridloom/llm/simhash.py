@@ -18,14 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, release, table
+from .common import map_arrow, materialise, may_be_in, release, table
 from .components import connected
 from .textbytes import IS_SPACE, Texts, chunks, mix, shingles
 
@@ -157,9 +156,6 @@ MOST_MET = 16
 BAND_BINS = 128
 #: Pairs whose sketches estimate a similarity this far below SIMILARITY, four standard deviations, are dropped unseen.
 SLACK = 0.15
-#: The filter that spares rows of no interest a shuffle has so many bits for each row of interest, and 2 ** MOST_FILTER_BITS (128 MB)
-#: at most; where there are more such rows than that serves, more others are shuffled with them.
-FILTER_ROOM, MOST_FILTER_BITS = 32, 30
 
 
 def _shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -264,29 +260,6 @@ def _open_pairs(rarest: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[Da
     return met.select(_ordered("x", "y")).distinct(), [known, open_]
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of the low bits of a column ``node``, as many as its rows call for; its words are made by an aggregate and bounded by MOST_FILTER_BITS."""
-    bits = min(MOST_FILTER_BITS, max(10, (FILTER_ROOM * nodes.count()).bit_length()))
-    low = F.col("node").bitwiseAND(F.lit((1 << bits) - 1))
-    words = nodes.select(F.shiftrightunsigned(low, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out
-
-
-def _may_be_in(nodes: DataFrame):
-    """A function of a column of nodes: true for those of the table, and for few others. Only that column visits Python."""
-    bitmap = nodes.sparkSession.sparkContext.broadcast(_bitmap(nodes))
-
-    @F.pandas_udf("boolean")
-    def hit(node: pd.Series) -> pd.Series:
-        low = node.to_numpy() & (64 * len(bitmap.value) - 1)
-        return pd.Series((bitmap.value[low >> 6] >> (low & 63)) & 1 == 1)
-
-    return hit
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The groups (node, check, doc_id, component_id, first) of two documents or more whose links reach each other, and the nodes of repeated rows.
 
@@ -345,7 +318,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     release(prints)
     nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many).distinct(), "nodes", small=True)
     # Only texts that the bitmap hits are shingled and shuffled.
-    wanted = base.where(_may_be_in(nodes)(F.col("node")))
+    wanted = base.where(may_be_in(nodes)(F.col("node")))
     found = map_arrow(wanted, sets, "node bigint, check bigint, doc_id bigint, shingles binary").join(nodes, "node", "left_semi")
     found = materialise(found.dropDuplicates(["node"]), "shingles", small=True)
 
@@ -380,7 +353,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     losers = materialise(found.where(~F.col("first")).select("node", "check").distinct(), "losers", small=True)
     node, check = _unused(docs, "__node"), _unused(docs, "__check")
     of = lambda d: d.select(F.col("node").alias(node), F.col("check").alias(check))
-    gone = _may_be_in(losers.unionByName(twins))
+    gone = may_be_in(losers.unionByName(twins))
     keyed = docs.withColumns({node: _node(doc_id, text), check: _check(doc_id, text)})
     clear, doubtful = keyed.where(~gone(F.col(node))), keyed.where(gone(F.col(node)))
     left = doubtful.join(of(losers), [node, check], "left_anti")

@@ -48,6 +48,36 @@ def test_archives_round_trip(spark, pages, tmp_path, monkeypatch):
     assert whole.count(b"WARC-Record-ID:") == len(PAGES) and b"\r\nInjected" not in whole
 
 
+def test_merge_reads_blocks_in_turn(monkeypatch):
+    """Blocks arrive in the order of their first keys; the tree takes each just then, and one of each run is held at a time."""
+    monkeypatch.setattr(warc, "IN_BLOCK", 3)
+    rng = np.random.default_rng(7)
+    runs = [sorted(((f"u{rng.integers(9)}", "", int(rng.integers(99)), 0, "", "", None, f"f{r}", n) for n in range(int(rng.integers(1, 30)))), key=warc.order) for r in range(9)]
+    rows = sorted((row for run in runs for row in warc._blocks(0, run)), key=lambda row: row[1:7])
+    heads, stream = [row for row in rows if row[1] == 0], iter(row for row in rows if row[1] == 1)
+
+    def fetch(run):
+        block = next(stream)
+        assert block[2:7] == run.then
+        return block[12], None if block[7] is None else block[7:12]
+
+    merged = list(warc.LoserTree([warc.BlockRun(row[2:7], fetch) for row in heads]))
+    assert merged == sorted(itertools.chain(*runs), key=warc.order) and next(stream, None) is None
+
+
+def test_archives_are_bounded_by_bytes(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 2000)
+    monkeypatch.setattr(warc, "IN_BLOCK", 2)
+    folder = f"file://{tmp_path}/warc"
+    warc.write(pages.coalesce(1), folder)
+    sizes = [p.stat().st_size for p in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) <= 2000
+    rows = sorted(warc.index(spark, folder, []).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(len(PAGES)))
+    keys = [(r.urlkey, r.timestamp, -1 if r.page_id is None else r.page_id, r.file, r.offset) for r in rows]
+    assert keys == sorted(keys)
+
+
 def test_least_payload(spark, pages, tmp_path):
     folder = f"file://{tmp_path}/warc"
     warc.write(pages, folder, least=1)
@@ -67,7 +97,7 @@ def test_loser_tree(k):
     rng = np.random.default_rng(k)
     rows = [[(f"u{rng.integers(9)}", str(rng.integers(5)), int(rng.integers(99)), 0, "", "", None, f"f{r}", n) for n in range(int(rng.integers(0, 20)))] for r in range(k)]
     runs = [sorted(r, key=warc.order) for r in rows]
-    assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(itertools.chain(*rows), key=warc.order)
+    assert list(warc.LoserTree([warc.Run(iter(r)) for r in runs])) == sorted(itertools.chain(*rows), key=warc.order)
     assert list(warc.LoserTree([])) == []
 
 
