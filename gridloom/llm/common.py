@@ -18,8 +18,8 @@ from ..sources.session import shared_folder
 #: A word is a maximal run of code points other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: What goes to a Python worker at once, in rows and in bytes; a single longer row goes alone.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: Bytes that go to a Python worker at once; a single longer row goes alone.
+BATCH_BYTES = 4 << 20
 
 #: The filter that spares rows of no interest a shuffle has so many bits for each row of interest, and 2 ** MOST_FILTER_BITS (128 MB)
 #: at most; where there are more such rows than that serves, more others are shuffled with them.
@@ -35,16 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded size.
 
-    Spark has no setting of this for a single plan: the session's two limits are lowered to BATCH_ROWS and
-    BATCH_BYTES, and left as they are where the caller has set lower ones.
+    Spark has no setting of this for a single plan: the session's limit is lowered to BATCH_BYTES, and left as it is where the caller
+    has set a lower one.
     """
-    conf = df.sparkSession.conf
-    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, str(BATCH_ROWS))
-    said = conf.get(size)
-    if not said.lower().rstrip("b").isdigit() or not 0 < int(said.lower().rstrip("b")) <= BATCH_BYTES:
-        conf.set(size, str(BATCH_BYTES))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = conf.get(name).lower().rstrip("b")
+    if not said.isdigit() or not 0 < int(said) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import local, map_arrow, materialise, new_path, release, table, text_of
+from .common import local, map_arrow, materialise, new_path, table, text_of
 from .textbytes import Texts, chunks
 from .tokens import default_path, encoder
 
@@ -114,7 +114,7 @@ def prefix(rows: DataFrame, order: list[str], value: str, name: str) -> DataFram
 
 
 def _blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (file, block, value) of the files in their order within a block, parted at zero bytes; and (file, block, offset, bytes) of each block."""
+    """Rows (file, block, value) of the files in their order within a block, parted at zero bytes; and (id, file, block, offset, stop, mark) of each block."""
     rows = spark.read.option("lineSep", "\0").option("recursiveFileLookup", "true").text(folder)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
     sizes = rows.groupBy("file", "block", "size").agg(F.sum(F.length("value") + 1).alias("bytes"))
@@ -127,7 +127,7 @@ def _blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     placed = placed.select("file", "block", "size", offset.alias("offset"), "bytes", mark.alias("mark"))
     first = F.col("offset") == F.col("mark")
     placed = placed.select("file", "block", F.when(first, 0).otherwise(F.col("offset")).alias("offset"), F.least(F.col("offset") + F.col("bytes"), "size").alias("stop"), F.when(first, F.col("mark")).otherwise(0).alias("mark"))
-    return rows.select("file", "block", "value"), materialise(placed, "blocks", small=True)
+    return rows.select("file", "block", "value"), materialise(placed.withColumn("id", F.monotonically_increasing_id()), "blocks", small=True)
 
 
 def scan(spark: SparkSession, folder: str, header: int = 0, joined: bool = False, block: int = BLOCK) -> DataFrame:
@@ -168,41 +168,38 @@ def scan(spark: SparkSession, folder: str, header: int = 0, joined: bool = False
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             found = [pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(rows), pa.string()), pa.array([now[1]] * len(rows), pa.int64()), *found], ["file", "block", "number", "start", "length", "head"])
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(rows), pa.int64()), *found], ["id", "number", "start", "length", "head"])
 
         def finish() -> list[tuple]:
             rows = [opened] if opened else []
             return [*rows, (-1, 0, ends, [])]
 
         for batch in batches:
-            file, number, offset, stop, mark = (batch.column(k).to_pylist() for k in ("file", "block", "offset", "stop", "mark"))
-            edges = [0, *(i for i in range(1, len(file)) if (file[i], number[i]) != (file[i - 1], number[i - 1])), len(file)]
+            ids = batch.column("id").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if (file[a], number[a]) != now:
+                if ids[a] != now:
                     if now is not None:
                         yield batch_of(finish())
-                    now, at, ends, opened = (file[a], number[a]), offset[a] // 2, 0, None
+                    offset, stop, mark = (batch.column(k)[a].as_py() for k in ("offset", "stop", "mark"))
+                    now, at, ends, opened = int(ids[a]), offset // 2, 0, None
                     # A block that starts within an id starts after the zero byte that is the id's lower half.
-                    wait = b"\0" * (offset[a] % 2)
-                    left = stop[a] - offset[a]
-                    if mark[a]:
-                        wait += b"\xef\xbb\xbf"
-                        left -= 3
-                data = b"\0".join(batch.column("value").slice(a, b - a).to_pylist()) + b"\0"
-                data = data[:left]
+                    wait = b"\0" * (offset % 2) + (b"\xef\xbb\xbf" if mark else b"")
+                    left = stop - offset - mark
+                data = (b"\0".join(batch.column("value").slice(a, b - a).to_pylist()) + b"\0")[:left]
                 left -= len(data)
                 yield batch_of(take(data))
         if now is not None:
             yield batch_of(finish())
 
     rows, blocks = _blocks(spark, folder)
-    told = rows.join(F.broadcast(blocks), ["file", "block"]).select("file", "block", "offset", "stop", "mark", "value")
-    found = materialise(map_arrow(told, run, "file string, block bigint, number bigint, start bigint, length bigint, head array<int>"), "fragments")
-    release(blocks)
-    ends = prefix(found.where("number < 0").select("file", "block", F.col("length").alias("ends")), ["file", "block"], "ends", "before")
+    told = rows.join(F.broadcast(blocks), ["file", "block"]).select("id", "offset", "stop", "mark", "value")
+    found = materialise(map_arrow(told, run, "id bigint, number bigint, start bigint, length bigint, head array<int>"), "fragments")
+    ends = found.where("number < 0").select("id", F.col("length").alias("ends")).join(F.broadcast(blocks.select("id", "file", "block")), "id")
+    ends = prefix(ends, ["file", "block"], "ends", "before")
     of = Window.partitionBy("file")
     ends = ends.withColumns({"base": F.lit(0).cast("bigint") if joined else F.min("before").over(of), "first": F.col("block") == F.min("block").over(of)})
-    numbered = found.where("number >= 0").join(F.broadcast(ends), ["file", "block"]).withColumn("document", F.col("before") - F.col("base") + F.col("number"))
+    numbered = found.where("number >= 0").join(F.broadcast(ends), "id").withColumn("document", F.col("before") - F.col("base") + F.col("number"))
     # Fragments at a block's ends may go on in its neighbours; the others are whole documents.
     is_open = (F.col("number") == F.col("ends")) | ((F.col("number") == 0) & (F.lit(joined) | ~F.col("first")))
     keys = ["document"] if joined else ["file", "document"]
