@@ -12,6 +12,10 @@ from .dft import DFT
 from .projectors import Projector, tensor_index
 
 
+#: Momenta so close below the middle between two bins, in bins, count as in the middle and so to the higher bin: sums of squares differ in their last bits.
+TIE = 1e-9
+
+
 class PowerSpectra:
     """Binned spectra of fields on a lattice; bin b holds momenta that round to b times the bin width.
 
@@ -29,7 +33,7 @@ class PowerSpectra:
 
     def _bin(self, modes: DataFrame, powers: dict[str, Column], k_power: float, norm: float) -> DataFrame:
         k = F.sqrt(self.fft.k2())
-        bin_ = F.round(k / self.bin_width).cast("int")
+        bin_ = F.floor(k / self.bin_width + F.lit(0.5 + TIE)).cast("int")
         weight = self.fft.weight() * (F.pow(k, F.lit(float(k_power))) if k_power else F.lit(1.0))
         rows = modes.select(*self.lattice.outer, bin_.alias("bin"), self.fft.weight().alias("modes"), *[(weight * p).alias(n) for n, p in powers.items()])
         sums = rows.groupBy(*self.lattice.outer, "bin").agg(F.sum("modes").alias("modes"), *[(F.sum(n) / F.sum("modes") * norm).alias(n) for n in powers])

@@ -61,6 +61,7 @@ def from_ids(df: DataFrame, cell: str, lattice: Lattice) -> DataFrame:
     """Give rows with a row-major cell number, 0 up, their axes; rows of other numbers go."""
     ni, nj, nk = lattice.shape
     c = F.col(cell).cast("bigint")
-    place = (F.floor(c / (nj * nk)), F.pmod(F.floor(c / nk), F.lit(nj)), F.pmod(c, F.lit(nk)))
+    whole = lambda n: F.expr(f"cast(`{cell}` as bigint) div {n}L")  # noqa: E731  integers all the way, exact beyond 2 ** 53
+    place = (whole(nj * nk), F.pmod(whole(nk), F.lit(nj)), F.pmod(c, F.lit(nk)))
     inside = df.where((c >= 0) & (c < lattice.cells))
     return inside.select(*[p.cast("int").alias(a) for p, a in zip(place, lattice.axes, strict=True)], *df.columns)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ..operators.step import LowStorageRK3SSP, LowStorageRK124, LowStorageRK134, LowStorageRK144
-
+#: The smallest even lattice, its longest side at most five times the shortest, that holds all events; cells without one are 0.
 LAT = """
-size AS (SELECT CASE WHEN count(*) >= 32768 THEN 32 WHEN count(*) >= 4096 THEN 16 ELSE 8 END AS n FROM events),
+least AS (SELECT (max(event_id) + 8) // 8 AS m, CAST(ceil(cbrt((max(event_id) + 8) // 8)) AS BIGINT) AS s FROM events),
+tried AS (SELECT unnest(range(m, m + s * s + 1)) AS m, s FROM least), first AS (SELECT m, s, unnest(range(1, s + 1)) AS a FROM tried),
+second AS (SELECT m, a, unnest(range(a, 5 * a + 1)) AS b FROM first WHERE m % a = 0),
+size AS (SELECT CAST(2 * a AS INT) AS ni, CAST(2 * b AS INT) AS nj, CAST(2 * (m // (a * b)) AS INT) AS nk FROM second
+  WHERE m % (a * b) = 0 AND b <= m // (a * b) AND m // (a * b) <= 5 * a ORDER BY m, m // (a * b) - a, a DESC, b LIMIT 1),
 lat AS (
-  SELECT CAST(event_id // (n * n) AS INT) AS i, CAST(event_id // n % n AS INT) AS j, CAST(event_id % n AS INT) AS k,
-         CAST(round(value * 100) AS BIGINT) AS f, CAST(json_extract_string(props, '$.k') AS INT) AS g, n
-  FROM events, size WHERE event_id < n * n * n
-)"""
+  SELECT CAST(c // (nj * nk) AS INT) AS i, CAST(c // nk % nj AS INT) AS j, CAST(c % nk AS INT) AS k,
+         coalesce(CAST(round(value * 100) AS BIGINT), 0) AS f, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS g, ni, nj, nk
+  FROM (SELECT unnest(range(ni::BIGINT * nj * nk)) AS c, ni, nj, nk FROM size) LEFT JOIN events ON event_id = c)"""
 EMB = """
 emb AS (
   SELECT vec_id, CAST((p - 1) // 16 AS INT) AS i, CAST((p - 1) // 4 % 4 AS INT) AS j, CAST((p - 1) % 4 AS INT) AS k, CAST(embedding[p] AS DOUBLE) AS e
@@ -18,10 +20,10 @@ emb AS (
 )"""
 
 
-def _near(terms: str, value: str, table: str = "lat", n: str = "c.n") -> str:
+def _near(terms: str, value: str, table: str = "lat") -> str:
     """Joins a cell ``c`` with its neighbours ``x`` by a list of (di, dj, dk, w)."""
     return f"""FROM {table} c CROSS JOIN (VALUES {terms}) AS t(di, dj, dk, w)
-  JOIN {table} x ON x.i = (c.i + t.di + {n}) % {n} AND x.j = (c.j + t.dj + {n}) % {n} AND x.k = (c.k + t.dk + {n}) % {n} {value}"""
+  JOIN {table} x ON x.i = (c.i + t.di + c.ni) % c.ni AND x.j = (c.j + t.dj + c.nj) % c.nj AND x.k = (c.k + t.dk + c.nk) % c.nk {value}"""
 
 
 _AXES = (("{0}", "0", "0"), ("0", "{0}", "0"), ("0", "0", "{0}"))
@@ -59,9 +61,9 @@ SQL: dict[str, str] = {
     "streaming_stencil": f"""WITH {LAT} SELECT c.i, c.j, c.k, CAST(sum(t.w * CASE WHEN t.w = 3 THEN x.g ELSE x.f END) AS BIGINT) AS y
       {_near("(1, 0, 0, 1), (0, -1, 0, 2), (0, 0, 2, 3)", "")} GROUP BY ALL""",
     "stencil_nonlinear": f"""WITH {LAT} SELECT c.i, c.j, c.k, CAST(a.f * b.g + d.g * c.f AS BIGINT) AS y FROM lat c
-      JOIN lat a ON a.i = (c.i + 1) % c.n AND a.j = c.j AND a.k = c.k
-      JOIN lat b ON b.i = (c.i + c.n - 1) % c.n AND b.j = c.j AND b.k = c.k
-      JOIN lat d ON d.i = c.i AND d.j = (c.j + 1) % c.n AND d.k = (c.k + 1) % c.n""",
+      JOIN lat a ON a.i = (c.i + 1) % c.ni AND a.j = c.j AND a.k = c.k
+      JOIN lat b ON b.i = (c.i + c.ni - 1) % c.ni AND b.j = c.j AND b.k = c.k
+      JOIN lat d ON d.i = c.i AND d.j = (c.j + 1) % c.nj AND d.k = (c.k + 1) % c.nk""",
     "divergence": f"""WITH {LAT}, {_grad_cte(1, 0, "a")}, {_grad_cte(1, 1, "b", "x.g")}, {_grad_cte(1, 2, "c", "(x.f - x.g)")}
       SELECT i, j, k, round((a.v + b.v + c.v) / 2.0, 4) + 0.0 AS div FROM a JOIN b USING (i, j, k) JOIN c USING (i, j, k)""",
     "lap_outer": f"""WITH {EMB} SELECT c.vec_id, c.i, c.j, c.k, round(sum(t.w * x.e), 6) + 0.0 AS lap
@@ -82,8 +84,8 @@ SQL: dict[str, str] = {
     "reduce_sum": f"WITH {LAT} SELECT CAST(sum(f * g) AS DOUBLE) AS f_0, CAST(sum(g) AS DOUBLE) AS g_0 FROM lat",
     "reduce_max": f"WITH {LAT} SELECT CAST(max(f - g) AS DOUBLE) AS f_0, CAST(max(g) AS DOUBLE) AS g_0 FROM lat",
     "reduce_min": f"WITH {LAT} SELECT CAST(min(f - g) AS DOUBLE) AS f_0, CAST(min(g) AS DOUBLE) AS g_0 FROM lat",
-    "reduce_prod": f"""WITH {LAT}, p AS (SELECT product(1 + g / 100.0::DOUBLE) AS v FROM lat WHERE i = 0 AND j < 2)
-      SELECT round(v / pow(10.0, floor(log10(v))), 8) AS p_0 FROM p""",
+    "reduce_prod": f"""WITH {LAT}, p AS (SELECT i, j, product(1 + g / 100.0::DOUBLE) AS v FROM lat GROUP BY i, j)
+      SELECT i, j, round(v / pow(10.0, floor(log10(v))), 8) AS p_0 FROM p""",
     "reduce_lineitem": """SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_0, round(max(l_extendedprice), 2) AS net_1,
       round(min(l_extendedprice), 2) AS net_2, round(sum(l_quantity), 2) AS q_0 FROM lineitem GROUP BY ALL""",
     "field_stats": f"""WITH {LAT}, s AS (SELECT sum(f)::DOUBLE / count(*) AS m, sum(f * f)::DOUBLE / count(*) AS q, max(f) AS a, min(f) AS b, max(abs(f)) AS c, min(abs(f)) AS d FROM lat),
@@ -108,13 +110,13 @@ SQL: dict[str, str] = {
       SELECT m.vec_id, CAST(r AS INT) AS bin, CAST(coalesce(c, 0) AS DOUBLE) AS linear FROM m CROSS JOIN range(8) t(r) LEFT JOIN s ON s.vec_id = m.vec_id AND s.bin = r""",
     "halo_remove": f"WITH {LAT} SELECT i, j, k, f, g FROM lat",
     "gather_roundtrip": f"WITH {LAT} SELECT i, j, k, f FROM lat",
-    "block_shape": f"""WITH {LAT}, cut AS (SELECT n, n // 3 AS q, n % 3 AS r FROM size), b AS (
-        SELECT lat.f, CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END * 2 + j // (lat.n // 2) AS block FROM lat, cut)
+    "block_shape": f"""WITH {LAT}, cut AS (SELECT ni // 3 AS q, ni % 3 AS r FROM size), b AS (
+        SELECT lat.f, CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END * 2 + j // (lat.nj // 2) AS block FROM lat, cut)
       SELECT CAST(block AS INT) AS block, count(*) AS cells, CAST(sum(f) AS BIGINT) AS f FROM b GROUP BY block""",
-    "halo_pad": f"""WITH {LAT}, b AS (SELECT bi, bj, n FROM size, range(2) a(bi), range(2) c(bj)),
-      p AS (SELECT bi, bj, n, i, j, k FROM b, range(-1, 17 + 1) x(i), range(0, 16) y(j), range(-2, 34) z(k) WHERE i < n // 2 + 1 AND j < n // 2 AND k < n + 2)
+    "halo_pad": f"""WITH {LAT}, b AS (SELECT bi, bj, ni, nj, nk FROM size, range(2) a(bi), range(2) c(bj)), x AS (SELECT *, unnest(range(-1, ni // 2 + 1)) AS i FROM b),
+      y AS (SELECT *, unnest(range(0, nj // 2)) AS j FROM x), p AS (SELECT *, unnest(range(-2, nk + 2)) AS k FROM y)
       SELECT CAST(bi * 2 + bj AS INT) AS block, CAST(p.i AS INT) AS i, CAST(p.j AS INT) AS j, CAST(p.k AS INT) AS k, f FROM p
-      JOIN lat ON lat.i = (bi * (p.n // 2) + p.i + p.n) % p.n AND lat.j = bj * (p.n // 2) + p.j AND lat.k = (p.k + p.n) % p.n""",
+      JOIN lat ON lat.i = (bi * (p.ni // 2) + p.i + p.ni) % p.ni AND lat.j = bj * (p.nj // 2) + p.j AND lat.k = (p.k + p.nk) % p.nk""",
     "inject": f"WITH {LAT} SELECT i // 2 AS i, j // 2 AS j, k // 2 AS k, CAST(f AS DOUBLE) AS f FROM lat WHERE i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0",
 }
 
@@ -134,46 +136,169 @@ SQL["gradlap"] = f"""WITH {LAT}, {_lap_cte(2)}, {_grad_cte(2, 0, "a")}, {_grad_c
 
 def _dft(name: str, re: str, im: str = "0", half: bool = True) -> str:
     """CTEs ending in ``{name}`` (mi, mj, mk, re, im): mi to mk from 0 to n - 1, or mk to n / 2."""
-    turn = "cos(2 * pi() * ((m * {0}) % n) / n) AS c, -sin(2 * pi() * ((m * {0}) % n) / n) AS s"
-    last = "n // 2 + 1" if half else "n"
+    turn = "cos(2 * pi() * ((m * {0}) % n{0}) / n{0}) AS c, -sin(2 * pi() * ((m * {0}) % n{0}) / n{0}) AS s"
+    last = "nk // 2 + 1" if half else "nk"
     one = lambda at: f"SELECT *, {turn.format(at)}"
+    m = "(SELECT unnest(range(greatest(ni, nj, nk))) AS m FROM size) t"
     return f"""
-{name}1 AS (SELECT i, j, m AS mk, n, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM (
-  {one("k")} FROM (SELECT i, j, k, n, ({re})::DOUBLE AS re, ({im})::DOUBLE AS im FROM lat) l JOIN range(32) t(m) ON m < {last}) GROUP BY i, j, m, n),
-{name}2 AS (SELECT i, m AS mj, mk, n, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM ({one("j")} FROM {name}1 JOIN range(32) t(m) ON m < n) GROUP BY i, m, mk, n),
-{name} AS (SELECT m AS mi, mj, mk, n, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM ({one("i")} FROM {name}2 JOIN range(32) t(m) ON m < n) GROUP BY m, mj, mk, n)"""
+{name}1 AS (SELECT i, j, m AS mk, ni, nj, nk, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM (
+  {one("k")} FROM (SELECT i, j, k, ni, nj, nk, ({re})::DOUBLE AS re, ({im})::DOUBLE AS im FROM lat) l JOIN {m} ON m < {last}) GROUP BY i, j, m, ni, nj, nk),
+{name}2 AS (SELECT i, m AS mj, mk, ni, nj, nk, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM ({one("j")} FROM {name}1 JOIN {m} ON m < nj) GROUP BY i, m, mk, ni, nj, nk),
+{name} AS (SELECT m AS mi, mj, mk, ni, nj, nk, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM ({one("i")} FROM {name}2 JOIN {m} ON m < ni) GROUP BY m, mj, mk, ni, nj, nk)"""
 
 
-_K = "CAST(CASE WHEN m{0} <= n // 2 THEN m{0} ELSE m{0} - n END AS INT) AS k{1}"
+_K = "CAST(CASE WHEN m{0} <= n{0} // 2 THEN m{0} ELSE m{0} - n{0} END AS INT) AS k{1}"
 KEYS = ", ".join(_K.format(a, b) for a, b in (("i", "x"), ("j", "y"), ("k", "z")))
 
 SQL["dft_r2c"] = f"WITH {LAT}, {_dft('d', 'f')} SELECT {KEYS}, round(re) + 0.0 AS f_re, round(im) + 0.0 AS f_im FROM d"
-SQL["hermitian"] = SQL["dft_r2c"]
 SQL["dft_c2c"] = f"WITH {LAT}, {_dft('d', 'f', 'g * 100', half=False)} SELECT {KEYS}, round(re) + 0.0 AS z_re, round(im) + 0.0 AS z_im FROM d"
 SQL["idft_roundtrip"] = f"WITH {LAT} SELECT i, j, k, f::DOUBLE AS f, g::DOUBLE AS g FROM lat"
-SQL["zero_corner"] = f"""WITH {LAT}, {_dft("d", "f")} SELECT {KEYS}, CASE WHEN mk % (n // 2) = 0 THEN 0 ELSE round(re) + 0.0 END AS f_re,
-  CASE WHEN mk % (n // 2) = 0 THEN 0 ELSE round(im) + 0.0 END AS f_im FROM d WHERE mi % (n // 2) = 0 AND mj % (n // 2) = 0"""
-_SPECTRUM = f"""WITH {LAT}, {_dft("d", "f")}, q AS (SELECT {KEYS}, n, re, im FROM d),
-  m AS (SELECT n, re, im, sqrt(kx * kx + ky * ky + kz * kz) * (2 * pi() / n) AS k, CASE WHEN kz > 0 AND kz < n // 2 THEN 2.0 ELSE 1.0 END AS w FROM q),
-  b AS (SELECT CAST(round(k / (2 * pi() / n)) AS INT) AS bin, n, sum(w) AS modes, sum(w * k ** 3 * (re * re + im * im)) AS p FROM m GROUP BY 1, 2)"""
-SQL["power_spectrum"] = f"""{_SPECTRUM}, v AS (SELECT bin, modes, p / modes / (2 * pi() * pi() * n ** 3) AS p FROM b)
-  SELECT bin, modes::DOUBLE AS modes, CASE WHEN p > 1e-300 THEN round(p / pow(10.0, floor(log10(p))), 8) ELSE 0 END AS f FROM v"""
-SQL["mode_counts"] = f"""WITH {LAT}, q AS (SELECT i AS mi, j AS mj, k AS mk, n FROM lat WHERE k <= n // 2), s AS (SELECT {KEYS}, n FROM q)
-  SELECT CAST(round(sqrt(kx * kx + ky * ky + kz * kz)) AS INT) AS bin, sum(CASE WHEN kz > 0 AND kz < n // 2 THEN 2 ELSE 1 END)::DOUBLE AS modes, 1.0::DOUBLE AS u FROM s GROUP BY 1"""
-_EFF = ", ".join(f"CASE WHEN m{a} = n // 2 THEN 0 WHEN m{a} < n // 2 THEN m{a} ELSE m{a} - n END * 2 * pi() / n AS e{a}" for a in "ijk")
-SQL["transversify"] = f"""WITH {LAT}, {_dft("a", "f")}, {_dft("b", "g")}, {_dft("c", "f - g")},
-  v AS (SELECT mi, mj, mk, a.n, a.re AS ar, a.im AS ai, b.re AS br, b.im AS bi, c.re AS cr, c.im AS ci FROM a JOIN b USING (mi, mj, mk) JOIN c USING (mi, mj, mk)),
-  e AS (SELECT *, {_EFF} FROM v), q AS (SELECT *, ei * ei + ej * ej + ek * ek AS k2, ei * ar + ej * br + ek * cr AS dr, ei * ai + ej * bi + ek * ci AS di FROM e)
-  SELECT {KEYS}, {", ".join(f"CASE WHEN k2 < 1e-20 THEN 0.0::DOUBLE ELSE round({v}{p} - e{x} * d{p} / k2 + 0.037) + 0.0 END AS {n}_{'re' if p == 'r' else 'im'}" for v, x, n in (("a", "i", "f"), ("b", "j", "g"), ("c", "k", "u")) for p in "ri")} FROM q"""
-_ZERO = ", ".join(f"0.0::DOUBLE AS {v}_{p}" for v in ("f", "g", "u") for p in ("re", "im"))
-_MODES = f"SELECT {KEYS} FROM (SELECT i AS mi, j AS mj, k AS mk, n FROM lat WHERE k <= n // 2)"
-SQL["vec_pol"] = f"WITH {LAT}, m AS ({_MODES}) SELECT kx, ky, kz, {_ZERO} FROM m"
-SQL["decompose_vector"] = f"WITH {LAT}, m AS ({_MODES}) SELECT kx, ky, kz, {_ZERO} FROM m WHERE least(kx, ky, kz) > 0 AND greatest(kx, ky, kz) < 4"
-SQL["tt_project"] = f"WITH {LAT}, m AS ({_MODES}) SELECT kx, ky, kz, 0.0::DOUBLE AS trace_re, 0.0::DOUBLE AS trace_im FROM m"
-SQL["tensor_pol"] = f"WITH {LAT}, m AS ({_MODES}) SELECT kx, ky, kz, 0.0::DOUBLE AS h_1_re, 0.0::DOUBLE AS h_4_im FROM m"
+_CORNER = "mi % (ni // 2) = 0 AND mj % (nj // 2) = 0 AND mk % (nk // 2) = 0"
+SQL["zero_corner"] = f"""WITH {LAT}, {_dft("d", "f")} SELECT {KEYS}, CASE WHEN {_CORNER} THEN 0 ELSE round(re) + 0.0 END AS f_re,
+  CASE WHEN {_CORNER} THEN 0 ELSE round(im) + 0.0 END AS f_im FROM d"""
+# Of two modes at opposite wavenumbers in the planes kz = 0 and n / 2 the smaller decides; a mode that is its own opposite is real.
+SQL["hermitian"] = f"""WITH {LAT}, {_dft("d", "f")}, q AS (SELECT {KEYS}, mi, mj, mk, ni, nj, nk, re, im FROM d), h AS (SELECT *, re + 1000 * kx AS r, im + 70 * ky + 3 AS s FROM q),
+  o AS (SELECT a.kx, a.ky, a.kz, a.r, a.s, b.r AS r2, b.s AS s2, a.kz IN (0, a.nk // 2) AS tied, a.kx > b.kx OR (a.kx = b.kx AND a.ky > b.ky) AS later, a.kx = b.kx AND a.ky = b.ky AS own
+    FROM h a JOIN h b ON b.mi = (a.ni - a.mi) % a.ni AND b.mj = (a.nj - a.mj) % a.nj AND b.mk = a.mk)
+  SELECT kx, ky, kz, round(CASE WHEN tied AND later THEN r2 ELSE r END) + 0.0 AS f_re, round(CASE WHEN tied AND own THEN 0 WHEN tied AND later THEN -s2 ELSE s END) + 0.0 AS f_im FROM o"""
+
+_DK = "(2 * pi() / greatest(ni, nj, nk))"
+_K2 = "(pow(kx * 2 * pi() / ni, 2) + pow(ky * 2 * pi() / nj, 2) + pow(kz * 2 * pi() / nk, 2))"
+
+
+def _binned(modes: str, **powers: str) -> str:
+    """CTE b (bin, modes, and averages of the powers times k^3, not normalised) of a table with kx, ky, kz, ni, nj, nk."""
+    sums = ", ".join(f"sum(w * pow(k, 3) * ({x})) / sum(w) / (2 * pi() * pi() * ni * nj * nk) AS {n}" for n, x in powers.items())
+    return f"""kk AS (SELECT *, sqrt({_K2}) AS k, CASE WHEN kz > 0 AND kz < nk // 2 THEN 2.0 ELSE 1.0 END AS w FROM {modes}),
+  b AS (SELECT CAST(floor(k / {_DK} + 0.5 + 1e-9) AS INT) AS bin, sum(w)::DOUBLE AS modes, {sums} FROM kk GROUP BY 1, ni, nj, nk)"""
+
+
+def _leading(*names: str, digits: int = 6, scale: str = "1") -> str:
+    return ", ".join(f"CASE WHEN {n} / {scale} > 1e-300 THEN round({n} / {scale} / pow(10.0, floor(log10({n} / {scale}))), {digits}) ELSE 0 END AS {n}" for n in names)
+
+
+SQL["power_spectrum"] = f"""WITH {LAT}, {_dft("d", "f")}, q AS (SELECT {KEYS}, ni, nj, nk, re, im FROM d), {_binned("q", f="re * re + im * im")}
+  SELECT bin, modes, {_leading("f", digits=8)} FROM b"""
+SQL["mode_counts"] = f"""WITH {LAT}, q AS (SELECT i AS mi, j AS mj, k AS mk, ni, nj, nk FROM lat WHERE k <= nk // 2), s AS (SELECT {KEYS}, ni, nj, nk FROM q), {_binned("s", u="1")}
+  SELECT bin, modes, 1.0::DOUBLE AS u FROM b"""
+
+# Effective momenta, 0 at wavenumbers 0 and n / 2: of the continuum, and of first differences over one and two cells.
+_WAVE = {0: "{a}", 1: "sin({a})", 2: "(8 * sin({a}) - sin(2 * ({a}))) / 6"}
+
+
+def _momenta(h: int) -> str:
+    """Columns ei, ej, ek, k2, no_k, kmag, kappa, and the polarisation vector a1 + i b1, a2 + i b2, a3."""
+    out = []
+    for x in "ijk":
+        angle = f"(CASE WHEN m{x} < n{x} // 2 THEN m{x} ELSE m{x} - n{x} END * 2 * pi() / n{x})"
+        out.append(f"CASE WHEN m{x} IN (0, n{x} // 2) THEN 0 ELSE {_WAVE[h].format(a=angle)} END AS e{x}")
+    return ", ".join(out)
+
+
+_EPS = """SELECT *, CASE WHEN kappa > 0 THEN ei * ek / kmag / kappa / sqrt(2) WHEN kmag > 0 THEN 1 / sqrt(2) ELSE 0 END AS a1, CASE WHEN kappa > 0 THEN -ej / kappa / sqrt(2) ELSE 0 END AS b1,
+  CASE WHEN kappa > 0 THEN ej * ek / kmag / kappa / sqrt(2) ELSE 0 END AS a2, CASE WHEN kappa > 0 THEN ei / kappa / sqrt(2) WHEN kmag > 0 THEN 1 / sqrt(2) ELSE 0 END AS b2,
+  CASE WHEN kappa > 0 THEN -kappa / kmag / sqrt(2) ELSE 0 END AS a3, 0.0::DOUBLE AS b3"""
+
+
+def _modes_of(h: int, *fields: str) -> str:
+    """CTE q: modes r1, i1, r2, ... of the fields with momenta and polarisation vectors."""
+    names = ("da", "db", "dc")[: len(fields)]
+    values = ", ".join(f"{n}.re AS r{x}, {n}.im AS i{x}" for x, n in enumerate(names, 1))
+    joined = " ".join(["da", *(f"JOIN {n} USING (mi, mj, mk)" for n in names[1:])])
+    return f"""{", ".join(_dft(n, f) for n, f in zip(names, fields, strict=True))},
+  v AS (SELECT mi, mj, mk, da.ni, da.nj, da.nk, {values} FROM {joined}), w AS (SELECT *, {_momenta(h)}, {KEYS} FROM v),
+  u AS (SELECT *, sqrt(ei * ei + ej * ej + ek * ek) AS kmag, sqrt(ei * ei + ej * ej) AS kappa FROM w), q AS ({_EPS} FROM u)"""
+
+
+def _vector_parts(scale: str = "kmag * kmag") -> str:
+    """CTE p: plus, minus and lng of the vector r1 + i i1, ..."""
+    plus = " + ".join(f"r{x} * a{x} + i{x} * b{x}" for x in (1, 2, 3)), " + ".join(f"i{x} * a{x} - r{x} * b{x}" for x in (1, 2, 3))
+    minus = " + ".join(f"r{x} * a{x} - i{x} * b{x}" for x in (1, 2, 3)), " + ".join(f"i{x} * a{x} + r{x} * b{x}" for x in (1, 2, 3))
+    return f"""dv AS (SELECT *, ei * r1 + ej * r2 + ek * r3 AS dr, ei * i1 + ej * i2 + ek * i3 AS di FROM q),
+  p AS (SELECT *, {plus[0]} AS plus_re, {plus[1]} AS plus_im, {minus[0]} AS minus_re, {minus[1]} AS minus_im,
+    CASE WHEN kmag > 0 THEN di / ({scale}) ELSE 0 END AS lng_re, CASE WHEN kmag > 0 THEN -dr / ({scale}) ELSE 0 END AS lng_im FROM dv)"""
+
+
+def _rounded(x: str, name: str) -> str:
+    return f"round({x} + 0.00037, 2) + 0.0 AS {name}"
+
+
+_VECTOR = ("f", "g", "f - g")
+_NAMED = (("f", 1, "i"), ("g", 2, "j"), ("u", 3, "k"))
+_ACROSS = ", ".join(_rounded(f"(CASE WHEN kmag > 0 THEN {p}{x} - e{e} * d{p} / (kmag * kmag) ELSE 0 END)", f"{n}_{'re' if p == 'r' else 'im'}") for n, x, e in _NAMED for p in "ri")
+_WHOLE = ", ".join(_rounded(f"(CASE WHEN kmag > 0 THEN {p}{x} ELSE 0 END)", f"{n}_{'re' if p == 'r' else 'im'}") for n, x, _ in _NAMED for p in "ri")
+_POLES = ", ".join(_rounded(f"{n}_{p}", f"{n}_{p}") for n in ("plus", "minus") for p in ("re", "im"))
+SQL["transversify"] = f"WITH {LAT}, {_modes_of(0, *_VECTOR)}, {_vector_parts()} SELECT kx, ky, kz, {_ACROSS.replace('0.00037, 2', '0.037')} FROM p"
+SQL["vec_pol"] = f"WITH {LAT}, {_modes_of(2, *_VECTOR)}, {_vector_parts()} SELECT kx, ky, kz, {_POLES}, {_ACROSS} FROM p"
+SQL["decompose_vector"] = f"WITH {LAT}, {_modes_of(1, *_VECTOR)}, {_vector_parts()} SELECT kx, ky, kz, {_POLES}, {_rounded('lng_re', 'lng_re')}, {_rounded('lng_im', 'lng_im')}, {_WHOLE} FROM p"
+_ABS2 = {n: f"{n}_re * {n}_re + {n}_im * {n}_im" for n in ("plus", "minus", "lng")}
+SQL["pol_spectra"] = f"WITH {LAT}, {_modes_of(0, *_VECTOR)}, {_vector_parts()}, {_binned('p', plus=_ABS2['plus'], minus=_ABS2['minus'])} SELECT bin, modes, {_leading('plus', 'minus')} FROM b"
+SQL["vector_decomposition"] = f"WITH {LAT}, {_modes_of(0, *_VECTOR)}, {_vector_parts('kmag')}, {_binned('p', **_ABS2)} SELECT bin, modes, {_leading('plus', 'minus', 'lng')} FROM b"
+
+# The tensor f, g, f - g, 2 g, f + g, 2 f of the components 11, 12, 13, 22, 23, 33, by the modes r1 of f and r2 of g.
+_PLACE = {(a, b): n for n, (a, b) in enumerate(((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)))}
+_TENSOR = ("{p}1", "{p}2", "({p}1 - {p}2)", "2 * {p}2", "({p}1 + {p}2)", "2 * {p}1")
+
+
+def _h(a: int, b: int, part: str) -> str:
+    return _TENSOR[_PLACE[min(a, b), max(a, b)]].format(p=part)
+
+
+_HAT = {1: "ei", 2: "ej", 3: "ek"}
+_P = ", ".join(f"CASE WHEN kmag > 0 THEN {int(a == b)} - {_HAT[a]} * {_HAT[b]} / (kmag * kmag) ELSE 0 END AS p{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3))
+
+
+def _tt(a: int, b: int, part: str) -> str:
+    return " + ".join(f"(p{a}{c} * p{d}{b} - p{a}{b} * p{c}{d} / 2) * {_h(c, d, part)}" for c in (1, 2, 3) for d in (1, 2, 3))
+
+
+_FLAT = f"pp AS (SELECT *, {_P} FROM q), tt AS (SELECT *, " + ", ".join(f"{_tt(a, b, p)} AS h_{n}_{'re' if p == 'r' else 'im'}" for (a, b), n in _PLACE.items() for p in "ri") + " FROM pp)"
+_SIX = ", ".join(_rounded(f"h_{n}_{p}", f"h_{n}_{p}") for n in range(6) for p in ("re", "im"))
+SQL["tt_project"] = f"WITH {LAT}, {_modes_of(0, 'f', 'g')}, {_FLAT} SELECT kx, ky, kz, {_SIX} FROM tt"
+
+
+def _poles(sign: int) -> tuple[str, str]:
+    """Real and imaginary part of h contracted twice with the polarisation vector (sign 1) or its conjugate (-1)."""
+    re, im = [], []
+    for c in (1, 2, 3):
+        for d in (1, 2, 3):
+            x, y = f"(a{c} * a{d} - b{c} * b{d})", f"({sign} * (a{c} * b{d} + b{c} * a{d}))"
+            re.append(f"{_h(c, d, 'r')} * {x} - {_h(c, d, 'i')} * {y}")
+            im.append(f"{_h(c, d, 'r')} * {y} + {_h(c, d, 'i')} * {x}")
+    return " + ".join(re), " + ".join(im)
+
+
+_TPOL = f"tp AS (SELECT *, {_poles(-1)[0]} AS plus_re, {_poles(-1)[1]} AS plus_im, {_poles(1)[0]} AS minus_re, {_poles(1)[1]} AS minus_im FROM tt)"
+SQL["tensor_pol"] = f"WITH {LAT}, {_modes_of(0, 'f', 'g')}, {_FLAT}, {_TPOL} SELECT kx, ky, kz, {_POLES}, {_SIX} FROM tp"
+_ALL9 = " + ".join(f"h_{_PLACE[min(a, b), max(a, b)]}_{p} * h_{_PLACE[min(a, b), max(a, b)]}_{p}" for a in (1, 2, 3) for b in (1, 2, 3) for p in ("re", "im"))
+SQL["gw"] = f"WITH {LAT}, {_modes_of(0, 'f', 'g')}, {_FLAT}, {_binned('tt', gw=_ALL9)} SELECT bin, modes, {_leading('gw', scale='27.0')} FROM b"
+SQL["gw_polarization"] = f"WITH {LAT}, {_modes_of(0, 'f', 'g')}, {_FLAT}, {_TPOL}, {_binned('tp', plus=_ABS2['plus'], minus=_ABS2['minus'])} SELECT bin, modes, {_leading('plus', 'minus', scale='27.0')} FROM b"
+
+
+def _spectral(axis: str, name: str, value: str, order: int) -> str:
+    """CTE (i, j, k, v): the derivative along an axis as a sum over its line, with the weights that the modes below n / 2 add up to."""
+    n = f"n{axis}"
+    q = f"unnest(range(1, {n} // 2)) AS q"
+    if order == 1:
+        weight, extra = "sum(-2.0 / {n} * (2 * pi() * q / {n}) * sin(2 * pi() * ((q * d) % {n}) / {n}))", "0"
+    else:
+        weight, extra = "sum(-2.0 / {n} * pow(2 * pi() * q / {n}, 2) * cos(2 * pi() * ((q * d) % {n}) / {n}))", "- pi() * pi() / {n} * cos(pi() * d)"
+    rest = [x for x in "ijk" if x != axis]
+    return f"""{name}w AS (SELECT d, {weight.format(n=n)} {extra.format(n=n) if order == 2 else ""} AS w FROM (SELECT {n}, d, {q} FROM (SELECT {n}, unnest(range({n})) AS d FROM size)) GROUP BY d, {n}),
+  {name} AS (SELECT c.i, c.j, c.k, sum(w * ({value})) AS v FROM lat c JOIN lat x ON x.{rest[0]} = c.{rest[0]} AND x.{rest[1]} = c.{rest[1]} JOIN {name}w ON d = (c.{axis} - x.{axis} + c.{n}) % c.{n} GROUP BY c.i, c.j, c.k)"""
+
+
+_FIRSTS = ", ".join(_spectral(x, f"d{x}", "x.f", 1) for x in "ijk")
+_SECONDS = ", ".join(_spectral(x, f"s{x}", "x.f", 2) for x in "ijk")
+SQL["spectral_derivs"] = f"""WITH {LAT}, {_FIRSTS}, {_SECONDS} SELECT i, j, k, round(si.v + sj.v + sk.v, 2) + 0.0 AS lap, round(di.v, 2) + 0.0 AS dx, round(dj.v, 2) + 0.0 AS dy, round(dk.v, 2) + 0.0 AS dz
+  FROM di JOIN dj USING (i, j, k) JOIN dk USING (i, j, k) JOIN si USING (i, j, k) JOIN sj USING (i, j, k) JOIN sk USING (i, j, k)"""
+SQL["spectral_divergence"] = f"""WITH {LAT}, {_spectral("i", "di", "x.f", 1)}, {_spectral("j", "dj", "x.g", 1)}, {_spectral("k", "dk", "x.f - x.g", 1)}
+  SELECT i, j, k, round(di.v + dj.v + dk.v, 2) + 0.0 AS div FROM di JOIN dj USING (i, j, k) JOIN dk USING (i, j, k)"""
 SQL["poisson"] = f"WITH {LAT}, a AS (SELECT round(avg(f), 3) AS mean FROM lat) SELECT i, j, k, mean FROM lat, a"
-for _name in ("random_vector", "random_vector_pol"):
-    SQL[_name] = f"WITH {LAT} SELECT i, j, k, 0.0::DOUBLE AS div FROM lat"
+_GRID = f"g AS (SELECT i AS mi, j AS mj, k AS mk, ni, nj, nk FROM lat WHERE k <= nk // 2), w AS (SELECT *, {KEYS}, {_momenta(0)} FROM g)"
+SQL["random_amplitudes"] = f"WITH {LAT}, {_GRID} SELECT kx, ky, kz, CASE WHEN {_CORNER} THEN 0.0 ELSE round(1e6 / (ni * nj * nk) / {_K2}, 6) END::DOUBLE AS power FROM w"
+SQL["random_vector_pol"] = f"""WITH {LAT}, {_GRID} SELECT kx, ky, kz, CASE WHEN ({_CORNER}) OR (ei = 0 AND ej = 0 AND ek = 0) THEN 0.0 ELSE round(3e6 / (ni * nj * nk) / sqrt({_K2}), 5) END::DOUBLE AS power FROM w"""
+SQL["random_vector"] = f"WITH {LAT} SELECT i, j, k, 0.0::DOUBLE AS div, true AS lives FROM lat"
 
 
 # --- time steps of f' = g, g' = -f - g / 10 by dt = 0.1: each stage is a CTE
@@ -224,10 +349,25 @@ SQL["step_LowStorageRK54"] = _low_storage(
     ["0", "-567301805773 / 1357537059087::DOUBLE", "-2404267990393 / 2016746695238::DOUBLE", "-3550918686646 / 2091501179385::DOUBLE", "-1275806237668 / 842570457699::DOUBLE"],
     ["1432997174477 / 9575080441755::DOUBLE", "5161836677717 / 13612068292357::DOUBLE", "1720146321549 / 2090206949498::DOUBLE", "3134564353537 / 4481467310338::DOUBLE", "2277821191437 / 14882151754819::DOUBLE"],
 )
-for _kind in (LowStorageRK144, LowStorageRK134, LowStorageRK124, LowStorageRK3SSP):  # tests hold these coefficients against their order
-    SQL[f"step_{_kind.__name__}"] = _low_storage([repr(float(x)) for x in _kind.A], [repr(float(x)) for x in _kind.B])
-SQL["wave_step"] = f"""WITH {LAT}, s AS (SELECT i, j, k, n, f / 1000.0::DOUBLE AS f, g / 10.0::DOUBLE AS g FROM lat), {_lap_cte(table="s", name="l0")},
-  h AS (SELECT s.i, s.j, s.k, s.n, s.f AS f0, s.g AS g0, s.f + 0.05 * s.g AS f, s.g + 0.05 * v AS g FROM s JOIN l0 USING (i, j, k)), {_lap_cte(table="h", name="l1")}
+# The published coefficients of the longer methods, and those of the strong-stability preserving one.
+SQL["step_LowStorageRK144"] = _low_storage(
+    ["0", "-0.718801210867241", "-0.778533117342157", "-0.0053282796654044", "-0.8552979934029281", "-3.956413824577456", "-1.578057538058738", "-2.083709455257405", "-0.748333418276161", "-0.7032861106563359", "0.0013917096117681", "-0.09320753696374599", "-0.9514200470875948", "-7.115157169392255"],
+    ["0.0367762454319673", "0.3136296607553959", "0.1531848691869027", "0.0030097086818182", "0.332629379064611", "0.2440251405350864", "0.3718879239592277", "0.6204126221582444", "0.1524043173028741", "0.0760894927419266", "0.0077604214040978", "0.0024647284755382", "0.0780348340049386", "5.505977727026963"],
+)
+SQL["step_LowStorageRK134"] = _low_storage(
+    ["0", "-0.6160178650170565", "-0.4449487060774118", "-1.095203334527618", "-1.225603078595919", "-0.2740182222332805", "-0.0411952089052647", "-0.179708489915356", "-1.177153065206429", "-0.4078831463120878", "-0.8295636426191777", "-4.789597058425229", "-0.6606671432964504"],
+    ["0.0271990297818803", "0.1772488819905108", "0.0378528418949694", "0.6086431830142991", "0.21543139743161", "0.2066152563885843", "0.0415864076069797", "0.0219891884310925", "0.9893081222650993", "0.0063199019859826", "0.3749640721105318", "1.608023515100319", "0.0961209123818189"],
+)
+SQL["step_LowStorageRK124"] = _low_storage(
+    ["0", "-0.0923311242368072", "-0.9441056581158819", "-4.327127324757639", "-2.155777132902607", "-0.9770727190189062", "-0.7581835342571139", "-1.79775254708255", "-2.691566797270077", "-4.646679896026814", "-0.1539613783825189", "-0.5943293901830616"],
+    ["0.0650008435125904", "0.0161459902249842", "0.5758627178358159", "0.1649758848361671", "0.3934619494248182", "0.0443509641602719", "0.2074504268408778", "0.6914247433015102", "0.3766646883450449", "0.0757190350155483", "0.2027862031054088", "0.2167029365631842"],
+)
+SQL["step_LowStorageRK3SSP"] = _low_storage(
+    ["0", "-2.915492524638904", "-9.354196991098471e-08"],
+    ["0.924574", "0.2877130631867484", "0.6265381095127404"],
+)
+SQL["wave_step"] = f"""WITH {LAT}, s AS (SELECT i, j, k, ni, nj, nk, f / 1000.0::DOUBLE AS f, g / 10.0::DOUBLE AS g FROM lat), {_lap_cte(table="s", name="l0")},
+  h AS (SELECT s.i, s.j, s.k, s.ni, s.nj, s.nk, s.f AS f0, s.g AS g0, s.f + 0.05 * s.g AS f, s.g + 0.05 * v AS g FROM s JOIN l0 USING (i, j, k)), {_lap_cte(table="h", name="l1")}
   SELECT h.i, h.j, h.k, round(f0 + 0.1 * g, 6) + 0.0 AS f, round(g0 + 0.1 * v, 6) + 0.0 AS g FROM h JOIN l1 USING (i, j, k)"""
 
 # --- multigrid
@@ -240,15 +380,15 @@ SQL["restrict_correct"] = f"WITH {LAT}, {_COARSE} SELECT c.i, c.j, c.k, round(la
 
 def _axis(table: str, out: str, axis: str, weights: dict[int, str]) -> str:
     """Odd cells along one axis from even ones."""
-    rest = [a for a in "ijk" if a != axis]
+    n = f"n{axis}"
     taps = ", ".join(f"({d}, {w})" for d, w in weights.items())
-    keys = ", ".join(["i", "j", "k"])
-    odd = f"SELECT {', '.join(f'y.{a}' if a == axis else f'x.{a}' for a in 'ijk')}, x.n, sum(w * x.f) AS f FROM {table} x CROSS JOIN (VALUES {taps}) t(d, w) JOIN (SELECT CAST(r AS INT) AS {axis}, n FROM size, range(32) q(r) WHERE r < n AND r % 2 = 1) y ON x.{axis} = (y.{axis} + d + 2 * y.n) % y.n GROUP BY y.{axis}, x.{rest[0]}, x.{rest[1]}, x.n"
-    return f"{out} AS (SELECT {keys}, n, f FROM {table} UNION ALL SELECT {keys}, n, f FROM ({odd}))"
+    place = ", ".join("y.at" if a == axis else f"x.{a}" for a in "ijk")
+    odd = f"SELECT {place}, x.ni, x.nj, x.nk, sum(w * x.f) AS f FROM {table} x CROSS JOIN (VALUES {taps}) t(d, w) JOIN (SELECT CAST(unnest(range(1, {n}, 2)) AS INT) AS at, {n} FROM size) y ON x.{axis} = (y.at + d + 2 * y.{n}) % y.{n} GROUP BY {place}, x.ni, x.nj, x.nk"
+    return f"{out} AS (SELECT i, j, k, ni, nj, nk, f FROM {table} UNION ALL {odd})"
 
 
 def _interpolated(weights: dict[int, str]) -> str:
-    start = "p0 AS (SELECT i, j, k, n, f::DOUBLE AS f FROM lat WHERE i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0)"
+    start = "p0 AS (SELECT i, j, k, ni, nj, nk, f::DOUBLE AS f FROM lat WHERE i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0)"
     return ", ".join([start, _axis("p0", "p1", "i", weights), _axis("p1", "p2", "j", weights), _axis("p2", "p3", "k", weights)])
 
 
@@ -257,7 +397,7 @@ SQL["interp_linear"] = f"WITH {LAT}, {_interpolated(_LINEAR)} SELECT i, j, k, ro
 SQL["interp_cubic"] = f"WITH {LAT}, {_interpolated(_CUBIC)} SELECT i, j, k, round(f, 6) + 0.0 AS f FROM p3"
 SQL["interp_correct"] = f"WITH {LAT}, {_interpolated(_LINEAR)} SELECT p3.i, p3.j, p3.k, round(p3.f + lat.f, 6) + 0.0 AS f FROM p3 JOIN lat USING (i, j, k)"
 SQL["jacobi_sweep"] = f"""WITH {LAT}, {_lap_cte()} SELECT lat.i, lat.j, lat.k, round(0.5 * f + 0.5 * (g - (v - f + 7 * f)) / -7.0::DOUBLE, 6) + 0.0 AS f FROM lat JOIN lap USING (i, j, k)"""
-SQL["newton_sweep"] = f"""WITH {LAT}, s AS (SELECT i, j, k, n, f / 10000.0::DOUBLE AS f, g / 100.0::DOUBLE AS g FROM lat), {_lap_cte(table="s")}
+SQL["newton_sweep"] = f"""WITH {LAT}, s AS (SELECT i, j, k, ni, nj, nk, f / 10000.0::DOUBLE AS f, g / 100.0::DOUBLE AS g FROM lat), {_lap_cte(table="s")}
   SELECT s.i, s.j, s.k, round(f - 0.5 * (v - f * f * f - f - g) / (-6 - 3 * f * f - 1), 8) + 0.0 AS f FROM s JOIN lap USING (i, j, k)"""
 SQL["residual_norms"] = f"""WITH {LAT}, {_lap_cte()}, r AS (SELECT (g - (v - f))::DOUBLE AS r FROM lat JOIN lap USING (i, j, k))
   SELECT round(max(abs(r)), 3) AS max_f, round(sqrt(sum(r * r) / count(*)), 3) AS rms_f FROM r"""
@@ -274,32 +414,3 @@ SQL["stress_tensor"] = f"""WITH {LAT}, {_STATE}, q AS (SELECT *, (d0 * d0 + d1 *
   SELECT i, j, k, round(d0 * d0 + d1 * d1 - 2.25 * lag + 3.7e-9, 7) + 0.0 AS t00, round(d0 * f0 + d1 * f1 + 3.7e-9, 7) + 0.0 AS t01, round(4 * (f0 * f0 + f1 * f1) + 2.25 * lag + 3.7e-9, 7) + 0.0 AS t22,
   round(2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS s12, round(0.5 - 0.6 * 0.25 + 16 * pi() * 2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS h12 FROM q"""
 SQL["output_append"] = f"WITH {LAT} SELECT t::BIGINT AS t, round(avg(g + t), 9) AS mean FROM lat, range(2) r(t) GROUP BY t"
-
-# --- whole tables: the statements above over all events
-
-#: A cell for each event, in a line.
-ALL = """
-size AS (SELECT max(event_id) + 1 AS n FROM events),
-lat AS (SELECT CAST(event_id AS INT) AS i, 0 AS j, 0 AS k, CAST(round(value * 100) AS BIGINT) AS f, CAST(json_extract_string(props, '$.k') AS INT) AS g, n FROM events, size)"""
-#: The smallest even lattice, its longest side at most five times the shortest, that holds all events; other cells are 0.
-EVEN = """
-least AS (SELECT (max(event_id) + 8) // 8 AS m, CAST(ceil(cbrt((max(event_id) + 8) // 8)) AS BIGINT) AS s FROM events),
-tried AS (SELECT unnest(range(m, m + s * s + 1)) AS m, s FROM least), first AS (SELECT m, s, unnest(range(1, s + 1)) AS a FROM tried),
-second AS (SELECT m, a, unnest(range(a, 5 * a + 1)) AS b FROM first WHERE m % a = 0),
-size AS (SELECT CAST(2 * a AS INT) AS ni, CAST(2 * b AS INT) AS nj, CAST(2 * (m // (a * b)) AS INT) AS nk FROM second
-  WHERE m % (a * b) = 0 AND b <= m // (a * b) AND m // (a * b) <= 5 * a ORDER BY m, m // (a * b) - a, a DESC, b LIMIT 1),
-lat AS (
-  SELECT CAST(c // (nj * nk) AS INT) AS i, CAST(c // nk % nj AS INT) AS j, CAST(c % nk AS INT) AS k,
-         coalesce(CAST(round(value * 100) AS BIGINT), 0) AS f, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS g, ni, nj, nk
-  FROM (SELECT unnest(range(ni::BIGINT * nj * nk)) AS c, ni, nj, nk FROM size) LEFT JOIN events ON event_id = c)"""
-for _name in [n for n in SQL if n.startswith(("map_", "step_", "hist_", "reduce_", "scalar_")) or n in ("potential_diff", "expr_rewrite", "field_stats", "rho_and_p", "stress_tensor", "output_append")]:
-    if LAT in SQL[_name] and _name != "reduce_prod":
-        SQL[f"{_name}_all"] = SQL[_name].replace(LAT, ALL)
-for _name in ("laplacian_h1", "lap_summary", "streaming_stencil", "divergence", "gradlap", *[f"grad_h{h}" for h in (1, 2, 3, 4)], *[f"lap_h{h}" for h in (2, 3, 4)], "halo_remove", "gather_roundtrip", "inject", "full_weighting",
-              "restrict_correct", "jacobi_sweep", "residual_norms", "lhs_correction", "idft_roundtrip", "poisson"):
-    _text = SQL[_name].replace(LAT, EVEN)
-    for _a in "ijk":
-        _text = _text.replace(f"(c.{_a} + t.d{_a} + c.n) % c.n", f"(c.{_a} + t.d{_a} + c.n{_a}) % c.n{_a}")
-    SQL[f"{_name}_all"] = _text
-SQL["reduce_prod_all"] = f"""WITH {EVEN}, p AS (SELECT i, j, product(1 + g / 100.0::DOUBLE) AS v FROM lat GROUP BY i, j)
-  SELECT i, j, round(v / pow(10.0, floor(log10(v))), 8) AS p_0 FROM p"""

@@ -18,7 +18,7 @@ from ..operators.multigrid import CubicInterpolation, FullApproximationScheme, F
 from ..operators.reduction import FieldStatistics, Reduction
 from ..operators.stencil import FiniteDifferencer, SecondCenteredDifference, Stencil, StreamingStencil
 from ..operators.step import Stepper, all_steppers, more_steppers
-from ..sources import OutputFile, all_events, embedding_lattice, event_lattice, whole_event_lattice
+from ..sources import OutputFile, embedding_lattice, event_lattice
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,34 +63,34 @@ def _laplacian(h: int = 1, field: Field = f):
 
 
 @query("laplacian_h1")
-def laplacian_h1(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def laplacian_h1(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return Stencil({"lap": _laplacian()}, 1)(df, lattice).select("i", "j", "k", "lap")
 
 
 @query("lap_summary")
-def lap_summary(spark, sf_dir, events=event_lattice):
-    lap = Stencil({"lap": _laplacian()}, 1)(*events(spark, sf_dir))
+def lap_summary(spark, sf_dir):
+    lap = Stencil({"lap": _laplacian()}, 1)(*event_lattice(spark, sf_dir))
     return lap.agg(F.sum("lap").alias("total"), F.min("lap").alias("least"), F.max("lap").alias("most"), F.sum(F.abs("lap")).alias("size"))
 
 
 @query("streaming_stencil")
-def streaming_stencil(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def streaming_stencil(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     s = StreamingStencil({"y": shift_fields(f, (1, 0, 0)) + 2 * shift_fields(f, (0, -1, 0)) + 3 * shift_fields(g, (0, 0, 2))}, 2, prefetch_args=["f"])
     return s(df, lattice).select("i", "j", "k", "y")
 
 
 @query("stencil_nonlinear")
-def stencil_nonlinear(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def stencil_nonlinear(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     s = Stencil({"y": shift_fields(f, (1, 0, 0)) * shift_fields(g, (-1, 0, 0)) + shift_fields(g, (0, 1, 1)) * f}, 1)
     return s(df, lattice).select("i", "j", "k", "y")
 
 
 def _gradient(h: int) -> Query:
-    def run(spark, sf_dir, events=event_lattice):
-        df, lattice = events(spark, sf_dir)
+    def run(spark, sf_dir):
+        df, lattice = event_lattice(spark, sf_dir)
         found = FiniteDifferencer(lattice, h)(df, "f", grd=("dx", "dy", "dz"))
         return found.select("i", "j", "k", _r("dx", 4), _r("dy", 4), _r("dz", 4))
 
@@ -98,8 +98,8 @@ def _gradient(h: int) -> Query:
 
 
 def _lap(h: int) -> Query:
-    def run(spark, sf_dir, events=event_lattice):
-        df, lattice = events(spark, sf_dir)
+    def run(spark, sf_dir):
+        df, lattice = event_lattice(spark, sf_dir)
         return FiniteDifferencer(lattice, h)(df, "f", lap="lap").select("i", "j", "k", _r("lap", 4))
 
     return run
@@ -112,15 +112,15 @@ for _h in (1, 2, 3, 4):
 
 
 @query("gradlap")
-def gradlap(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def gradlap(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     found = FiniteDifferencer(lattice, 2)(df, "f", lap="lap", grd=("dx", "dy", "dz"))
     return found.select("i", "j", "k", _r("lap", 4), _r("dx", 4), _r("dy", 4), _r("dz", 4))
 
 
 @query("divergence")
-def divergence(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def divergence(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     df = df.withColumn("u", F.col("f") - F.col("g"))
     return FiniteDifferencer(lattice, 1).divergence(df, ("f", "g", "u"), "div").select("i", "j", "k", _r("div", 4))
 
@@ -135,30 +135,30 @@ def lap_outer(spark, sf_dir):
 
 
 @query("map_tmp")
-def map_tmp(spark, sf_dir, events=event_lattice):
-    df, _ = events(spark, sf_dir)
+def map_tmp(spark, sf_dir):
+    df, _ = event_lattice(spark, sf_dir)
     t = Param("t")
     m = ElementWiseMap([(f, f + t), (g, f * 2 + g - t)], tmp_instructions=[(t, f * g + 1)])
     return m(df).select("i", "j", "k", "f", "g")
 
 
 @query("map_if")
-def map_if(spark, sf_dir, events=event_lattice):
-    df, _ = events(spark, sf_dir)
+def map_if(spark, sf_dir):
+    df, _ = event_lattice(spark, sf_dir)
     inside = LogicalAnd(Compare(g, ">", 20), Compare(g, "<=", 60))
     return ElementWiseMap({"y": If(inside, f * g, -1 * f)})(df).select("i", "j", "k", "y")
 
 
 @query("map_single")
-def map_single(spark, sf_dir, events=event_lattice):
-    df, _ = events(spark, sf_dir)
+def map_single(spark, sf_dir):
+    df, _ = event_lattice(spark, sf_dir)
     m = ElementWiseMap({"y": 3 * f - g**2 + Param("c")})
     return m(df, filter_args=True, keys=["i", "j", "k"], c=7).select("i", "j", "k", F.col("y").cast("bigint").alias("y"))
 
 
 @query("map_functions")
-def map_functions(spark, sf_dir, events=event_lattice):
-    df, _ = events(spark, sf_dir)
+def map_functions(spark, sf_dir):
+    df, _ = event_lattice(spark, sf_dir)
     x = g / 100
     m = ElementWiseMap({
         "a": call("sqrt", x) + call("exp", x) - call("log", x + 1),
@@ -171,17 +171,17 @@ def map_functions(spark, sf_dir, events=event_lattice):
 
 
 @query("potential_diff")
-def potential_diff(spark, sf_dir, events=event_lattice):
-    df, _ = events(spark, sf_dir)
+def potential_diff(spark, sf_dir):
+    df, _ = event_lattice(spark, sf_dir)
     v = g**4 / 4 - 5 * g**2 * f + f**2 / 2
     m = ElementWiseMap({"dg": diff(v, g), "df": diff(v, f), "dgf": diff(v, g, f)})
     return m(df).select("i", "j", "k", _r("dg", 0), _r("df", 0), _r("dgf", 0))
 
 
 @query("expr_rewrite")
-def expr_rewrite(spark, sf_dir, events=event_lattice):
+def expr_rewrite(spark, sf_dir):
     """Substitution and indexing: the expression after its fields were exchanged, and how it is spelt."""
-    df, _ = events(spark, sf_dir)
+    df, _ = event_lattice(spark, sf_dir)
     e = substitute(f * 2 + Param("c"), {f: g - f, "c": 5})
     return df.select("i", "j", "k", lower(e).cast("bigint").alias("y"), F.lit(str(index_fields(shift_fields(f, (1, 0, -1)), ("q",)))).alias("spelt"))
 
@@ -190,8 +190,8 @@ def expr_rewrite(spark, sf_dir, events=event_lattice):
 
 
 def _reduce(op: str, expr, digits: int = 6) -> Query:
-    def run(spark, sf_dir, events=event_lattice):
-        df, lattice = events(spark, sf_dir)
+    def run(spark, sf_dir):
+        df, lattice = event_lattice(spark, sf_dir)
         return Reduction(lattice, {"f": [(expr, op)], "g": [(g, op)]}).frame(df).select(_r("f_0", digits), _r("g_0", digits))
 
     return run
@@ -204,10 +204,11 @@ QUERIES["reduce_min"] = _reduce("min", f - g, 0)
 
 
 @query("reduce_prod")
-def reduce_prod(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
-    few = df.where("i = 0 and j < 2")
-    return Reduction(lattice, {"p": [(1 + g / 100, "prod")]}).frame(few).select(_mantissa("p_0"))
+def reduce_prod(spark, sf_dir):
+    """A product for each line of cells along k: one over all cells would leave the range of doubles."""
+    df, lattice = event_lattice(spark, sf_dir)
+    lines = Lattice((1, 1, lattice.shape[2]), outer=("i", "j"))
+    return Reduction(lines, {"p": [(1 + g / 100, "prod")]}).frame(df).select("i", "j", _mantissa("p_0"))
 
 
 @query("reduce_lineitem")
@@ -219,8 +220,8 @@ def reduce_lineitem(spark, sf_dir):
 
 
 @query("field_stats")
-def field_stats(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def field_stats(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return FieldStatistics(lattice, max_min=True).frame(df, "f").select(_r("mean", 6), _mantissa("variance"), _r("max", 0), _r("min", 0), _r("abs_max", 0), _r("abs_min", 0))
 
 
@@ -231,8 +232,8 @@ def field_stats_outer(spark, sf_dir):
 
 
 @query("rho_and_p")
-def rho_and_p(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def rho_and_p(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     energy = Reduction(lattice, {"kinetic": [f**2 / 2, g**2 / 2], "potential": [f * g], "gradient": [-1 * f * g / 2]}, callback=get_rho_and_p)(df)
     return spark.createDataFrame([(float(round(energy["total"], 3)), float(round(energy["pressure"], 3)))], "total double, pressure double")
 
@@ -241,26 +242,26 @@ def rho_and_p(spark, sf_dir, events=event_lattice):
 
 
 @query("hist_count")
-def hist_count(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def hist_count(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return Histogrammer(lattice, {"n": (g / 10, 1), "m": (f % 7, 1)}, 12)(df)
 
 
 @query("hist_weighted")
-def hist_weighted(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def hist_weighted(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return Histogrammer(lattice, {"w": (g, f)}, 123)(df)
 
 
 @query("hist_linear")
-def hist_linear(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def hist_linear(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return FieldHistogrammer(lattice, 64)(df, "f").select("bin", "linear", _r("linear_edge", 4))
 
 
 @query("hist_log")
-def hist_log(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def hist_log(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return FieldHistogrammer(lattice, 32)(df, "f").select("bin", "log", _r("log_edge", 3))
 
 
@@ -274,28 +275,28 @@ def hist_outer(spark, sf_dir):
 
 
 @query("block_shape")
-def block_shape(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def block_shape(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     d = DomainDecomposition((3, 2, 1), 0, lattice.shape)
     return d.with_block(df, lattice).groupBy("block").agg(F.count("*").alias("cells"), F.sum("f").alias("f"))
 
 
 @query("halo_pad")
-def halo_pad(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def halo_pad(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return DomainDecomposition((2, 2, 1), (1, 0, 2), lattice.shape).share_halos(df.drop("g"), lattice).select("block", "i", "j", "k", "f")
 
 
 @query("halo_remove")
-def halo_remove(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def halo_remove(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     d = DomainDecomposition((3, 2, 1), 1, lattice.shape)
     return d.remove_halos(d.share_halos(df, lattice), lattice).select("i", "j", "k", "f", "g")
 
 
 @query("gather_roundtrip")
-def gather_roundtrip(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def gather_roundtrip(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     array = DomainDecomposition.gather_array(df, lattice, "f")
     back = DomainDecomposition.scatter_array(spark, array, lattice, "f")
     return back.select("i", "j", "k", F.col("f").cast("bigint").alias("f"))
@@ -305,50 +306,49 @@ def gather_roundtrip(spark, sf_dir, events=event_lattice):
 
 
 @query("dft_r2c")
-def dft_r2c(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def dft_r2c(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return DFT(lattice).dft(df, "f").select("kx", "ky", "kz", _r("f_re", 0), _r("f_im", 0))
 
 
 @query("dft_c2c")
-def dft_c2c(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def dft_c2c(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     df = df.select("i", "j", "k", F.col("f").alias("z_re"), (F.col("g") * 100).alias("z_im"))
     return DFT(lattice, is_real=False).dft(df, "z").select("kx", "ky", "kz", _r("z_re", 0), _r("z_im", 0))
 
 
 @query("idft_roundtrip")
-def idft_roundtrip(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def idft_roundtrip(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     fft = DFT(lattice)
     return fft.idft(fft.dft(df, "f", "g"), "f", "g").select("i", "j", "k", _r(F.col("f") / lattice.cells, 0, "f"), _r(F.col("g") / lattice.cells, 0, "g"))
 
 
 @query("zero_corner")
-def zero_corner(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def zero_corner(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     fft = DFT(lattice)
-    modes = fft.zero_corner_modes(fft.dft(df, "f"), "f")
-    return modes.where((F.abs("kx") % (lattice.shape[0] // 2) == 0) & (F.abs("ky") % (lattice.shape[1] // 2) == 0)).select("kx", "ky", "kz", _r("f_re", 0), _r("f_im", 0))
+    return fft.zero_corner_modes(fft.dft(df, "f"), "f").select("kx", "ky", "kz", _r("f_re", 0), _r("f_im", 0))
 
 
 @query("power_spectrum")
-def power_spectrum(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def power_spectrum(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return PowerSpectra(DFT(lattice))(df, "f").select("bin", "modes", _mantissa("f"))
 
 
 @query("mode_counts")
-def mode_counts(spark, sf_dir, events=event_lattice):
-    _, lattice = events(spark, sf_dir)
+def mode_counts(spark, sf_dir):
+    _, lattice = event_lattice(spark, sf_dir)
     fft = DFT(lattice)
     s = PowerSpectra(fft)
     modes = fft.grid(spark).withColumns({"u_re": F.lit(1.0), "u_im": F.lit(0.0)})
     return s.bin_power(modes, "u", k_power=0).select("bin", "modes", _r("u", 9))
 
 
-def _vector(spark, sf_dir, events=event_lattice) -> tuple[DataFrame, Lattice]:
-    df, lattice = events(spark, sf_dir)
+def _vector(spark, sf_dir) -> tuple[DataFrame, Lattice]:
+    df, lattice = event_lattice(spark, sf_dir)
     return df.withColumn("u", F.col("f") - F.col("g")), lattice
 
 
@@ -356,107 +356,110 @@ VECTOR = ("f", "g", "u")
 
 
 @query("transversify")
-def transversify(spark, sf_dir, events=event_lattice):
-    df, lattice = _vector(spark, sf_dir, events)
+def transversify(spark, sf_dir):
+    df, lattice = _vector(spark, sf_dir)
     fft = DFT(lattice)
     found = Projector(fft).transversify(fft.dft(df, *VECTOR), VECTOR)
     return found.select("kx", "ky", "kz", *[_off(f"{v}_{p}", 0) for v in VECTOR for p in ("re", "im")])
 
 
+def _parts(modes: DataFrame, back: DataFrame, names: list[str], again: list[str]) -> DataFrame:
+    """Parts of modes and what they make when put together again, by mode."""
+    columns = lambda named: [_off(f"{n}_{p}", 2) for n in named for p in ("re", "im")]
+    keys = ["kx", "ky", "kz"]
+    return modes.select(*keys, *columns(names)).join(back.select(*keys, *columns(again)), keys)
+
+
 @query("vec_pol")
-def vec_pol(spark, sf_dir, events=event_lattice):
-    """To polarisations and back, less the transverse part: nothing is left."""
-    df, lattice = _vector(spark, sf_dir, events)
-    fft, names = DFT(lattice), [f"{v}_{p}" for v in VECTOR for p in ("re", "im")]
+def vec_pol(spark, sf_dir):
+    """To polarisations, and back, which leaves the transverse part."""
+    df, lattice = _vector(spark, sf_dir)
+    fft = DFT(lattice)
     p = Projector(fft, 2)
-    flat = p.transversify(fft.dft(df, *VECTOR), VECTOR)
-    back = p.pol_to_vec(p.vec_to_pol(flat, VECTOR), VECTOR)
-    both = back.join(flat.select("kx", "ky", "kz", *[F.col(n).alias(f"{n}_0") for n in names]), ["kx", "ky", "kz"])
-    return both.select("kx", "ky", "kz", *[_r(F.col(n) - F.col(f"{n}_0"), 2, n) for n in names])
+    modes = p.vec_to_pol(fft.dft(df, *VECTOR), VECTOR)
+    return _parts(modes, p.pol_to_vec(modes, VECTOR), ["plus", "minus"], list(VECTOR))
 
 
 @query("decompose_vector")
-def decompose_vector(spark, sf_dir, events=event_lattice):
-    df, lattice = _vector(spark, sf_dir, events)
-    fft, names = DFT(lattice), [f"{v}_{p}" for v in VECTOR for p in ("re", "im")]
+def decompose_vector(spark, sf_dir):
+    """The parts of all modes, 0 where every effective momentum is 0; and the vector that they make."""
+    df, lattice = _vector(spark, sf_dir)
+    fft = DFT(lattice)
     p = Projector(fft, 1)
-    modes = fft.dft(df, *VECTOR).where("kx > 0 and kx < 4 and ky > 0 and ky < 4 and kz > 0 and kz < 4")
-    back = p.decomp_to_vec(p.decompose_vector(modes, VECTOR), VECTOR)
-    both = back.join(modes.select("kx", "ky", "kz", *[F.col(n).alias(f"{n}_0") for n in names]), ["kx", "ky", "kz"])
-    return both.select("kx", "ky", "kz", *[_r(F.col(n) - F.col(f"{n}_0"), 2, n) for n in names])
+    modes = p.decompose_vector(fft.dft(df, *VECTOR), VECTOR)
+    return _parts(modes, p.decomp_to_vec(modes, VECTOR), ["plus", "minus", "lng"], list(VECTOR))
 
 
-def _tensor(spark, sf_dir, events=event_lattice) -> tuple[DataFrame, Lattice, tuple[str, ...]]:
-    df, lattice = events(spark, sf_dir)
+def _tensor(spark, sf_dir) -> tuple[DataFrame, Lattice, tuple[str, ...]]:
+    df, lattice = event_lattice(spark, sf_dir)
     columns = [F.col("f"), F.col("g"), F.col("f") - F.col("g"), F.col("g") * 2, F.col("f") + F.col("g"), F.col("f") * 2]
     names = tuple(f"h_{n}" for n in range(6))
     return df.select("i", "j", "k", *[c.cast("double").alias(n) for c, n in zip(columns, names, strict=True)]), lattice, names
 
 
 @query("tt_project")
-def tt_project(spark, sf_dir, events=event_lattice):
-    df, lattice, names = _tensor(spark, sf_dir, events)
+def tt_project(spark, sf_dir):
+    df, lattice, names = _tensor(spark, sf_dir)
     fft = DFT(lattice)
     found = Projector(fft).transverse_traceless(fft.dft(df, *names), names)
-    return found.select("kx", "ky", "kz", _r(F.col("h_0_re") + F.col("h_3_re") + F.col("h_5_re"), 2, "trace_re"), _r(F.col("h_0_im") + F.col("h_3_im") + F.col("h_5_im"), 2, "trace_im"))
+    return found.select("kx", "ky", "kz", *[_off(f"{n}_{p}", 2) for n in names for p in ("re", "im")])
 
 
 @query("tensor_pol")
-def tensor_pol(spark, sf_dir, events=event_lattice):
-    df, lattice, names = _tensor(spark, sf_dir, events)
+def tensor_pol(spark, sf_dir):
+    """To polarisations, and back, which leaves the transverse and traceless part."""
+    df, lattice, names = _tensor(spark, sf_dir)
     fft = DFT(lattice)
     p = Projector(fft)
-    flat = p.transverse_traceless(fft.dft(df, *names), names)
-    back = p.pol_to_tensor(p.tensor_to_pol(flat, names), names)
-    both = back.join(flat.select("kx", "ky", "kz", F.col("h_1_re").alias("a"), F.col("h_4_im").alias("b")), ["kx", "ky", "kz"])
-    return both.select("kx", "ky", "kz", _r(F.col("h_1_re") - F.col("a"), 2, "h_1_re"), _r(F.col("h_4_im") - F.col("b"), 2, "h_4_im"))
+    modes = p.tensor_to_pol(fft.dft(df, *names), names)
+    return _parts(modes, p.pol_to_tensor(modes, names), ["plus", "minus"], list(names))
 
 
 @query("gw")
-def gw(spark, sf_dir, events=event_lattice):
-    df, lattice, names = _tensor(spark, sf_dir, events)
+def gw(spark, sf_dir):
+    df, lattice, names = _tensor(spark, sf_dir)
     fft = DFT(lattice)
     return PowerSpectra(fft).gw(df, names, Projector(fft), 1.5).select("bin", "modes", _mantissa("gw", 6))
 
 
 @query("gw_polarization")
-def gw_polarization(spark, sf_dir, events=event_lattice):
-    df, lattice, names = _tensor(spark, sf_dir, events)
+def gw_polarization(spark, sf_dir):
+    df, lattice, names = _tensor(spark, sf_dir)
     fft = DFT(lattice)
     return PowerSpectra(fft).gw_polarization(df, names, Projector(fft), 1.5).select("bin", "modes", _mantissa("plus", 6), _mantissa("minus", 6))
 
 
 @query("pol_spectra")
-def pol_spectra(spark, sf_dir, events=event_lattice):
-    df, lattice = _vector(spark, sf_dir, events)
+def pol_spectra(spark, sf_dir):
+    df, lattice = _vector(spark, sf_dir)
     fft = DFT(lattice)
     return PowerSpectra(fft).polarization(df, VECTOR, Projector(fft)).select("bin", "modes", _mantissa("plus", 6), _mantissa("minus", 6))
 
 
 @query("vector_decomposition")
-def vector_decomposition(spark, sf_dir, events=event_lattice):
-    df, lattice = _vector(spark, sf_dir, events)
+def vector_decomposition(spark, sf_dir):
+    df, lattice = _vector(spark, sf_dir)
     fft = DFT(lattice)
     return PowerSpectra(fft).vector_decomposition(df, VECTOR, Projector(fft)).select("bin", "modes", _mantissa("plus", 6), _mantissa("minus", 6), _mantissa("lng", 6))
 
 
 @query("spectral_derivs")
-def spectral_derivs(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def spectral_derivs(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     found = SpectralCollocator(DFT(lattice))(df, "f", lap="lap", grd=("dx", "dy", "dz"))
     return found.select("i", "j", "k", _r("lap", 2), _r("dx", 2), _r("dy", 2), _r("dz", 2))
 
 
 @query("spectral_divergence")
-def spectral_divergence(spark, sf_dir, events=event_lattice):
-    df, lattice = _vector(spark, sf_dir, events)
+def spectral_divergence(spark, sf_dir):
+    df, lattice = _vector(spark, sf_dir)
     return SpectralCollocator(DFT(lattice)).divergence(df, VECTOR, "div").select("i", "j", "k", _r("div", 2))
 
 
 @query("poisson")
-def poisson(spark, sf_dir, events=event_lattice):
+def poisson(spark, sf_dir):
     """The residual of the solution under the stencil it was solved for: the source's mean, everywhere."""
-    df, lattice = events(spark, sf_dir)
+    df, lattice = event_lattice(spark, sf_dir)
     solved = SpectralPoissonSolver(DFT(lattice), SecondCenteredDifference(1).get_eigenvalues)(df, "f", "s", 1.2)
     lap = Stencil({"lap": _laplacian(1, Field("s"))}, 1)(solved, lattice)
     both = lap.join(df.select("i", "j", "k", "f"), ["i", "j", "k"])
@@ -464,51 +467,67 @@ def poisson(spark, sf_dir, events=event_lattice):
 
 
 @query("random_field_spectrum")
-def random_field_spectrum(spark, sf_dir, events=event_lattice):
-    _, lattice = events(spark, sf_dir)
+def random_field_spectrum(spark, sf_dir):
+    _, lattice = event_lattice(spark, sf_dir)
     fft = DFT(lattice)
     field = RayleighGenerator(spark, fft, 5123).init_field("r", lambda k: F.pow(k, F.lit(-2.0)))
     return PowerSpectra(fft)(field, "r").select("bin", "modes", _mantissa("r", 6))
 
 
+@query("random_amplitudes")
+def random_amplitudes(spark, sf_dir):
+    """Without random amplitudes a mode's power is the one asked for, whatever its phase; the modes at 0 or n / 2 on every axis, which are real, are set to 0."""
+    _, lattice = event_lattice(spark, sf_dir)
+    fft = DFT(lattice)
+    modes = RayleighGenerator(spark, fft, 5123).generate("r", lambda k: F.pow(k, F.lit(-2.0)), random=False, norm=1e6)
+    return fft.zero_corner_modes(modes, "r").select("kx", "ky", "kz", _r(F.col("r_re") * F.col("r_re") + F.col("r_im") * F.col("r_im"), 6, "power"))
+
+
 @query("random_wkb")
-def random_wkb(spark, sf_dir, events=event_lattice):
-    _, lattice = events(spark, sf_dir)
+def random_wkb(spark, sf_dir):
+    _, lattice = event_lattice(spark, sf_dir)
     fft = DFT(lattice)
     fields = RayleighGenerator(spark, fft).init_WKB_fields("r", "drdt", lambda k: 1 / (2 * k), lambda k: k, hubble=0.5)
     return fields.select("i", "j", "k", _r("r", 6), _r("drdt", 6))
 
 
 @query("random_vector")
-def random_vector(spark, sf_dir, events=event_lattice):
-    _, lattice = events(spark, sf_dir)
+def random_vector(spark, sf_dir):
+    """A transverse field: no divergence, and not 0 itself."""
+    _, lattice = event_lattice(spark, sf_dir)
     fft = DFT(lattice)
     fields = RayleighGenerator(spark, fft).init_transverse_vector(Projector(fft), ("a", "b", "c"), lambda k: 1 / k)
-    return SpectralCollocator(fft).divergence(fields, ("a", "b", "c"), "div").select("i", "j", "k", _r("div", 6))
+    div = SpectralCollocator(fft).divergence(fields, ("a", "b", "c"), "div")
+    lives = fields.select("i", "j", "k", (F.greatest(F.abs("a"), F.abs("b"), F.abs("c")) > 1e-9).alias("lives"))
+    return div.join(lives, ["i", "j", "k"]).select("i", "j", "k", _r("div", 6), "lives")
 
 
 @query("random_vector_pol")
-def random_vector_pol(spark, sf_dir, events=event_lattice):
-    _, lattice = events(spark, sf_dir)
-    fft = DFT(lattice)
-    fields = RayleighGenerator(spark, fft).init_vector_from_pol(Projector(fft), ("a", "b", "c"), lambda k: 1 / k, lambda k: 2 / k)
-    return SpectralCollocator(fft).divergence(fields, ("a", "b", "c"), "div").select("i", "j", "k", _r("div", 6))
+def random_vector_pol(spark, sf_dir):
+    """Without random amplitudes the components' power is that of both polarisations; modes without an effective momentum or at 0 or n / 2 on every axis are 0."""
+    _, lattice = event_lattice(spark, sf_dir)
+    fft, names = DFT(lattice), ("a", "b", "c")
+    fields = RayleighGenerator(spark, fft).init_vector_from_pol(Projector(fft), names, lambda k: 1 / k, lambda k: 2 / k, random=False, norm=1e6)
+    modes = fft.zero_corner_modes(fft.dft(fields, *names), *names)
+    power = sum((F.col(f"{n}_{p}") * F.col(f"{n}_{p}") for n in names for p in ("re", "im")), F.lit(0.0))
+    return modes.select("kx", "ky", "kz", _r(power / lattice.cells**2, 5, "power"))
 
 
 @query("hermitian")
-def hermitian(spark, sf_dir, events=event_lattice):
-    """The modes of a real field are their own symmetric form."""
-    df, lattice = events(spark, sf_dir)
+def hermitian(spark, sf_dir):
+    """Modes that no real field has, made those of one."""
+    df, lattice = event_lattice(spark, sf_dir)
     fft = DFT(lattice)
-    return make_hermitian(fft.dft(df, "f"), fft, "f").select("kx", "ky", "kz", _r("f_re", 0), _r("f_im", 0))
+    modes = fft.dft(df, "f").withColumns({"f_re": F.col("f_re") + 1000 * F.col("kx"), "f_im": F.col("f_im") + 70 * F.col("ky") + 3})
+    return make_hermitian(modes, fft, "f").select("kx", "ky", "kz", _r("f_re", 0), _r("f_im", 0))
 
 
 # --- time steps
 
 
 def _step(kind: type[Stepper]) -> Query:
-    def run(spark, sf_dir, events=event_lattice):
-        df, _ = events(spark, sf_dir)
+    def run(spark, sf_dir):
+        df, _ = event_lattice(spark, sf_dir)
         df = df.select("i", "j", "k", (F.col("f") / 1000.0).alias("f"), (F.col("g") / 10.0).alias("g"))
         found = kind({f: g, g: -1 * f - g / 10}, dt=0.1).step(df)
         return found.select("i", "j", "k", _off("f", 7), _off("g", 7))
@@ -521,9 +540,9 @@ for _kind in (*all_steppers, *more_steppers):
 
 
 @query("wave_step")
-def wave_step(spark, sf_dir, events=event_lattice):
+def wave_step(spark, sf_dir):
     """A step of the wave equation: the Laplacian is recomputed before each stage."""
-    df, lattice = events(spark, sf_dir)
+    df, lattice = event_lattice(spark, sf_dir)
     df = df.select("i", "j", "k", (F.col("f") / 1000.0).alias("f"), (F.col("g") / 10.0).alias("g"))
     lap = FiniteDifferencer(lattice, 1)
     stepper = next(s for s in all_steppers if s.__name__ == "RungeKutta2Midpoint")({f: g, g: Field("lap")}, dt=0.1)
@@ -539,27 +558,27 @@ def wave_step(spark, sf_dir, events=event_lattice):
 
 
 @query("inject")
-def inject(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def inject(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return Injection()(df, lattice, "f").select("i", "j", "k", F.col("f").cast("double").alias("f"))
 
 
 @query("full_weighting")
-def full_weighting(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def full_weighting(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return FullWeighting()(df, lattice, "f").select("i", "j", "k", _r("f", 6))
 
 
 @query("restrict_correct")
-def restrict_correct(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def restrict_correct(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     coarse = Injection()(df, lattice, "f")
     return FullWeighting().correct(df, coarse, lattice, "f").select("i", "j", "k", _r("f", 6))
 
 
 def _interpolate(kind) -> Query:
-    def run(spark, sf_dir, events=event_lattice):
-        df, lattice = events(spark, sf_dir)
+    def run(spark, sf_dir):
+        df, lattice = event_lattice(spark, sf_dir)
         return kind()(Injection()(df, lattice, "f"), lattice, "f").select("i", "j", "k", _r("f", 6))
 
     return run
@@ -570,8 +589,8 @@ QUERIES["interp_cubic"] = _interpolate(CubicInterpolation)
 
 
 @query("interp_correct")
-def interp_correct(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def interp_correct(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     return LinearInterpolation().correct(Injection()(df, lattice, "f"), df, lattice, "f").select("i", "j", "k", _r("f", 6))
 
 
@@ -579,36 +598,36 @@ rho = Field("g")
 
 
 @query("jacobi_sweep")
-def jacobi_sweep(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def jacobi_sweep(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     df = df.select("i", "j", "k", F.col("f").cast("double").alias("f"), F.col("g").cast("double").alias("g"))
     return JacobiIterator({f: (_laplacian() - f, rho)}, omega=0.5).sweep(df, lattice).select("i", "j", "k", _r("f", 6))
 
 
 @query("newton_sweep")
-def newton_sweep(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def newton_sweep(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     df = df.select("i", "j", "k", (F.col("f") / 10000.0).alias("f"), (F.col("g") / 100.0).alias("g"))
     return NewtonIterator({f: (_laplacian() - f**3 - f, rho)}, omega=0.5).sweep(df, lattice).select("i", "j", "k", _r("f", 8))
 
 
 @query("residual_norms")
-def residual_norms(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def residual_norms(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     df = df.select("i", "j", "k", F.col("f").cast("double").alias("f"), F.col("g").cast("double").alias("g"))
     return JacobiIterator({f: (_laplacian() - f, rho)}).errors(df, lattice).select(_r("max_f", 3), _r("rms_f", 3))
 
 
 @query("lhs_correction")
-def lhs_correction(spark, sf_dir, events=event_lattice):
-    df, lattice = events(spark, sf_dir)
+def lhs_correction(spark, sf_dir):
+    df, lattice = event_lattice(spark, sf_dir)
     df = df.select("i", "j", "k", F.col("f").cast("double").alias("f"), F.col("g").cast("double").alias("g"), F.lit(2.0).alias("r_f"))
     return JacobiIterator({f: (_laplacian() - f, rho)}).lhs_correction(df, lattice).select("i", "j", "k", _r("g", 3))
 
 
 def _cycle(kind) -> Query:
-    def run(spark, sf_dir, events=event_lattice):
-        df, lattice = events(spark, sf_dir)
+    def run(spark, sf_dir):
+        df, lattice = event_lattice(spark, sf_dir)
         df = df.select("i", "j", "k", F.lit(0.0).alias("f"), (F.col("g") - 49.5).alias("g"))
         scheme = kind(JacobiIterator({f: (_laplacian() / Param("dx") ** 2 - f, rho)}, omega=0.75))
         found, _ = scheme(df, lattice, [(0, 2), (1, 4), (0, 2)])
@@ -624,8 +643,8 @@ QUERIES["linear_vcycle"] = _cycle(MultiGridSolver)
 # --- models and output
 
 
-def _scalar_state(spark, sf_dir, events=event_lattice) -> tuple[DataFrame, Lattice]:
-    df, lattice = events(spark, sf_dir)
+def _scalar_state(spark, sf_dir) -> tuple[DataFrame, Lattice]:
+    df, lattice = event_lattice(spark, sf_dir)
     c = F.col
     df = df.select("i", "j", "k", (c("f") / 10000.0).alias("f_0"), (c("g") / 100.0).alias("f_1"), (c("g") / 50.0).alias("dfdt_0"), (c("f") / 20000.0).alias("dfdt_1"), ((c("f") - c("g")) / 10000.0).alias("lap_f_0"), (c("g") / 200.0).alias("lap_f_1"))
     return df, lattice
@@ -636,15 +655,15 @@ def _potential(field):
 
 
 @query("scalar_energy")
-def scalar_energy(spark, sf_dir, events=event_lattice):
-    df, lattice = _scalar_state(spark, sf_dir, events)
+def scalar_energy(spark, sf_dir):
+    df, lattice = _scalar_state(spark, sf_dir)
     found = Reduction(lattice, ScalarSector(2, potential=_potential)).frame(df, a=1.5)
     return found.select(*[_r(c, 9) for c in found.columns])
 
 
 @query("scalar_rhs")
-def scalar_rhs(spark, sf_dir, events=event_lattice):
-    df, _ = _scalar_state(spark, sf_dir, events)
+def scalar_rhs(spark, sf_dir):
+    df, _ = _scalar_state(spark, sf_dir)
     rhs = ScalarSector(2, potential=_potential).rhs_dict
     named = {f"rhs_{k.column}": e for k, e in rhs.items()}
     found = ElementWiseMap(list(named.items()))(df, hubble=0.3, a=1.5)
@@ -652,8 +671,8 @@ def scalar_rhs(spark, sf_dir, events=event_lattice):
 
 
 @query("stress_tensor")
-def stress_tensor(spark, sf_dir, events=event_lattice):
-    df, _ = _scalar_state(spark, sf_dir, events)
+def stress_tensor(spark, sf_dir):
+    df, _ = _scalar_state(spark, sf_dir)
     c = F.col
     df = df.withColumns({f"dfdx_{n}_{m}": c(f"f_{n}") * (m + 1) for n in range(2) for m in range(3)})
     s = ScalarSector(2, potential=_potential)
@@ -666,11 +685,11 @@ def stress_tensor(spark, sf_dir, events=event_lattice):
 
 
 @query("output_append")
-def output_append(spark, sf_dir, events=event_lattice):
+def output_append(spark, sf_dir):
     """Two records of statistics appended to a group and read back."""
     from ..sources.session import shared_folder
 
-    df, lattice = events(spark, sf_dir)
+    df, lattice = event_lattice(spark, sf_dir)
     out = OutputFile(spark, shared_folder(spark), "run")
     for t in (0, 1):
         row = FieldStatistics(lattice).frame(df.withColumn("h", F.col("g") + t), "h").first()
@@ -678,52 +697,4 @@ def output_append(spark, sf_dir, events=event_lattice):
     return out.read("statistics").select(F.col("t").cast("bigint").alias("t"), _r("mean", 9))
 
 
-# --- whole tables: the queries above over all events, where they read the first N^3
-
-
-def _over(fn: Query, events) -> Query:
-    def run(spark, sf_dir):
-        return fn(spark, sf_dir, events)
-
-    return run
-
-
-#: Queries that need no neighbours take the events as they are, a cell each.
-BY_CELL = ["map_tmp", "map_if", "map_single", "map_functions", "potential_diff", "expr_rewrite", "reduce_avg", "reduce_sum", "reduce_max", "reduce_min", "field_stats", "rho_and_p"]
-BY_CELL += ["hist_count", "hist_weighted", "hist_linear", "hist_log", "scalar_energy", "scalar_rhs", "stress_tensor", "output_append", *[f"step_{k.__name__}" for k in (*all_steppers, *more_steppers)]]
-#: The others take an even lattice that holds them all.
-BY_LATTICE = ["laplacian_h1", "lap_summary", "streaming_stencil", "stencil_nonlinear", "gradlap", "divergence", *[f"grad_h{h}" for h in (1, 2, 3, 4)], *[f"lap_h{h}" for h in (2, 3, 4)], "wave_step"]
-BY_LATTICE += ["block_shape", "halo_pad", "halo_remove", "gather_roundtrip", "dft_r2c", "dft_c2c", "idft_roundtrip", "hermitian", "power_spectrum", "transversify", "vec_pol", "tt_project", "tensor_pol", "gw", "gw_polarization"]
-BY_LATTICE += ["pol_spectra", "vector_decomposition", "spectral_derivs", "spectral_divergence", "poisson", "inject", "full_weighting", "restrict_correct", "interp_linear", "interp_cubic", "interp_correct"]
-BY_LATTICE += ["jacobi_sweep", "newton_sweep", "residual_norms", "lhs_correction", "fas_vcycle", "linear_vcycle"]
-for _names, _events in ((BY_CELL, all_events), (BY_LATTICE, whole_event_lattice)):
-    for _name in _names:
-        QUERIES[f"{_name}_all"] = _over(QUERIES[_name], _events)
-
-
-@query("reduce_prod_all")
-def reduce_prod_all(spark, sf_dir):
-    """A product for each line of cells along k: one over all cells would leave the range of doubles."""
-    df, lattice = whole_event_lattice(spark, sf_dir)
-    lines = Lattice((1, 1, lattice.shape[2]), outer=("i", "j"))
-    return Reduction(lines, {"p": [(1 + g / 100, "prod")]}).frame(df).select("i", "j", _mantissa("p_0"))
-
-
-@query("zero_corner_all")
-def zero_corner_all(spark, sf_dir):
-    """All modes; only those at 0 or n / 2 on every axis are 0."""
-    df, lattice = whole_event_lattice(spark, sf_dir)
-    fft = DFT(lattice)
-    return fft.zero_corner_modes(fft.dft(df, "f"), "f").select("kx", "ky", "kz", _r("f_re", 0), _r("f_im", 0))
-
-
-@query("decompose_vector_all")
-def decompose_vector_all(spark, sf_dir):
-    """The parts of all modes; 0 where every effective momentum is 0, as at k = 0."""
-    df, lattice = _vector(spark, sf_dir, whole_event_lattice)
-    fft = DFT(lattice)
-    parts = Projector(fft, 1).decompose_vector(fft.dft(df, *VECTOR), VECTOR)
-    return parts.select("kx", "ky", "kz", *[_r(f"{v}_{p}", 2) for v in ("plus", "minus", "lng") for p in ("re", "im")])
-
-
 __all__ = ["QUERIES"]

@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from ..operators.lattice import Lattice, from_ids
 
 
-def event_lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]:
-    """The first N^3 events in order as a cube: N is 32, 16 or 8, the largest that the table fills. f is the value in cents, g is k of the props."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    n = next(n for n in (32, 16, 8) if n == 8 or events.count() >= n**3)
-    lattice = Lattice((n, n, n))
-    return _fields(events, lattice), lattice
-
-
 def _fields(events: DataFrame, lattice: Lattice) -> DataFrame:
     cells = from_ids(events.select("event_id", "value", "props"), "event_id", lattice)
     f = F.round(F.col("value") * 100).cast("bigint").alias("f")
@@ -40,23 +32,13 @@ def even_shape(n: int) -> tuple[int, int, int]:
         eighths += 1
 
 
-def _ids(events: DataFrame) -> int:
-    return (events.agg(F.max("event_id")).first()[0] or 0) + 1
-
-
-def all_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]:
-    """All events as a line of cells, for what needs no neighbours: i is event_id, j and k are 0."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    lattice = Lattice((_ids(events), 1, 1))
-    return _fields(events, lattice), lattice
-
-
-def whole_event_lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]:
-    """All events in order as a lattice of ``even_shape``; cells beyond or between the events hold 0."""
+def event_lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lattice]:
+    """All events in order as a lattice of ``even_shape``: f is the value in cents, g is k of the props. Cells beyond or between the events hold 0."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    lattice = Lattice(even_shape(_ids(events)))
+    count, last = events.agg(F.count(F.lit(1)), F.max("event_id")).first()
+    lattice = Lattice(even_shape((last or 0) + 1))
     cells = _fields(events, lattice)
-    if events.count() < lattice.cells:
+    if count < lattice.cells:
         zeros = lattice.grid(spark).join(cells.select(*lattice.axes), [*lattice.axes], "left_anti")
         cells = cells.unionByName(zeros.withColumns({"f": F.lit(0).cast("bigint"), "g": F.lit(0)}))
     return cells, lattice

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from gridloom.plans.queries import QUERIES
-from gridloom.sources.tables import all_events, even_shape, whole_event_lattice
+from gridloom.sources.tables import even_shape, event_lattice
 
 
 @pytest.fixture(scope="module")
@@ -25,29 +25,28 @@ def test_even_shape():
 @pytest.mark.parametrize("n", [1000, 997])
 def test_no_event_is_left_out(spark, sf_dir, tmp_path, n):
     spark.read.parquet(f"{sf_dir}/events.parquet").where(f"event_id < {n}").write.parquet(f"{tmp_path}/events.parquet")
-    line, lattice = all_events(spark, str(tmp_path))
-    assert line.count() == n == lattice.cells
-    cells, lattice = whole_event_lattice(spark, str(tmp_path))
+    cells, lattice = event_lattice(spark, str(tmp_path))
     assert cells.select("i", "j", "k").distinct().count() == cells.count() == lattice.cells == 1000
-    assert cells.agg({"f": "sum"}).first()[0] == line.agg({"f": "sum"}).first()[0]
+    total = spark.read.parquet(f"{tmp_path}/events.parquet").selectExpr("sum(cast(round(value * 100) as bigint))").first()[0]
+    assert cells.agg({"f": "sum"}).first()[0] == total
 
 
 def test_modes_of_all_events(spark, sf_dir, events):
     wanted = np.fft.rfftn(events["f"].astype(float).reshape(10, 10, 10))
-    rows = QUERIES["dft_r2c_all"](spark, sf_dir).collect()
+    rows = QUERIES["dft_r2c"](spark, sf_dir).collect()
     assert len(rows) == wanted.size
     for r in rows:
         assert abs(wanted[r.kx, r.ky, r.kz] - complex(r.f_re, r.f_im)) < 1
 
 
 def test_statistics_of_all_events(spark, sf_dir, events):
-    assert QUERIES["field_stats_all"](spark, sf_dir).first().mean == pytest.approx(events["f"].mean(), abs=1e-5)
-    assert sum(r.linear for r in QUERIES["hist_linear_all"](spark, sf_dir).collect()) == len(events["f"])
+    assert QUERIES["field_stats"](spark, sf_dir).first().mean == pytest.approx(events["f"].mean(), abs=1e-5)
+    assert sum(r.linear for r in QUERIES["hist_linear"](spark, sf_dir).collect()) == len(events["f"])
 
 
 def test_products_cover_every_line(spark, sf_dir, events):
     wanted = (1 + events["g"].astype(float) / 100).reshape(10, 10, 10).prod(axis=2)
-    rows = QUERIES["reduce_prod_all"](spark, sf_dir).collect()
+    rows = QUERIES["reduce_prod"](spark, sf_dir).collect()
     assert len(rows) == 100
     for r in rows:
         assert r.p_0 == pytest.approx(wanted[r.i, r.j] / 10.0 ** math.floor(math.log10(wanted[r.i, r.j])), abs=1e-7)
@@ -55,7 +54,7 @@ def test_products_cover_every_line(spark, sf_dir, events):
 
 def test_zeroed_corners_and_no_other_mode(spark, sf_dir, events):
     wanted = np.fft.rfftn(events["f"].astype(float).reshape(10, 10, 10))
-    rows = QUERIES["zero_corner_all"](spark, sf_dir).collect()
+    rows = QUERIES["zero_corner"](spark, sf_dir).collect()
     assert len(rows) == wanted.size
     for r in rows:
         corner = all(k % 5 == 0 for k in (r.kx, r.ky, r.kz))
@@ -65,7 +64,7 @@ def test_zeroed_corners_and_no_other_mode(spark, sf_dir, events):
 def test_parts_of_every_mode(spark, sf_dir, events):
     f, g = (events[c].astype(float).reshape(10, 10, 10) for c in "fg")
     fields = np.stack([np.fft.rfftn(x) for x in (f, g, f - g)])
-    rows = QUERIES["decompose_vector_all"](spark, sf_dir).collect()
+    rows = QUERIES["decompose_vector"](spark, sf_dir).collect()
     assert len(rows) == fields[0].size
     for r in rows:
         v = fields[:, r.kx, r.ky, r.kz]
