@@ -33,8 +33,8 @@ class RayleighGenerator:
         bits = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), F.lit(n), "__rx", "__ry", "__rz"), 11)
         return (bits.cast("double") + 0.5) / float(1 << 53)
 
-    def _draws(self, salt: int, draws: int, random: bool) -> DataFrame:
-        """All modes with __k, uniforms __u0 up, and the sign __flip of the conjugate."""
+    def _modes(self) -> DataFrame:
+        """All modes with __k, the representative __rx, __ry, __rz that is drawn, and the sign __flip of the conjugate. Every draw is a function of this row."""
         ni, nj, nk = self.fft.lattice.shape
         kx, ky, kz = (F.col(m) for m in ("kx", "ky", "kz"))
         modes = self.fft.grid(self.spark)
@@ -44,19 +44,16 @@ class RayleighGenerator:
         later = tied & ((kx > opposite[0]) | ((kx == opposite[0]) & (ky > opposite[1])))
         own = tied & (kx == opposite[0]) & (ky == opposite[1])
         pick = lambda a, b: F.when(later, b).otherwise(a)
-        modes = modes.select("*", pick(kx, opposite[0]).alias("__rx"), pick(ky, opposite[1]).alias("__ry"), kz.alias("__rz"), F.when(own, 0.0).when(later, -1.0).otherwise(1.0).alias("__flip"), F.sqrt(self.fft.k2()).alias("__k"))
-        for n in range(draws):
-            u = self._uniform(salt * 16 + n) if random or n % 2 else F.lit(math.exp(-1))
-            modes = modes.withColumn(f"__u{n}", u)
-        return modes
+        return modes.select("*", pick(kx, opposite[0]).alias("__rx"), pick(ky, opposite[1]).alias("__ry"), kz.alias("__rz"), F.when(own, 0.0).when(later, -1.0).otherwise(1.0).alias("__flip"), F.sqrt(self.fft.k2()).alias("__k"))
 
     def _power(self, field_ps: Callable[[Column], Column], norm: float, window: Callable[[Column], Column]) -> Column:
         k = F.when(F.col("__k") > 0, F.col("__k"))
         return F.coalesce(norm / self.fft.lattice.volume * window(k) * window(k) * field_ps(k), F.lit(0.0))
 
-    def _mode(self, power: Column, n: int) -> Z:
-        size = F.sqrt(-F.ln(F.col(f"__u{n}"))) * F.sqrt(power)
-        phase = F.col(f"__u{n + 1}") * (2 * math.pi)
+    def _mode(self, power: Column, salt: int, n: int, random: bool) -> Z:
+        """Draws n and n + 1 of a salt: the amplitude, 1 without ``random``, and the phase."""
+        amplitude = F.sqrt(-F.ln(self._uniform(salt * 16 + n))) if random else F.lit(1.0)
+        size, phase = amplitude * F.sqrt(power), self._uniform(salt * 16 + n + 1) * (2 * math.pi)
         return Z(size * F.cos(phase), size * F.sin(phase) * F.col("__flip"))
 
     def _clean(self, modes: DataFrame) -> DataFrame:
@@ -64,14 +61,12 @@ class RayleighGenerator:
 
     def generate(self, name: str, field_ps: Callable[[Column], Column], *, random: bool = True, norm: float = 1.0, window: Callable[[Column], Column] = _one, salt: int = 0) -> DataFrame:
         """Modes sqrt(-ln u1) e^(2 pi i u2) sqrt(P), P = norm / V window^2 field_ps(k); without ``random`` all amplitudes are 1."""
-        modes = self._draws(salt, 2, random)
-        return self._clean(modes.withColumns(self._mode(self._power(field_ps, norm, window), 0).named(name)))
+        return self._clean(self._modes().withColumns(self._mode(self._power(field_ps, norm, window), salt, 0, random).named(name)))
 
     def generate_WKB(self, name: str, rate: str, field_ps, omega_k: Callable[[Column], Column], *, hubble: float = 0.0, random: bool = True, norm: float = 1.0, window=_one, salt: int = 0) -> DataFrame:  # noqa: N802
         """Modes and their time derivatives from left and right movers."""
-        modes = self._draws(salt, 4, random)
-        power = self._power(field_ps, norm, window)
-        left, right = self._mode(power, 0), self._mode(power, 2)
+        modes, power = self._modes(), self._power(field_ps, norm, window)
+        left, right = (self._mode(power, salt, n, random) for n in (0, 2))
         field = (left + right) * (1 / math.sqrt(2))
         omega = F.coalesce(omega_k(F.col("__k")), F.lit(0.0))
         # The conjugate of a mode has the conjugate of its derivative, so i changes sign with it.
@@ -85,19 +80,19 @@ class RayleighGenerator:
     def init_WKB_fields(self, name: str, rate: str, field_ps, omega_k, **options) -> DataFrame:  # noqa: N802
         return self.fft.idft(self.generate_WKB(name, rate, field_ps, omega_k, **options), name, rate)
 
-    def _vector(self, names: tuple[str, ...], field_ps, **options) -> DataFrame:
-        out = None
-        for n, name in enumerate(names):
-            one = self.generate(name, field_ps, salt=n + 1, **options)
-            out = one if out is None else out.join(one, ["kx", "ky", "kz"])
-        return out
+    def _several(self, fields: dict[str, tuple[Callable, int]], *, random: bool = True, norm: float = 1.0, window: Callable[[Column], Column] = _one) -> DataFrame:
+        """Modes of several fields, each of its own spectrum and salt, in one pass over the grid."""
+        columns = {}
+        for name, (field_ps, salt) in fields.items():
+            columns |= self._mode(self._power(field_ps, norm, window), salt, 0, random).named(name)
+        return self._clean(self._modes().withColumns(columns))
 
     def init_transverse_vector(self, projector: Projector, vector: tuple[str, str, str], field_ps, **options) -> DataFrame:
-        return self.fft.idft(projector.transversify(self._vector(vector, field_ps, **options), vector), *vector)
+        modes = self._several({name: (field_ps, n + 1) for n, name in enumerate(vector)}, **options)
+        return self.fft.idft(projector.transversify(modes, vector), *vector)
 
     def init_vector_from_pol(self, projector: Projector, vector: tuple[str, str, str], plus_ps, minus_ps, **options) -> DataFrame:
-        plus = self.generate("plus", plus_ps, salt=8, **options)
-        modes = plus.join(self.generate("minus", minus_ps, salt=9, **options), ["kx", "ky", "kz"])
+        modes = self._several({"plus": (plus_ps, 8), "minus": (minus_ps, 9)}, **options)
         return self.fft.idft(projector.pol_to_vec(modes, vector), *vector)
 
 

@@ -132,10 +132,11 @@ class Stencil:
         self.prefetch_args, self.params = list(prefetch_args), dict(params or {})
         self.linear = [(name_of(k), linear_terms(e)) for k, e in self.assignments]
 
-    def __call__(self, df: DataFrame, lattice: Lattice, **params: Any) -> DataFrame:
+    def __call__(self, df: DataFrame, lattice: Lattice, *, keep: list[str] | None = None, **params: Any) -> DataFrame:
+        """The outputs with the columns ``keep``, all others unless told. Columns that aren't kept or read don't travel, and aren't read from the source."""
         params = self.params | params
         written = [name_of(k) for k, _ in self.assignments]
-        keep = [c for c in lattice.values(df) if c not in written]
+        keep = [c for c in lattice.values(df) if c not in written and (keep is None or c in keep)]
         if all(terms for _, terms in self.linear):
             return scatter(df, lattice, dict(self.linear), keep, params)
         reads = sorted({(f.column, f.shifted()) for f in fields_of(*[e for _, e in self.assignments])})
@@ -222,8 +223,8 @@ class FiniteDifferencer:
             total = part if total is None else total + part
         return total
 
-    def __call__(self, df: DataFrame, fx: str, *, lap: str | None = None, pdx: str | None = None, pdy: str | None = None, pdz: str | None = None, grd: tuple[str, str, str] | None = None) -> DataFrame:
-        """Add the wanted columns. Outer keys of the lattice keep their fields apart."""
+    def __call__(self, df: DataFrame, fx: str, *, lap: str | None = None, pdx: str | None = None, pdy: str | None = None, pdz: str | None = None, grd: tuple[str, str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
+        """Add the wanted columns to those that are kept, all unless told. Outer keys of the lattice keep their fields apart."""
         if grd is not None and (pdx or pdy or pdz):
             raise ValueError("pass grd or its parts")
         wanted = dict(zip(grd, (1, 2, 3), strict=True)) if grd else {n: d for d, n in enumerate((pdx, pdy, pdz), 1) if n}
@@ -232,12 +233,12 @@ class FiniteDifferencer:
             outputs[lap] = self.laplacian(fx)
         if not outputs:
             raise ValueError("nothing to compute")
-        return Stencil(outputs, 4)(df, self.lattice)
+        return Stencil(outputs, 4)(df, self.lattice, keep=keep)
 
-    def divergence(self, df: DataFrame, vec: tuple[str, str, str], div: str) -> DataFrame:
+    def divergence(self, df: DataFrame, vec: tuple[str, str, str], div: str, keep: list[str] | None = None) -> DataFrame:
         total = None
         for direction, name in enumerate(vec, 1):
             part = self.gradient(name, direction)
             total = part if total is None else total + part
-        return Stencil({div: total}, 4)(df, self.lattice)
+        return Stencil({div: total}, 4)(df, self.lattice, keep=keep)
 

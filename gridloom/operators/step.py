@@ -65,10 +65,28 @@ class Stepper:
                 df = cut(df)
         return self.finish(df)
 
-    def step_array(self, state: dict[str, Any], *, dt: float, **params: Any) -> dict[str, Any]:
-        """A whole step over numpy values, for small systems on the driver."""
+    def registers(self, state: dict[str, Any]) -> list[dict[str, Any]]:
+        """The values that the stages of a step pass on, from those at its start: numbers or numpy arrays, for small systems on the driver."""
+        raise NotImplementedError
+
+    def current(self, registers: list[dict[str, Any]], stage: int) -> dict[str, Any]:
+        """What the right-hand side reads in a stage; for stage ``num_stages`` the values at the step's end."""
         raise NotImplementedError
 
+    def advance(self, registers: list[dict[str, Any]], stage: int, *, dt: float, **params: Any) -> None:
+        """One stage, in place."""
+        raise NotImplementedError
+
+    def _slopes(self, now: dict[str, Any], params: dict[str, Any]) -> dict[str, Any]:
+        return {n: evaluate(e, lambda f: now[f.column], self.params | params) for n, e in zip(self.names, self.rhs.values(), strict=True)}
+
+    def step_array(self, state: dict[str, Any], *, dt: float, **params: Any) -> dict[str, Any]:
+        """A whole step."""
+        registers = self.registers(state)
+        for stage in range(self.num_stages):
+            self.advance(registers, stage, dt=dt, **params)
+        return self.current(registers, self.num_stages)
+
 
 class RungeKuttaStepper(Stepper):
     """Classical steppers: copies of each unknown, ``stages[s]`` lists (copy written, weights of copies, weight of dt * rhs) in order.
@@ -104,14 +122,16 @@ class RungeKuttaStepper(Stepper):
             df = df.withColumns(found)
         return df.drop(*[f"__rhs_{n}" for n in range(len(self.names))])
 
-    def step_array(self, state, *, dt, **params):
-        copies = [dict(state) for _ in range(self.num_copies)]
-        for stage in range(self.num_stages):
-            read = copies[0 if stage == 0 else 1]
-            rhs = {n: evaluate(e, lambda f, r=read: r[f.column], self.params | params) for n, e in zip(self.names, self.rhs.values(), strict=True)}
-            for to, weights, weight in self.stages[stage]:
-                copies[to] |= {n: dt * weight * rhs[n] + sum(c * copies[q][n] for q, c in weights.items()) for n in self.names}
-        return copies[0]
+    def registers(self, state):
+        return [dict(state) for _ in range(self.num_copies)]
+
+    def current(self, registers, stage):
+        return registers[0 if stage in (0, self.num_stages) else 1]
+
+    def advance(self, registers, stage, *, dt, **params):
+        slopes = self._slopes(self.current(registers, stage), params)
+        for to, weights, weight in self.stages[stage]:
+            registers[to] |= {n: dt * weight * slopes[n] + sum(c * registers[q][n] for q, c in weights.items()) for n in self.names}
 
 
 class RungeKutta4(RungeKuttaStepper):
@@ -194,13 +214,17 @@ class LowStorageRKStepper(Stepper):
         df = df.withColumns({name: F.col(name) + self.B[stage] * F.col(self._tmp(name)) for name in self.names})
         return df.drop(*[f"__rhs_{n}" for n in range(len(self.names))])
 
-    def step_array(self, state, *, dt, **params):
-        now, tmp = dict(state), dict.fromkeys(self.names, 0.0)
-        for a, b in zip(self.A, self.B, strict=True):
-            rhs = {n: evaluate(e, lambda f, s=now: s[f.column], self.params | params) for n, e in zip(self.names, self.rhs.values(), strict=True)}
-            tmp = {n: a * tmp[n] + dt * rhs[n] for n in self.names}
-            now = now | {n: now[n] + b * tmp[n] for n in self.names}
-        return now
+    def registers(self, state):
+        return [dict(state), dict.fromkeys(self.names, 0.0)]
+
+    def current(self, registers, stage):
+        return registers[0]
+
+    def advance(self, registers, stage, *, dt, **params):
+        now, tmp = registers
+        slopes = self._slopes(now, params)
+        tmp |= {n: self.A[stage] * tmp[n] + dt * slopes[n] for n in self.names}
+        now |= {n: now[n] + self.B[stage] * tmp[n] for n in self.names}
 
 
 class LowStorageRK54(LowStorageRKStepper):

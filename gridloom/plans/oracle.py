@@ -410,7 +410,14 @@ SQL["scalar_energy"] = f"""WITH {LAT}, {_STATE} SELECT round(avg(d0 * d0) / 4.5,
   round(avg(-f0 * l0) / 4.5, 9) + 0.0 AS gradient_0, round(avg(-f1 * l1) / 4.5, 9) + 0.0 AS gradient_1 FROM st"""
 SQL["scalar_rhs"] = f"""WITH {LAT}, {_STATE} SELECT i, j, k, round(d0 + 3.7e-10, 8) + 0.0 AS rhs_f_0, round(l0 - 0.6 * d0 - 2.25 * (f0 + 2 * f0 * f1 * f1) + 3.7e-10, 8) + 0.0 AS rhs_dfdt_0,
   round(d1 + 3.7e-10, 8) + 0.0 AS rhs_f_1, round(l1 - 0.6 * d1 - 2.25 * 2 * f0 * f0 * f1 + 3.7e-10, 8) + 0.0 AS rhs_dfdt_1 FROM st"""
+_WAVES = ", ".join(
+    f"round({0.25 * n} + 3.7e-9, 7) + 0.0 AS rhs_hij_{n}, round({0.5 + n} - 0.6 * {0.25 * n} + 16 * pi() * {a * b} * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS rhs_dhijdt_{n}"
+    for n, (a, b) in enumerate(((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)))
+)
 SQL["stress_tensor"] = f"""WITH {LAT}, {_STATE}, q AS (SELECT *, (d0 * d0 + d1 * d1 - 14 * (f0 * f0 + f1 * f1)) / 4.5 - (f0 * f0 / 2 + f0 * f0 * f1 * f1) AS lag FROM st)
   SELECT i, j, k, round(d0 * d0 + d1 * d1 - 2.25 * lag + 3.7e-9, 7) + 0.0 AS t00, round(d0 * f0 + d1 * f1 + 3.7e-9, 7) + 0.0 AS t01, round(4 * (f0 * f0 + f1 * f1) + 2.25 * lag + 3.7e-9, 7) + 0.0 AS t22,
-  round(2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS s12, round(0.5 - 0.6 * 0.25 + 16 * pi() * 2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS h12 FROM q"""
+  round(2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS s12, {_WAVES} FROM q"""
 SQL["output_append"] = f"WITH {LAT} SELECT t::BIGINT AS t, round(avg(g + t), 9) AS mean FROM lat, range(2) r(t) GROUP BY t"
+SQL["expansion"] = """WITH t AS (SELECT event_type, 1 + avg(value) / 100 AS rho, (row_number() OVER (ORDER BY event_type) - 1) % 5 AS n FROM events GROUP BY event_type),
+  w AS (SELECT *, 1 + 3 * CASE n WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1 / 3.0::DOUBLE WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 ELSE -0.25 END AS p FROM t), x AS (SELECT *, 1 + p / 2 * sqrt(rho / 3) AS y FROM w)
+  SELECT event_type, round(pow(y, 2 / p), 6) AS a, round(sqrt(rho / 3) / y, 6) AS hubble FROM x"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,12 @@ from ..operators.fourier import DFT, PowerSpectra, Projector, RayleighGenerator,
 from ..operators.histogram import FieldHistogrammer, Histogrammer
 from ..operators.lattice import Lattice
 from ..operators.maps import ElementWiseMap
-from ..operators.models import ScalarSector, TensorPerturbationSector, get_rho_and_p
+from ..operators.lineage import cut
+from ..operators.models import Expansion, ScalarSector, TensorPerturbationSector, get_rho_and_p
 from ..operators.multigrid import CubicInterpolation, FullApproximationScheme, FullWeighting, Injection, JacobiIterator, LinearInterpolation, MultiGridSolver, NewtonIterator
 from ..operators.reduction import FieldStatistics, Reduction
 from ..operators.stencil import FiniteDifferencer, SecondCenteredDifference, Stencil, StreamingStencil
-from ..operators.step import Stepper, all_steppers, more_steppers
+from ..operators.step import LowStorageRK54, Stepper, all_steppers, more_steppers
 from ..sources import OutputFile, embedding_lattice, event_lattice
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,12 +67,12 @@ def _laplacian(h: int = 1, field: Field = f):
 @query("laplacian_h1")
 def laplacian_h1(spark, sf_dir):
     df, lattice = event_lattice(spark, sf_dir)
-    return Stencil({"lap": _laplacian()}, 1)(df, lattice).select("i", "j", "k", "lap")
+    return Stencil({"lap": _laplacian()}, 1)(df, lattice, keep=[]).select("i", "j", "k", "lap")
 
 
 @query("lap_summary")
 def lap_summary(spark, sf_dir):
-    lap = Stencil({"lap": _laplacian()}, 1)(*event_lattice(spark, sf_dir))
+    lap = Stencil({"lap": _laplacian()}, 1)(*event_lattice(spark, sf_dir), keep=[])
     return lap.agg(F.sum("lap").alias("total"), F.min("lap").alias("least"), F.max("lap").alias("most"), F.sum(F.abs("lap")).alias("size"))
 
 
@@ -78,20 +80,20 @@ def lap_summary(spark, sf_dir):
 def streaming_stencil(spark, sf_dir):
     df, lattice = event_lattice(spark, sf_dir)
     s = StreamingStencil({"y": shift_fields(f, (1, 0, 0)) + 2 * shift_fields(f, (0, -1, 0)) + 3 * shift_fields(g, (0, 0, 2))}, 2, prefetch_args=["f"])
-    return s(df, lattice).select("i", "j", "k", "y")
+    return s(df, lattice, keep=[]).select("i", "j", "k", "y")
 
 
 @query("stencil_nonlinear")
 def stencil_nonlinear(spark, sf_dir):
     df, lattice = event_lattice(spark, sf_dir)
     s = Stencil({"y": shift_fields(f, (1, 0, 0)) * shift_fields(g, (-1, 0, 0)) + shift_fields(g, (0, 1, 1)) * f}, 1)
-    return s(df, lattice).select("i", "j", "k", "y")
+    return s(df, lattice, keep=[]).select("i", "j", "k", "y")
 
 
 def _gradient(h: int) -> Query:
     def run(spark, sf_dir):
         df, lattice = event_lattice(spark, sf_dir)
-        found = FiniteDifferencer(lattice, h)(df, "f", grd=("dx", "dy", "dz"))
+        found = FiniteDifferencer(lattice, h)(df, "f", grd=("dx", "dy", "dz"), keep=[])
         return found.select("i", "j", "k", _r("dx", 4), _r("dy", 4), _r("dz", 4))
 
     return run
@@ -100,7 +102,7 @@ def _gradient(h: int) -> Query:
 def _lap(h: int) -> Query:
     def run(spark, sf_dir):
         df, lattice = event_lattice(spark, sf_dir)
-        return FiniteDifferencer(lattice, h)(df, "f", lap="lap").select("i", "j", "k", _r("lap", 4))
+        return FiniteDifferencer(lattice, h)(df, "f", lap="lap", keep=[]).select("i", "j", "k", _r("lap", 4))
 
     return run
 
@@ -114,7 +116,7 @@ for _h in (1, 2, 3, 4):
 @query("gradlap")
 def gradlap(spark, sf_dir):
     df, lattice = event_lattice(spark, sf_dir)
-    found = FiniteDifferencer(lattice, 2)(df, "f", lap="lap", grd=("dx", "dy", "dz"))
+    found = FiniteDifferencer(lattice, 2)(df, "f", lap="lap", grd=("dx", "dy", "dz"), keep=[])
     return found.select("i", "j", "k", _r("lap", 4), _r("dx", 4), _r("dy", 4), _r("dz", 4))
 
 
@@ -122,13 +124,13 @@ def gradlap(spark, sf_dir):
 def divergence(spark, sf_dir):
     df, lattice = event_lattice(spark, sf_dir)
     df = df.withColumn("u", F.col("f") - F.col("g"))
-    return FiniteDifferencer(lattice, 1).divergence(df, ("f", "g", "u"), "div").select("i", "j", "k", _r("div", 4))
+    return FiniteDifferencer(lattice, 1).divergence(df, ("f", "g", "u"), "div", keep=[]).select("i", "j", "k", _r("div", 4))
 
 
 @query("lap_outer")
 def lap_outer(spark, sf_dir):
     df, lattice = embedding_lattice(spark, sf_dir)
-    return FiniteDifferencer(lattice, 1)(df, "e", lap="lap").select("vec_id", "i", "j", "k", _r("lap", 6))
+    return FiniteDifferencer(lattice, 1)(df, "e", lap="lap", keep=[]).select("vec_id", "i", "j", "k", _r("lap", 6))
 
 
 # --- maps and expressions
@@ -678,10 +680,50 @@ def stress_tensor(spark, sf_dir):
     s = ScalarSector(2, potential=_potential)
     found = ElementWiseMap({"t00": s.stress_tensor(0, 0), "t01": s.stress_tensor(0, 1), "t22": s.stress_tensor(2, 2), "s12": s.stress_tensor(1, 2, drop_trace=True)})(df, a=1.5)
     tensor = TensorPerturbationSector([s])
-    rhs = tensor.rhs_dict[tensor.hij.dot[1]]
-    found = found.withColumns({"lap_hij_1": F.lit(0.5), "dhijdt_1": F.lit(0.25)})
-    found = ElementWiseMap({"h12": rhs})(found, hubble=0.3)
-    return found.select("i", "j", "k", *[_off(n, 7) for n in ("t00", "t01", "t22", "s12", "h12")])
+    found = found.withColumns({f"lap_hij_{n}": F.lit(0.5 + n) for n in range(6)} | {f"dhijdt_{n}": F.lit(0.25 * n) for n in range(6)})
+    rates = {f"rhs_{k.column}": e for k, e in tensor.rhs_dict.items()}
+    found = ElementWiseMap(list(rates.items()))(found, hubble=0.3)
+    return found.select("i", "j", "k", *[_off(n, 7) for n in ("t00", "t01", "t22", "s12", *rates)])
+
+
+@query("expansion")
+def expansion(spark, sf_dir):
+    """The scale factor after time 1 of a fluid for each type of event: density 1 and its mean value in hundreds, pressure by its place among the types."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg((1 + F.avg("value") / 100).alias("rho")).orderBy("event_type").collect()  # a row a type
+    found = []
+    for n, r in enumerate(rows):
+        w = (0.0, 1 / 3, 1 / 2, 1.0, -1 / 4)[n % 5]
+        energy = lambda a, rho=r.rho, w=w: rho * a ** (-3 - 3 * w)
+        x = Expansion(energy(1.0), LowStorageRK54, mpl=math.sqrt(8 * math.pi))
+        for _ in range(200):
+            x.step_through(energy, lambda a, w=w, energy=energy: w * energy(a), 0.005)
+        found.append((r.event_type, round(x.a, 6), round(x.hubble, 6)))
+    return spark.createDataFrame(found, "event_type string, a double, hubble double")
+
+
+@query("preheating")
+def preheating(spark, sf_dir):
+    """Two coupled scalar fields and the scale factor, two steps of five stages: energy and pressure are averaged anew at each stage."""
+    df, lattice = event_lattice(spark, sf_dir)
+    c = F.col
+    state = df.select("i", "j", "k", (0.193 + c("f") / 1e9).alias("f_0"), (c("g") / 1e5).alias("f_1"), F.lit(-0.142).alias("dfdt_0"), F.lit(0.0).alias("dfdt_1"))
+    sector = ScalarSector(2, potential=lambda f: f[0] ** 2 / 2 + 2 * f[0] ** 2 * f[1] ** 2)
+    laplacians = Stencil({f"lap_f_{n}": _laplacian(1, Field(f"f_{n}")) for n in (0, 1)}, 1)
+    reduction = Reduction(lattice, sector, callback=get_rho_and_p)
+    stepper, dt, found = LowStorageRK54(sector.rhs_dict), 0.1, []
+    now = laplacians(state, lattice)
+    energy = reduction(now, a=1.0)
+    universe = Expansion(energy["total"], LowStorageRK54)
+    for step in range(2):
+        now = stepper.start(now)
+        for stage in range(stepper.num_stages):
+            moved = stepper(stage, now, dt=dt, a=universe.a, hubble=universe.hubble)
+            universe.step(stage, energy["total"], energy["pressure"], dt)
+            now = cut(laplacians(moved.drop("lap_f_0", "lap_f_1"), lattice))
+            energy = reduction(now, a=universe.a)
+        now = stepper.finish(now)
+        found.append((step, universe.a, universe.hubble, float(energy["total"]), float(universe.constraint(energy["total"]))))
+    return spark.createDataFrame(found, "step int, a double, hubble double, energy double, miss double")
 
 
 @query("output_append")

@@ -6,6 +6,7 @@ import pytest
 from gridloom.functions import Field, Param
 from gridloom.operators.decomp import DomainDecomposition as D
 from gridloom.operators.lattice import Lattice
+from gridloom.plans.queries import QUERIES
 from gridloom.operators.models import Expansion, ScalarSector, TensorPerturbationSector, get_rho_and_p
 from gridloom.operators.multigrid import CubicInterpolation, FullApproximationScheme, FullWeighting, Injection, JacobiIterator, LinearInterpolation, MultiGridSolver, NewtonIterator, f_cycle, v_cycle, w_cycle
 from gridloom.operators.reduction import Reduction
@@ -101,20 +102,41 @@ def test_multigrid_cycle(spark, kind):
         scheme(df, lattice, [(0, 1), (2, 1)])
 
 
-@pytest.mark.parametrize("w", [0.0, 1 / 3, 1.0, -1.0])
-def test_expansion(w):
-    """With pressure w times energy and mpl^2 = 8 pi, a grows as a power of conformal time."""
-    e0 = 3.0
-    x = Expansion(e0, RungeKutta4, mpl=math.sqrt(8 * math.pi))
-    dt, t = 0.005, 0.0
-    for _ in range(40):
-        energy = e0 * x.a ** (-3 * (1 + w))
-        x.step(energy, w * energy, dt)
+@pytest.mark.parametrize("w", [0, 1 / 3, 1 / 2, 1, -1 / 4])
+@pytest.mark.parametrize("kind", all_steppers)
+def test_expansion_keeps_the_order(kind, w):
+    """A fluid of pressure w rho follows its power law, and the constraint holds, to dt ** order at time 10."""
+    energy, dt, t = (lambda a: a ** (-3 - 3 * w)), 0.005, 0.0
+    x = Expansion(energy(1.0), kind, mpl=math.sqrt(8 * math.pi))
+    while t <= 10 - dt:
+        x.step_through(energy, lambda a: w * energy(a), dt)
         t += dt
-    power = (1 + 3 * w) / 2
-    exact = (1 + power * t) ** (1 / power)
-    assert x.a == pytest.approx(exact, rel=5e-2 * dt * 10)
-    assert x.constraint(e0 * x.a ** (-3 * (1 + w))) < 0.02
+    power = 1 + 3 * w
+    exact = (power * (t / math.sqrt(3) + 2 / power) / 2) ** (2 / power)
+    assert x.a == pytest.approx(exact, rel=dt**kind.expected_order)
+    assert x.constraint(energy(x.a)) < dt**kind.expected_order
+
+
+def test_expansion_of_a_constant_density():
+    x, t = Expansion(3.0, RungeKutta4, mpl=math.sqrt(8 * math.pi)), 0.0
+    for _ in range(40):
+        x.step_through(lambda a: 3.0, lambda a: -3.0, 0.005)
+        t += 0.005
+    assert x.a == pytest.approx(1 / (1 - t), rel=1e-8) and x.constraint(3.0) < 1e-8
+
+
+def test_preheating_obeys_the_constraint(spark, sf_dir):
+    """Fields and background stepped together keep the first Friedmann equation to the stepper's order."""
+    rows = sorted(QUERIES["preheating"](spark, sf_dir).collect())
+    assert [r.step for r in rows] == [0, 1] and rows[0].a < rows[1].a and rows[0].energy > rows[1].energy
+    assert all(r.miss < 1e-5 for r in rows)
+
+
+def test_expansion_takes_stages_in_order():
+    x = Expansion(1.0, RungeKutta4)
+    x.step(0, 1.0, 0.0, 0.1)
+    with pytest.raises(ValueError):
+        x.step(2, 1.0, 0.0, 0.1)
 
 
 def test_scalar_energy(spark):

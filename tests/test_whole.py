@@ -81,3 +81,14 @@ def test_parts_of_every_mode(spark, sf_dir, events):
                 eps = np.array([k[0] * k[2] / size - 1j * k[1], k[1] * k[2] / size + 1j * k[0], -(flat**2) / size]) / flat / math.sqrt(2)
         found = [complex(r.plus_re, r.plus_im), complex(r.minus_re, r.minus_im), complex(r.lng_re, r.lng_im)]
         assert np.allclose(found, [v @ eps.conj(), v @ eps, lng], atol=0.02)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, sf_dir):
+    """What isn't wanted isn't read; cell numbers stay integers; random vectors need no join."""
+    lap = plan_of(QUERIES["laplacian_h1"](spark, sf_dir))
+    assert "props" not in lap and "FLOOR" not in lap and lap.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan_of(QUERIES["random_vector_pol"](spark, sf_dir))
