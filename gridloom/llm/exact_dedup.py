@@ -40,7 +40,7 @@ def _is_hot(hot: list) -> Column:
 
 
 def _combine(rows: DataFrame, hot: list, salt_by: str) -> DataFrame:
-    """One row per text: the largest ``row`` struct and the number of rows."""
+    """One row per text: the largest ``row`` and the number of rows. Where ``row`` is a plain id, all of it is hash aggregation."""
     first = lambda d, *keys: d.groupBy(*keys).agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("n"))
     cold = first(rows.where(~_is_hot(hot)), "digest", "text")
     if not hot:
@@ -59,10 +59,10 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Ca
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     base = base.withColumn("digest", digest(F.col("text")))
-    slim = materialise(base.select("doc_id", "digest", F.monotonically_increasing_id().alias("uid")), "digests")
+    slim = materialise(base.select("doc_id", "digest", F.monotonically_increasing_id().alias("uid")), "digests")  # the ids are fixed once written
     hot = _hot(slim)
-    classes = _combine(base.select("doc_id", "digest", "text", F.struct("doc_id").alias("row")), hot, "doc_id")
-    classes = materialise(classes.select("digest", F.col("row.doc_id").alias("keep_id"), F.col("n").alias("group_size")), "winners")
+    classes = _combine(base.select("doc_id", "digest", "text", F.col("doc_id").alias("row")), hot, "doc_id")
+    classes = materialise(classes.select("digest", F.col("row").alias("keep_id"), F.col("n").alias("group_size")), "winners")
     clashes = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
     tops = slim.groupBy("digest").agg(F.max(F.struct("doc_id", "uid")).alias("top"))
     if clashes.isEmpty():
@@ -71,8 +71,8 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Ca
     # Different texts share a digest: their rows are matched by the texts themselves.
     clear = classes.join(clashes, "digest", "left_anti").join(tops.select("digest", F.col("top.uid").alias("top_uid")), "digest")
     rest = base.join(clashes, "digest", "left_semi")
-    texts = _combine(rest.select("doc_id", "digest", "text", F.struct("doc_id").alias("row")), hot, "doc_id")
-    texts = texts.select("digest", "text", F.col("row.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    texts = _combine(rest.select("doc_id", "digest", "text", F.col("doc_id").alias("row")), hot, "doc_id")
+    texts = texts.select("digest", "text", F.col("row").alias("keep_id"), F.col("n").alias("group_size"))
     matched = rest.join(texts, ["digest", "text"])
     tops_of = matched.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest", "text"]).withColumn("kept", F.lit(True))
     others = matched.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
