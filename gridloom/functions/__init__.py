@@ -7,6 +7,7 @@ from .expr import (
     DynamicField,
     Expr,
     Field,
+    FieldArg,
     If,
     LogicalAnd,
     LogicalOr,
@@ -14,8 +15,11 @@ from .expr import (
     call,
     diff,
     evaluate,
+    field_args,
+    field_indices,
     fields_of,
     index_fields,
+    loop_domain,
     lower,
     parameters_of,
     parse,
@@ -25,6 +29,6 @@ from .expr import (
 )
 
 __all__ = [
-    "Call", "Compare", "Const", "DynamicField", "Expr", "Field", "If", "LogicalAnd", "LogicalOr", "Param", "call", "diff",
-    "evaluate", "fields_of", "index_fields", "lower", "parameters_of", "parse", "shift_fields", "simplify", "substitute",
+    "Call", "Compare", "Const", "DynamicField", "Expr", "Field", "FieldArg", "If", "LogicalAnd", "LogicalOr", "Param", "call", "diff",
+    "evaluate", "field_args", "field_indices", "fields_of", "index_fields", "loop_domain", "lower", "parameters_of", "parse", "shift_fields", "simplify", "substitute",
 ]

@@ -96,12 +96,12 @@ class Field(Expr):
     ``offset`` is the place read relative to the cell; ``base_offset`` is padding that shifts
     never change; a scalar holds for all axes. ``shape`` gives the outer axes, which are chosen by
     subscripts and become part of the column's name: ``f[0, 1]`` is column f_0_1. ``indices``
-    may be fewer than three; none make it a scalar.
+    may be fewer than three; none make it a scalar. Extents and padding that are known by name only are strings.
     """
 
     child: str
     offset: Any = 0
-    shape: tuple[int, ...] = ()
+    shape: tuple[int | str, ...] = ()
     indices: tuple[str, ...] = AXES
     ignore_prepends: bool = False
     base_offset: Any = None
@@ -123,7 +123,7 @@ class Field(Expr):
         if len(self.outer) + len(index) > len(self.shape):
             raise IndexError(f"{self.child} has {len(self.shape)} outer axes")
         axes = self.shape[len(self.outer) :]
-        if any(not 0 <= i < n for i, n in zip(index, axes, strict=False)):
+        if any(isinstance(n, int) and not 0 <= i < n for i, n in zip(index, axes, strict=False)):
             raise IndexError(f"{index} is outside of {axes}")
         return replace(self, outer=self.outer + index)
 
@@ -327,6 +327,66 @@ def fields_of(*exprs: Any) -> list[Field]:
     return [found[k] for k in sorted(found, key=str)]
 
 
+@dataclass(frozen=True)
+class FieldArg:
+    """The array that a field's name stands for: its whole shape, padding included. Without a shape it is a scalar."""
+
+    name: str
+    shape: tuple[int | str, ...]
+    dtype: str | None = None
+
+
+def _trees(exprs: Any) -> Iterator[Expr]:
+    """The expressions in nested mappings (keys and values) and sequences."""
+    if isinstance(exprs, Mapping):
+        for pair in exprs.items():
+            yield from _trees(pair)
+    elif isinstance(exprs, (list, tuple, set)):
+        for one in exprs:
+            yield from _trees(one)
+    else:
+        yield wrap(exprs)
+
+
+def _fields_in(exprs: Any) -> Iterator[Field]:
+    return (node for tree in _trees(exprs) for node in walk(tree) if isinstance(node, Field))
+
+
+def _padded(cells: int | str, halo: int | str) -> int | str:
+    """An extent with padding at both ends."""
+    if isinstance(cells, int) and isinstance(halo, int):
+        return cells + 2 * halo
+    if halo == 0:
+        return cells
+    return f"{cells}+{2 * halo}" if isinstance(halo, int) else f"{cells}+2*{halo}"
+
+
+def field_args(exprs: Any, cells: tuple[int | str, ...] = ("Nx", "Ny", "Nz"), prepend_with: tuple[int | str, ...] = ()) -> list[FieldArg]:
+    """The arrays that expressions (one, or nested mappings and sequences of them) read and write, by name.
+
+    A shape is ``prepend_with`` (unless the field ignores it), the outer axes, and ``cells`` padded by the field's own
+    ``base_offset``; extents may be names. Fields of one name whose shapes differ raise ValueError.
+    """
+    found: dict[str, FieldArg] = {}
+    for f in _fields_in(exprs):
+        extent = dict(zip(AXES, cells, strict=True))
+        spatial = [_padded(extent.get(x, f"N{x}"), h) for x, h in zip(f.indices, f.base_offset, strict=True)]
+        arg = FieldArg(f.child, (*(() if f.ignore_prepends else prepend_with), *f.shape, *spatial), f.dtype)
+        if found.setdefault(f.child, arg).shape != arg.shape:
+            raise ValueError(f"{f.child} has shapes {found[f.child].shape} and {arg.shape}")
+    return [found[name] for name in sorted(found)]
+
+
+def field_indices(exprs: Any) -> list[str]:
+    """The spatial indices that any field of the expressions has, sorted."""
+    return sorted({x for f in _fields_in(exprs) for x in f.indices})
+
+
+def loop_domain(exprs: Any) -> dict[str, tuple[int, str]]:
+    """The cells that the expressions run over: {index: (first, the name of the end)}; in a frame these are its keys."""
+    return {x: (0, f"N{x}") for x in field_indices(exprs)}
+
+
 def parameters_of(*exprs: Any) -> list[str]:
     return sorted({n.name for e in exprs for n in walk(wrap(e)) if isinstance(n, Param)})
 

@@ -111,8 +111,9 @@ class DFT:
     def grid(self, spark) -> DataFrame:
         """All modes."""
         ni, nj, nk = self.mode_shape
-        at = F.col("id")
-        places = [F.floor(at / (nj * nk)), F.pmod(F.floor(at / nk), F.lit(nj)), F.pmod(at, F.lit(nk))]
+        # Integers all the way, exact beyond 2 ** 53.
+        whole = lambda n: F.expr(f"id div {n}L")
+        places = [whole(nj * nk), F.pmod(whole(nk), F.lit(nj)), F.pmod(F.col("id"), F.lit(nk))]
         rows = spark.range(ni * nj * nk).select(*[p.alias(m) for p, m in zip(places, MODES, strict=True)])
         return rows.select(*[self._signed(m, n).alias(m) for m, n in zip(MODES, self.lattice.shape, strict=True)])
 
@@ -137,18 +138,27 @@ class DFT:
         return F.when((F.col("kz") > 0) & (F.col("kz") < self.lattice.shape[2] // 2), 2.0).otherwise(1.0)
 
     def effective(self, effective_k, zero_nyquist: bool = True) -> list[Column]:
-        """Effective momentum along each axis: from a callable (k, dx) over arrays, a halo's first difference, or 0 for the continuum."""
-        from ..stencil import FirstCenteredDifference
+        """Effective momentum along each axis: a halo's first difference, 0 for the continuum, or a callable (k, dx) over arrays.
 
+        The first two are formulas of the wavenumber, whatever the axis's length. Only a callable, which may be any Python, is
+        tabulated, as an array of an axis's cells in the plan; if it is a centred difference's ``get_eigenvalues``, it too is a formula.
+        """
+        from ..stencil import CenteredDifference, FirstCenteredDifference
+
+        difference = getattr(effective_k, "__self__", None)
         if not callable(effective_k):
-            effective_k = FirstCenteredDifference(effective_k).get_eigenvalues if effective_k else (lambda k, dx: k)
+            difference = FirstCenteredDifference(effective_k) if effective_k else None
         out = []
         for mode, n, dk, dx in zip(MODES, self.lattice.shape, self.dk, self.lattice.spacing, strict=True):
-            k = fftfreq(n)
-            found = np.asarray(effective_k(dk * k.astype(float), dx), float)
-            if zero_nyquist:
-                found = np.where((np.abs(k) == n // 2) | (k == 0), 0.0, found)
-            out.append(F.get(F.array(*[F.lit(float(x)) for x in found]), F.pmod(F.col(mode), F.lit(n))))
+            m, k = F.col(mode), F.col(mode) * float(dk)
+            if isinstance(difference, CenteredDifference):
+                found = difference.eigenvalue(k, dx)
+            elif not callable(effective_k):
+                found = k
+            else:
+                values = np.asarray(effective_k(dk * fftfreq(n).astype(float), dx), float)
+                found = F.get(F.array(*[F.lit(float(x)) for x in values]), F.pmod(m, F.lit(n)))
+            out.append(F.when((m == 0) | (F.abs(m) == n // 2), 0.0).otherwise(found) if zero_nyquist else found)
         return out
 
 

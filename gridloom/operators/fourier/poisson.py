@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .complexes import Z
-from .dft import DFT
+from .dft import DFT, MODES
 
 
 class SpectralPoissonSolver:
@@ -21,6 +21,7 @@ class SpectralPoissonSolver:
         """The keys and the solution."""
         modes = self.fft.dft(df, rho)
         eigen = sum(self.fft.effective(self.effective_k2, zero_nyquist=False), F.lit(0.0))
-        below = F.when(eigen < 0, eigen - m_squared)
+        still = (F.col(MODES[0]) == 0) & (F.col(MODES[1]) == 0) & (F.col(MODES[2]) == 0)
+        below = F.when((eigen < 0) & ~still, eigen - m_squared)
         solved = (Z.of(rho) * F.coalesce(F.lit(1 / self.fft.lattice.cells) / below, F.lit(0.0))).named(f)
         return self.fft.idft(modes.withColumns(solved), f)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import Const, Expr, Field, Op, fields_of, lower, shift_fields, simplify, walk, wrap
@@ -189,6 +189,14 @@ class CenteredDifference:
             total = total + (c if step == 0 else 2 * c * wave(step * np.asarray(k) * dx))
         return total / dx**self.order
 
+    def eigenvalue(self, k: Column, dx: float) -> Column:
+        """``get_eigenvalues`` of a column of momenta."""
+        wave = F.sin if self.order == 1 else F.cos
+        total = F.lit(0.0)
+        for step, c in self.coefs.items():
+            total = total + (F.lit(float(c)) if step == 0 else 2.0 * c * wave(k * (step * float(dx))))
+        return total / float(dx**self.order)
+
 
 class FirstCenteredDifference(CenteredDifference):
     def __init__(self, h: int):

@@ -294,6 +294,68 @@ SQL["spectral_derivs"] = f"""WITH {LAT}, {_FIRSTS}, {_SECONDS} SELECT i, j, k, r
   FROM di JOIN dj USING (i, j, k) JOIN dk USING (i, j, k) JOIN si USING (i, j, k) JOIN sj USING (i, j, k) JOIN sk USING (i, j, k)"""
 SQL["spectral_divergence"] = f"""WITH {LAT}, {_spectral("i", "di", "x.f", 1)}, {_spectral("j", "dj", "x.g", 1)}, {_spectral("k", "dk", "x.f - x.g", 1)}
   SELECT i, j, k, round(di.v + dj.v + dk.v, 2) + 0.0 AS div FROM di JOIN dj USING (i, j, k) JOIN dk USING (i, j, k)"""
+
+
+# Spark's 64-bit hash of 32-bit integers; each step's products are taken modulo 2^64.
+_P1, _P2, _P3, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
+
+
+def _times(x: str, y: str, plus: int = 0) -> str:
+    return f"((({x})::UHUGEINT * ({y})::UHUGEINT + {plus}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _hashed(table: str, out: str, names: list[str], column: str) -> str:
+    """CTEs ending in ``out``: the columns ``names`` hold hashes, and each is taken on to that hash of ``column``."""
+    word = f"(({column} + 4294967296) % 4294967296)"
+    turned = "(({0}::UHUGEINT * 8388608) % 18446744073709551616::UHUGEINT + {0}::UHUGEINT // 2199023255552)"
+    steps = [
+        lambda h: f"xor((({h}::UHUGEINT + {_P5 + 4}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, {_times(word, str(_P1))})",
+        lambda h: _times(turned.format(h), str(_P2), _P3),
+        lambda h: _times(f"xor({h}, {h} // 8589934592::UBIGINT)", str(_P2)),
+        lambda h: _times(f"xor({h}, {h} // 536870912::UBIGINT)", str(_P3)),
+        lambda h: f"xor({h}, {h} // 4294967296::UBIGINT)",
+    ]
+    tables = [table, *[f"{out}_{n}" for n in range(len(steps) - 1)], out]
+    return ", ".join(f"{to} AS (SELECT * REPLACE ({', '.join(f'{step(h)} AS {h}' for h in names)}) FROM {at})" for step, at, to in zip(steps, tables[:-1], tables[1:], strict=True))
+
+
+def _drawn(seed: int, draws: list[int]) -> str:
+    """CTE u: all modes with kx, ky, kz, their momentum k, flip (0 where a mode is its own opposite, -1 for the later of two), and draws u0, u1, ... in (0, 1)."""
+    names = [f"u{n}" for n in draws]
+    seeded = f"r4 AS (SELECT *, {seed} AS seed, {', '.join(f'42::UBIGINT AS {x}' for x in names)} FROM r3), " + _hashed("r4", "h0", names, "seed")
+    numbered = []
+    for n, x in zip(draws, names, strict=True):
+        numbered.append(_hashed(f"h{n}" if n == draws[0] else f"g{n - 1}", f"g{n}", [x], str(n)))
+    chain = ", ".join([seeded, *numbered, _hashed(f"g{draws[-1]}", "hx", names, "rx"), _hashed("hx", "hy", names, "ry"), _hashed("hy", "hz", names, "rz")])
+    return f"""r0 AS (SELECT i AS mi, j AS mj, k AS mk, ni, nj, nk FROM lat WHERE k <= nk // 2), r1 AS (SELECT *, {KEYS} FROM r0),
+  r2 AS (SELECT *, CASE WHEN kx = ni // 2 THEN kx ELSE -kx END AS ox, CASE WHEN ky = nj // 2 THEN ky ELSE -ky END AS oy, kz IN (0, nk // 2) AS tied, sqrt({_K2}) AS k FROM r1),
+  r3 AS (SELECT * EXCLUDE (ox, oy, tied), CASE WHEN tied AND (kx > ox OR kx = ox AND ky > oy) THEN ox ELSE kx END::BIGINT AS rx, CASE WHEN tied AND (kx > ox OR kx = ox AND ky > oy) THEN oy ELSE ky END::BIGINT AS ry,
+    kz::BIGINT AS rz, CASE WHEN tied AND kx = ox AND ky = oy THEN 0.0::DOUBLE WHEN tied AND (kx > ox OR kx = ox AND ky > oy) THEN -1 ELSE 1 END AS flip FROM r2),
+  {chain}, u AS (SELECT * REPLACE ({', '.join(f'(({x} // 2048)::DOUBLE + 0.5) / 9007199254740992 AS {x}' for x in names)}) FROM hz)"""
+
+
+_SIZE = "CASE WHEN k > 0 THEN sqrt(-ln(u{0})) * sqrt({1} / (ni * nj * nk)) ELSE 0 END"
+SQL["random_field_spectrum"] = f"""WITH {LAT}, {_drawn(5123, [0, 1])}, s AS (SELECT kx, ky, kz, ni, nj, nk, {_SIZE.format(0, "pow(k, -2)")} * ni * nj * nk AS size, cos(2 * pi() * u1) AS c, flip * sin(2 * pi() * u1) AS s FROM u),
+  {_binned("s", r="size * size * (c * c + s * s)")} SELECT bin, modes, {_leading("r")} FROM b"""
+
+
+def _back(name: str, at: str, re: str, im: str) -> str:
+    """CTEs ending in ``{name}`` (i, j, k, v): the real field of modes (mi, mj, mk), an axis at a time."""
+    turn = "cos(2 * pi() * ((m * {0}) % {1}) / {1}) AS c, sin(2 * pi() * ((m * {0}) % {1}) / {1}) AS s"
+    m = "(SELECT unnest(range(greatest(ni, nj, nk))) AS m FROM size) t"
+    return f"""{name}1 AS (SELECT m AS i, mj, mk, ni, nj, nk, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM (
+    SELECT *, {turn.format("mi", "ni")} FROM (SELECT mi, mj, mk, ni, nj, nk, {re} AS re, {im} AS im FROM {at}) JOIN {m} ON m < ni) GROUP BY m, mj, mk, ni, nj, nk),
+  {name}2 AS (SELECT i, m AS j, mk, ni, nj, nk, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM (SELECT *, {turn.format("mj", "nj")} FROM {name}1 JOIN {m} ON m < nj) GROUP BY i, m, mk, ni, nj, nk),
+  {name} AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(m AS INT) AS k, sum(CASE WHEN mk IN (0, nk // 2) THEN 1 ELSE 2 END * (re * c - im * s)) AS v
+    FROM (SELECT *, {turn.format("mk", "nk")} FROM {name}2 JOIN {m} ON m < nk) GROUP BY i, j, m)"""
+
+
+# Left and right movers l and r: the field is (l + r) / sqrt 2, its rate i k (l - r) / sqrt 2 less the field times the Hubble rate; i changes sign with the conjugate.
+_MOVERS = ", ".join(f"{_SIZE.format(n, '0.5 / k')} * {part} AS {name}" for name, n, part in (
+    ("lr", 0, "cos(2 * pi() * u1)"), ("li", 0, "flip * sin(2 * pi() * u1)"), ("rr", 2, "cos(2 * pi() * u3)"), ("ri", 2, "flip * sin(2 * pi() * u3)")))
+SQL["random_wkb"] = f"""WITH {LAT}, {_drawn(13298, [0, 1, 2, 3])}, lr AS (SELECT *, {_MOVERS} FROM u), w AS (SELECT *, (lr + rr) / sqrt(2) AS fr, (li + ri) / sqrt(2) AS fi, flip * k / sqrt(2) AS turn FROM lr),
+  x AS (SELECT *, -turn * (li - ri) - fr * 0.5 AS dr, turn * (lr - rr) - fi * 0.5 AS di FROM w), {_back("a", "x", "fr", "fi")}, {_back("b", "x", "dr", "di")}
+  SELECT i, j, k, round(a.v, 6) + 0.0 AS r, round(b.v, 6) + 0.0 AS drdt FROM a JOIN b USING (i, j, k)"""
 SQL["poisson"] = f"WITH {LAT}, a AS (SELECT round(avg(f), 3) AS mean FROM lat) SELECT i, j, k, mean FROM lat, a"
 _GRID = f"g AS (SELECT i AS mi, j AS mj, k AS mk, ni, nj, nk FROM lat WHERE k <= nk // 2), w AS (SELECT *, {KEYS}, {_momenta(0)} FROM g)"
 SQL["random_amplitudes"] = f"WITH {LAT}, {_GRID} SELECT kx, ky, kz, CASE WHEN {_CORNER} THEN 0.0 ELSE round(1e6 / (ni * nj * nk) / {_K2}, 6) END::DOUBLE AS power FROM w"
@@ -403,6 +465,64 @@ SQL["residual_norms"] = f"""WITH {LAT}, {_lap_cte()}, r AS (SELECT (g - (v - f))
   SELECT round(max(abs(r)), 3) AS max_f, round(sqrt(sum(r * r) / count(*)), 3) AS rms_f FROM r"""
 SQL["lhs_correction"] = f"WITH {LAT}, {_lap_cte()} SELECT lat.i, lat.j, lat.k, round((2 + v - f)::DOUBLE, 3) + 0.0 AS g FROM lat JOIN lap USING (i, j, k)"
 
+
+
+_SIX_NEAR = ", ".join(f"({_along(a, sign)})" for a in range(3) for sign in (1, -1))
+
+
+def _sum_cte(name: str, table: str, column: str = "f") -> str:
+    """CTE of the sum over a cell's six neighbours."""
+    return f"""{name} AS MATERIALIZED (SELECT c.i, c.j, c.k, sum(x.{column}) AS v FROM {table} c CROSS JOIN (VALUES {_SIX_NEAR}) AS t(di, dj, dk)
+  JOIN {table} x ON x.i = (c.i + t.di + c.ni) % c.ni AND x.j = (c.j + t.dj + c.nj) % c.nj AND x.k = (c.k + t.dk + c.nk) % c.nk GROUP BY ALL)"""
+
+
+def _relaxed(name: str, table: str, sweeps: int, dx: int) -> list[str]:
+    """CTEs ending in ``name``: damped Jacobi sweeps, by 3 / 4, of (sum of neighbours - 6 f) / dx^2 - f = g."""
+    out, at = [], table
+    for n in range(sweeps):
+        to = name if n == sweeps - 1 else f"{name}_{n}"
+        out.append(_sum_cte(f"{to}_s", at))
+        out.append(f"{to} AS MATERIALIZED (SELECT i, j, k, ni, nj, nk, g, 0.25 * f + 0.75 * (g - v / {dx * dx}) / (-6 / {dx * dx}.0::DOUBLE - 1) AS f FROM {at} JOIN {to}_s USING (i, j, k))")
+        at = to
+    return out
+
+
+def _coarser(name: str, table: str, column: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT c.i // 2 AS i, c.j // 2 AS j, c.k // 2 AS k, c.ni // 2 AS ni, c.nj // 2 AS nj, c.nk // 2 AS nk, sum(t.w * x.{column})::DOUBLE AS {column}
+  {_near(_WEIGHTS, 'WHERE c.i % 2 = 0 AND c.j % 2 = 0 AND c.k % 2 = 0', table)} GROUP BY c.i, c.j, c.k, c.ni, c.nj, c.nk)"""
+
+
+def _two_levels(full: bool) -> str:
+    """Two sweeps, four on the coarser lattice, two again. ``full`` moves the solution, else only its error moves."""
+    steps = ["s AS MATERIALIZED (SELECT i, j, k, ni, nj, nk, 0.0::DOUBLE AS f, g - 49.5::DOUBLE AS g FROM lat)", *_relaxed("a", "s", 2, 1)]
+    steps += [_sum_cte("an", "a"), "ar AS MATERIALIZED (SELECT i, j, k, ni, nj, nk, g - (v - 7 * f) AS r FROM a JOIN an USING (i, j, k))", _coarser("cr", "ar", "r")]
+    if full:
+        steps += [_coarser("cf", "a", "f"), _sum_cte("cn", "cf"), "c AS MATERIALIZED (SELECT i, j, k, cf.ni, cf.nj, cf.nk, f, r + (v / 4 - 2.5 * f) AS g FROM cf JOIN cn USING (i, j, k) JOIN cr USING (i, j, k))"]
+    else:
+        steps += ["c AS MATERIALIZED (SELECT i, j, k, ni, nj, nk, 0.0::DOUBLE AS f, r AS g FROM cr)"]
+    steps += _relaxed("d", "c", 4, 2)
+    change = "d.f - cf.f AS f FROM d JOIN cf USING (i, j, k)" if full else "d.f AS f FROM d"
+    steps += [f"p0 AS MATERIALIZED (SELECT CAST(2 * d.i AS INT) AS i, CAST(2 * d.j AS INT) AS j, CAST(2 * d.k AS INT) AS k, 2 * d.ni AS ni, 2 * d.nj AS nj, 2 * d.nk AS nk, {change})"]
+    steps += [_axis(f"p{n}", f"p{n + 1}", x, _LINEAR) for n, x in enumerate("ijk")]
+    steps += ["e AS MATERIALIZED (SELECT a.i, a.j, a.k, a.ni, a.nj, a.nk, a.g, a.f + p3.f AS f FROM a JOIN p3 ON p3.i = a.i AND p3.j = a.j AND p3.k = a.k)", *_relaxed("z", "e", 2, 1)]
+    return f"WITH {LAT}, {', '.join(steps)} SELECT i, j, k, round(f, 6) + 0.0 AS f FROM z"
+
+
+SQL["fas_vcycle"], SQL["linear_vcycle"] = _two_levels(True), _two_levels(False)
+_CYCLES = {
+    ("v_cycle", 1): "0 10, 1 20, 0 20",
+    ("v_cycle", 2): "0 10, 1 10, 2 20, 1 20, 0 20",
+    ("v_cycle", 3): "0 10, 1 10, 2 10, 3 20, 2 20, 1 20, 0 20",
+    ("w_cycle", 1): "0 10, 1 20, 0 20",
+    ("w_cycle", 2): "0 10, 1 10, 2 20, 1 20, 2 20, 1 20, 0 20",
+    ("w_cycle", 3): "0 10, 1 10, 2 10, 3 20, 2 20, 3 20, 2 20, 1 20, 2 10, 3 20, 2 20, 3 20, 2 20, 1 20, 0 20",
+    ("f_cycle", 1): "0 10, 1 20, 0 20",
+    ("f_cycle", 2): "0 10, 1 10, 2 20, 1 20, 2 20, 1 20, 0 20",
+    ("f_cycle", 3): "0 10, 1 10, 2 10, 3 20, 2 20, 3 20, 2 20, 1 20, 2 10, 3 20, 2 20, 1 20, 0 20",
+}
+_LEVELS = ", ".join(f"('{kind}', {depth}, {n}, {', '.join(visit.split())})" for (kind, depth), text in _CYCLES.items() for n, visit in enumerate(text.split(", ")))
+SQL["cycles"] = f"SELECT * FROM (VALUES {_LEVELS}) t(kind, depth, place, level, sweeps)"
+
 # --- models
 
 _STATE = """st AS (SELECT i, j, k, f / 10000.0::DOUBLE AS f0, g / 100.0::DOUBLE AS f1, g / 50.0::DOUBLE AS d0, f / 20000.0::DOUBLE AS d1, (f - g) / 10000.0::DOUBLE AS l0, g / 200.0::DOUBLE AS l1 FROM lat)"""
@@ -417,6 +537,19 @@ _WAVES = ", ".join(
 SQL["stress_tensor"] = f"""WITH {LAT}, {_STATE}, q AS (SELECT *, (d0 * d0 + d1 * d1 - 14 * (f0 * f0 + f1 * f1)) / 4.5 - (f0 * f0 / 2 + f0 * f0 * f1 * f1) AS lag FROM st)
   SELECT i, j, k, round(d0 * d0 + d1 * d1 - 2.25 * lag + 3.7e-9, 7) + 0.0 AS t00, round(d0 * f0 + d1 * f1 + 3.7e-9, 7) + 0.0 AS t01, round(4 * (f0 * f0 + f1 * f1) + 2.25 * lag + 3.7e-9, 7) + 0.0 AS t22,
   round(2 * (f0 * f0 + f1 * f1) + 3.7e-9, 7) + 0.0 AS s12, {_WAVES} FROM q"""
+SQL["field_layout"] = """SELECT *, '0 <= i < Ni, 0 <= j < Nj, 0 <= k < Nk' AS domain FROM (VALUES ('f', '(q, Nx, Ny, Nz)'), ('h', '(q, 3, a, Nx+2, Ny+2, Nz+2)'), ('line', '(q, Nz)'),
+  ('m', '(q)'), ('w', '(Nx, Ny, Nz)'), ('y', '(q, Nx+2*p, Ny+2*p, Nz+2*p)')) t(name, shape)"""
+SQL["expr_simplify"] = f"WITH {LAT} SELECT i, j, k, g + f + 6 * f + 1 + abs(f) AS y, '((((g[i, j, k] + f[i, j, k]) + (6 * f[i, j, k])) + 1) + abs(f[i, j, k]))' AS spelt FROM lat"
+SQL["reduce_callback"] = f"WITH {LAT} SELECT round(stddev_pop(g), 9) AS spread FROM lat"
+SQL["allreduce"] = f"WITH {LAT} SELECT 'sum' AS op, sum(g - 50)::DOUBLE AS value FROM lat UNION ALL SELECT 'max', max(g - 50) FROM lat UNION ALL SELECT 'min', min(g - 50) FROM lat"
+SQL["halo_restore"] = f"""WITH {LAT}, b AS (SELECT bi, bj, ni, nj, nk FROM size, range(2) a(bi), range(2) c(bj)), x AS (SELECT *, unnest(range(-1, ni // 2 + 1)) AS i FROM b),
+  y AS (SELECT *, unnest(range(0, nj // 2)) AS j FROM x), p AS (SELECT *, unnest(range(-2, nk + 2)) AS k FROM y)
+  SELECT CAST(bi * 2 + bj AS INT) AS block, CAST(p.i AS INT) AS i, CAST(p.j AS INT) AS j, CAST(p.k AS INT) AS k, f FROM p
+  LEFT JOIN lat ON lat.i = bi * (p.ni // 2) + p.i AND lat.j = bj * (p.nj // 2) + p.j AND lat.k = p.k AND p.i BETWEEN 0 AND p.ni // 2 - 1"""
+SQL["block_numbers"] = f"""WITH {LAT}, cut AS (SELECT ni // 4 AS q, ni % 4 AS r FROM size),
+  b AS (SELECT CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS bi, j // (nj // 2) AS bj FROM lat, cut)
+  SELECT CAST(bi * 2 + bj AS INT) AS block, CAST(bi AS INT) AS bi, CAST(bj AS INT) AS bj, CAST((bi + 3) % 4 * 2 + bj AS INT) AS before, CAST((bi + 1) % 4 * 2 + bj AS INT) AS behind,
+    CAST(bi * 2 + (bj + 1) % 2 AS INT) AS beside, count(*) AS cells FROM b GROUP BY bi, bj"""
 SQL["output_append"] = f"WITH {LAT} SELECT t::BIGINT AS t, round(avg(g + t), 9) AS mean FROM lat, range(2) r(t) GROUP BY t"
 SQL["expansion"] = """WITH t AS (SELECT event_type, 1 + avg(value) / 100 AS rho, (row_number() OVER (ORDER BY event_type) - 1) % 5 AS n FROM events GROUP BY event_type),
   w AS (SELECT *, 1 + 3 * CASE n WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1 / 3.0::DOUBLE WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 ELSE -0.25 END AS p FROM t), x AS (SELECT *, 1 + p / 2 * sqrt(rho / 3) AS y FROM w)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import Compare, Field, If, LogicalAnd, Param, call, diff, index_fields, lower, shift_fields, substitute
+from ..functions.expr import Compare, Field, If, LogicalAnd, Param, call, diff, field_args, index_fields, loop_domain, lower, shift_fields, simplify, substitute
 from ..operators.decomp import DomainDecomposition
 from ..operators.fourier import DFT, PowerSpectra, Projector, RayleighGenerator, SpectralCollocator, SpectralPoissonSolver, make_hermitian
 from ..operators.histogram import FieldHistogrammer, Histogrammer
@@ -16,7 +16,7 @@ from ..operators.lattice import Lattice
 from ..operators.maps import ElementWiseMap
 from ..operators.lineage import cut
 from ..operators.models import Expansion, ScalarSector, TensorPerturbationSector, get_rho_and_p
-from ..operators.multigrid import CubicInterpolation, FullApproximationScheme, FullWeighting, Injection, JacobiIterator, LinearInterpolation, MultiGridSolver, NewtonIterator
+from ..operators.multigrid import CubicInterpolation, FullApproximationScheme, FullWeighting, Injection, JacobiIterator, LinearInterpolation, MultiGridSolver, NewtonIterator, f_cycle, v_cycle, w_cycle
 from ..operators.reduction import FieldStatistics, Reduction
 from ..operators.stencil import FiniteDifferencer, SecondCenteredDifference, Stencil, StreamingStencil
 from ..operators.step import LowStorageRK54, Stepper, all_steppers, more_steppers
@@ -191,6 +191,24 @@ def expr_rewrite(spark, sf_dir):
 # --- reductions
 
 
+@query("field_layout")
+def field_layout(spark, sf_dir):
+    """The arrays behind a set of maps, and the cells that they run over."""
+    h = Field("h", offset=1, shape=(3, "a"))
+    maps = {Field("y", offset="p"): shift_fields(h[0, 1], (1, 0, 0)) + Field("m", indices=()), Field("line", indices=("k",)): f * Field("w", ignore_prepends=True)}
+    domain = ", ".join(f"{first} <= {x} < {end}" for x, (first, end) in loop_domain(maps).items())
+    rows = [(arg.name, "(" + ", ".join(map(str, arg.shape)) + ")", domain) for arg in field_args(maps, prepend_with=("q",))]
+    return spark.createDataFrame(rows, "name string, shape string, domain string")
+
+
+@query("expr_simplify")
+def expr_simplify(spark, sf_dir):
+    """A simplified expression has the same value and is spelt without its neutral parts."""
+    df, _ = event_lattice(spark, sf_dir)
+    e = simplify(0 * f + 1 * g + (f - 0) / 1 + 2 * (3 * f) + g**0 + call("abs", f * 1) ** 1)
+    return df.select("i", "j", "k", lower(e).cast("bigint").alias("y"), F.lit(str(e)).alias("spelt"))
+
+
 def _reduce(op: str, expr, digits: int = 6) -> Query:
     def run(spark, sf_dir):
         df, lattice = event_lattice(spark, sf_dir)
@@ -233,6 +251,22 @@ def field_stats_outer(spark, sf_dir):
     return FieldStatistics(lattice, max_min=True).frame(df, "e").select("vec_id", _r("mean", 9), _r("variance", 9), _r("max", 6), _r("min", 6), _r("abs_max", 6), _r("abs_min", 6))
 
 
+@query("reduce_callback")
+def reduce_callback(spark, sf_dir):
+    """A reduction whose callback makes one number, the standard deviation, of its two averages."""
+    df, lattice = event_lattice(spark, sf_dir)
+    spread = Reduction(lattice, {"mean": [g], "square": [g * g]}, callback=lambda found: math.sqrt(found["square"][0] - found["mean"][0] ** 2))
+    return spark.createDataFrame([(round(spread(df), 9),)], "spread double")
+
+
+@query("allreduce")
+def allreduce(spark, sf_dir):
+    """One number over all blocks, by each operation."""
+    df, _ = event_lattice(spark, sf_dir)
+    rows = [(op, float(DomainDecomposition.allreduce(df.withColumn("x", F.col("g") - 50), "x", op))) for op in ("sum", "max", "min")]
+    return spark.createDataFrame(rows, "op string, value double")
+
+
 @query("rho_and_p")
 def rho_and_p(spark, sf_dir):
     df, lattice = event_lattice(spark, sf_dir)
@@ -296,6 +330,27 @@ def halo_remove(spark, sf_dir):
     return d.remove_halos(d.share_halos(df, lattice), lattice).select("i", "j", "k", "f", "g")
 
 
+@query("halo_restore")
+def halo_restore(spark, sf_dir):
+    """Blocks with padding that holds nothing."""
+    df, lattice = event_lattice(spark, sf_dir)
+    return DomainDecomposition((2, 2, 1), (1, 0, 2), lattice.shape).restore_halos(df.drop("g"), lattice).select("block", "i", "j", "k", "f")
+
+
+@query("block_numbers")
+def block_numbers(spark, sf_dir):
+    """Every event's block, its coordinates, and the block's neighbours before and behind along each axis."""
+    df, lattice = event_lattice(spark, sf_dir)
+    d = DomainDecomposition((4, 2, 1), 0, lattice.shape)
+    blocks = []
+    for number in range(8):
+        bi, bj, bk = d.rank_tuple(number)
+        blocks.append((number, bi, bj, d.rankID(bi - 1, bj, bk), d.rankID(bi + 1, bj, bk), d.rankID(bi, bj + 1, bk + 1)))
+    named = spark.createDataFrame(blocks, "block int, bi int, bj int, before int, behind int, beside int")
+    cells = d.with_block(df, lattice).groupBy("block").agg(F.count("*").alias("cells"))
+    return cells.join(d.bcast(named), "block").select(*named.columns, "cells")
+
+
 @query("gather_roundtrip")
 def gather_roundtrip(spark, sf_dir):
     df, lattice = event_lattice(spark, sf_dir)
@@ -627,6 +682,13 @@ def lhs_correction(spark, sf_dir):
     return JacobiIterator({f: (_laplacian() - f, rho)}).lhs_correction(df, lattice).select("i", "j", "k", _r("g", 3))
 
 
+@query("cycles")
+def cycles(spark, sf_dir):
+    """The levels of each kind of cycle and the sweeps on them, in order."""
+    rows = [(kind.__name__, depth, n, level, sweeps) for kind in (v_cycle, w_cycle, f_cycle) for depth in (1, 2, 3) for n, (level, sweeps) in enumerate(kind(10, 20, depth))]
+    return spark.createDataFrame(rows, "kind string, depth int, place int, level int, sweeps int")
+
+
 def _cycle(kind) -> Query:
     def run(spark, sf_dir):
         df, lattice = event_lattice(spark, sf_dir)

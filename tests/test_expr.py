@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gridloom.functions import Compare, Const, DynamicField, Field, If, LogicalAnd, Param, call, diff, evaluate, fields_of, index_fields, parameters_of, parse, shift_fields, simplify, substitute
+from gridloom.functions import Compare, Const, DynamicField, Field, If, LogicalAnd, Param, call, diff, evaluate, field_args, field_indices, fields_of, index_fields, loop_domain, parameters_of, parse, shift_fields, simplify, substitute
 
 f, g = Field("f"), Field("g")
 
@@ -28,6 +28,26 @@ def test_shift_leaves_padding():
     assert shift_fields(h * f, (1, 0, 0)).b.shifted() == (1, 0, 0)
 
 
+def test_field_args_infer_shapes():
+    padded = Field("f", offset="h")
+    args = field_args({padded: Field("g", shape=(3, "a"), offset=1)[0, 0] + 1})
+    assert [(a.name, a.shape) for a in args] == [("f", ("Nx+2*h", "Ny+2*h", "Nz+2*h")), ("g", (3, "a", "Nx+2", "Ny+2", "Nz+2"))]
+    args = field_args([f + Field("w", ignore_prepends=True), Field("c", indices=())], (4, 6, 8), prepend_with=(2,))
+    assert [(a.name, a.shape) for a in args] == [("c", (2,)), ("f", (2, 4, 6, 8)), ("w", (4, 6, 8))]
+    # Shifts move the place that is read, not the padding.
+    assert field_args(shift_fields(Field("f", offset=1), (1, 0, 0)), (4, 4, 4))[0].shape == (6, 6, 6)
+    with pytest.raises(ValueError):
+        field_args(Field("h", shape=(2,)) + Field("h", shape=(3,)))
+    with pytest.raises(ValueError):
+        field_args(Field("h", offset=1) * Field("h", offset=2))
+
+
+def test_loop_domain():
+    assert field_indices(f * Field("line", indices=("k",))) == ["i", "j", "k"]
+    assert loop_domain({Field("line", indices=("k",)): 1}) == {"k": (0, "Nk")}
+    assert loop_domain(Param("a")) == {}
+
+
 def test_derivatives_match_differences():
     e = f**3 / g + call("exp", f) * call("sin", g) + call("sqrt", f) - call("log", g) + 2**f + call("tanh", f * g) + If(Compare(f, ">", 1), f**2, f)
     d, eps = diff(e, f), 1e-6

@@ -156,3 +156,17 @@ def test_random_fields(spark):
     flat = r.init_transverse_vector(Projector(fft), ("x", "y", "z"), lambda k: 1 / k)
     div = SpectralCollocator(fft).divergence(flat, ("x", "y", "z"), "d")
     assert abs(D.gather_array(div, lattice, "d")).max() < 1e-10
+
+
+def test_momenta_are_formulas(spark):
+    """Effective momenta equal their tables, and only a callable puts a table into the plan."""
+    from gridloom.operators.stencil import FirstCenteredDifference, SecondCenteredDifference
+
+    fft = DFT(Lattice((4, 6, 8), (1.0, 2.0, 3.0)))
+    modes = fft.grid(spark)
+    for known, table in ((0, lambda k, dx: k), (2, lambda k, dx: FirstCenteredDifference(2).get_eigenvalues(k, dx)), (SecondCenteredDifference(1).get_eigenvalues, lambda k, dx: SecondCenteredDifference(1).get_eigenvalues(k, dx))):
+        for zero in (True, False):
+            formulas = fft.effective(known, zero)
+            assert not any("array(" in str(c) for c in formulas)
+            rows = modes.select(*[c.alias(f"a{n}") for n, c in enumerate(formulas)], *[c.alias(f"b{n}") for n, c in enumerate(fft.effective(table, zero))]).collect()
+            assert len(rows) == 4 * 6 * 5 and all(abs(r[n] - r[n + 3]) < 1e-12 for r in rows for n in range(3))
