@@ -47,11 +47,11 @@ class FullApproximationScheme:
     """Nonlinear multigrid. ``solver`` is a relaxation; fields move between levels by ``Restrictor`` and ``Interpolator``.
 
     A level's state is a DataFrame with unknowns, sources and auxiliary columns. In both transfers the
-    level named is the one that is entered.
+    level named is the one that is entered. Errors cost two passes over a level a visit; without ``log_errors`` none are taken.
     """
 
-    def __init__(self, solver: RelaxationBase, Restrictor: Any = FullWeighting, Interpolator: Any = LinearInterpolation):  # noqa: N803
-        self.solver, self.restrict, self.interpolate = solver, Restrictor(), Interpolator()
+    def __init__(self, solver: RelaxationBase, Restrictor: Any = FullWeighting, Interpolator: Any = LinearInterpolation, *, log_errors: bool = True):  # noqa: N803
+        self.solver, self.restrict, self.interpolate, self.log_errors = solver, Restrictor(), Interpolator(), log_errors
         self.unknowns, self.sources = list(solver.f_to_rho), list(solver.f_to_rho.values())
 
     def setup(self, df: DataFrame, lattice: Lattice, depth: int) -> None:
@@ -79,9 +79,10 @@ class FullApproximationScheme:
 
     def smooth(self, i: int, nu: int, **params: Any) -> list[tuple[int, dict]]:
         """Errors before and after ``nu`` sweeps on a level."""
-        before = self.solver.get_error(self.states[i], self.lattices[i], **params)
+        error = lambda: [(i, self.solver.get_error(self.states[i], self.lattices[i], **params))] if self.log_errors else []
+        before = error()
         self.states[i] = self.solver(self.states[i], self.lattices[i], iterations=nu, **params)
-        return [(i, before), (i, self.solver.get_error(self.states[i], self.lattices[i], **params))]
+        return before + error()
 
     def __call__(self, df: DataFrame, lattice: Lattice, cycle: Cycle | None = None, **params: Any) -> tuple[DataFrame, list[tuple[int, dict]]]:
         """The state after a cycle, V(25, 50) to lattices of 8 cells by default, and the errors along it."""

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from gridloom.functions import Field, Param
+from gridloom.functions import Field, Param, shift_fields
 from gridloom.operators.decomp import DomainDecomposition as D
 from gridloom.operators.lattice import Lattice
 from gridloom.plans.queries import QUERIES
@@ -156,3 +156,50 @@ def test_scalar_energy(spark):
     assert found["total"] == pytest.approx(sum(kinetic) + potential + sum(gradient))
     assert found["pressure"] == pytest.approx(sum(kinetic) - potential - sum(gradient) / 3)
     assert len(TensorPerturbationSector([sector]).rhs_dict) == 12
+
+
+@pytest.mark.parametrize("outer", [(), ("run",)])
+def test_sweeps_by_lines_equal_sweeps_by_cells(spark, outer):
+    """Uneven axes, a nonlinear operator with reads across two axes and two cells, outer keys, and a column that isn't a number."""
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import lines
+
+    lattice = Lattice((2, 4, 6), outer=outer)
+    i, j, k = (F.col(a) for a in "ijk")
+    df = lattice.grid(spark).select("i", "j", "k", F.sin(i + 2 * j + 3 * k).alias("f"), (i * j - k).cast("int").alias("g"), F.concat(F.lit("c"), k).alias("label"))
+    if outer:
+        df = df.crossJoin(spark.range(2).withColumnRenamed("id", "run")).withColumn("f", F.col("f") + F.col("run"))
+    f, g = Field("f"), Field("g")
+    lhs = shift_fields(f, (1, 0, 0)) + shift_fields(f, (-1, 0, 0)) + shift_fields(f, (0, 1, -1)) + shift_fields(f, (0, 0, 2)) * 0.5 - 6 * f - f**3
+    solver = NewtonIterator({f: (lhs, g)}, omega=0.5, halo_shape=2)
+    assert lines.fits({"f": lhs}, {"omega": 0.5}) and not lines.fits({"f": f + Field("c", indices=())}, {}) and not lines.fits({"f": f}, {"a": F.lit(1)})
+    found = solver(df, lattice, iterations=2)
+    assert found.columns == df.columns and [t for _, t in found.dtypes] == [t for _, t in df.dtypes]
+    cells = solver.sweep(solver.sweep(df, lattice), lattice)
+    key = lambda r: tuple(r[c] for c in lattice.keys)
+    wanted = {key(r): r for r in cells.collect()}
+    rows = found.collect()
+    assert len(rows) == len(wanted) == lattice.cells * (2 if outer else 1)
+    for r in rows:
+        assert r.f == pytest.approx(wanted[key(r)].f, rel=1e-12, abs=1e-12) and (r.g, r.label) == (wanted[key(r)].g, f"c{r.k}")
+
+
+def test_lines_without_a_cell_raise(spark):
+    from gridloom.operators import lines
+
+    lattice = Lattice((2, 2, 4))
+    holed = lattice.grid(spark).where("not (i = 1 and j = 1 and k = 2)").selectExpr("i", "j", "k", "1.0d as f")
+    with pytest.raises(Exception, match="reshape"):
+        lines.sweep(lines.pack(holed, lattice), lattice, {"f": Field("f") * 2}, {}).collect()
+
+
+def test_cycle_without_errors(spark):
+    lattice = Lattice((4, 4, 4))
+    df = lattice.grid(spark).selectExpr("i", "j", "k", "0.0d as f", "cos(i) as g")
+    f = Field("f")
+    lap = sum((shift_fields(f, tuple(s * (a == n) for n in range(3))) for a in range(3) for s in (1, -1)), -6 * f)
+    kinds = [MultiGridSolver(JacobiIterator({f: (lap / Param("dx") ** 2 - f, Field("g"))}, omega=0.75), log_errors=log) for log in (True, False)]
+    (a, errors), (b, none) = (kind(df, lattice, v_cycle(2, 2, 1)) for kind in kinds)
+    assert len(errors) == 6 and none == []
+    assert {(r.i, r.j, r.k): round(r.f, 9) for r in a.collect()} == {(r.i, r.j, r.k): round(r.f, 9) for r in b.collect()}
