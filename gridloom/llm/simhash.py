@@ -144,14 +144,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mark(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by Jaccard similarity. Copies that share 0.8 of their shingles differ in 5 to 16
-# of 64 SimHash bits, where no segment need agree, and a repeated line moves the SimHash at will;
-# buckets of MinHash bands find them, sketches prune pairs in a bucket, and shingle sets decide.
-# Members of large buckets are compared by the rarest of their shingles instead, which finds every link among them.
+# Near-duplicates by Jaccard similarity. Texts whose SimHashes reach each other through pigeonring links, as in
+# ``mark``, meet in a bucket, and shingle sets decide on every pair in it. Most copies that share 0.8 of their shingles
+# differ in 5 to 16 of 64 bits, where no segment need agree, and a repeated line moves the SimHash at will;
+# for those there are buckets of MinHash bands as well, in which sketches prune pairs before the sets decide.
+# Members of large buckets of either kind are compared by the rarest of their shingles instead, which finds every link among them.
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Members of a bucket of bands that are compared with each other; those of larger ones meet by their rarest shingles.
+#: Members of a bucket that are compared with each other; those of larger ones meet by their rarest shingles.
 MOST_MET = 16
 BAND_BINS = 128
 #: Pairs whose sketches estimate a similarity this far below SIMILARITY, four standard deviations, are dropped unseen.
@@ -196,6 +197,16 @@ def _check(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.lit("check"), F.col(text), F.col(doc_id))
 
 
+def _reached(prints: DataFrame) -> DataFrame:
+    """(node, key): the component of SimHash links that each node of (node, fp) is in."""
+    return mark(prints.select(F.col("node").alias("doc_id"), "fp")).select(F.col("doc_id").alias("node"), F.col("component_id").alias("key"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, node, n): the rows of (node, key) whose bucket has n members, two or more."""
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").select("key", "node", "n")
+
+
 def _close(met: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of a bucket of up to MOST_MET members."""
     few = met.where(F.col("n") <= MOST_MET).groupBy("key").agg(F.collect_list("node").alias("all"))
@@ -263,8 +274,8 @@ def _open_pairs(rarest: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[Da
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The groups (node, check, doc_id, component_id, first) of two documents or more whose links reach each other, and the nodes of repeated rows.
 
-    A link is a pair that meets in a bucket of bands and whose sets of five-word shingles, A-Z in lower case, have a Jaccard
-    similarity of SIMILARITY or more. node and check are hashes of doc_id and text, so rows that repeat both are one document; the second
+    A link is a pair that meets in a component of SimHash links or a bucket of bands and whose sets of five-word shingles, A-Z in
+    lower case, have a Jaccard similarity of SIMILARITY or more. node and check are hashes of doc_id and text, so rows that repeat both are one document; the second
     table has (node, check) of those with more than one row. component_id is the smallest doc_id of the group, null if all are null;
     ``first`` marks the one document with it, of equal ids that with the least node. Texts without words have no links.
     """
@@ -277,8 +288,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 hashes, owner = _shingle_sets(Texts.arrow(part.column("text")))
                 some = np.bincount(owner, minlength=n) > 0
                 keys, low = _bands(hashes, owner, n)
-                columns = [part.column("node"), part.column("check"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
-                out = pa.RecordBatch.from_arrays(columns, ["node", "check", "keys", "low"])
+                prints = [fingerprint(x.as_buffer().to_pybytes(), 3) for x in part.column("text").cast(pa.binary())]
+                columns = [part.column("node"), part.column("check"), pa.array(prints, pa.int64()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())]
+                out = pa.RecordBatch.from_arrays(columns, ["node", "check", "fp", "keys", "low"])
                 yield out.filter(pa.array(some))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,16 +317,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 alike.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
 
-    prints = materialise(map_arrow(base, sketch, "node bigint, check bigint, keys array<bigint>, low binary"), "sketches")
+    prints = materialise(map_arrow(base, sketch, "node bigint, check bigint, fp bigint, keys array<bigint>, low binary"), "sketches")
     twins = materialise(prints.groupBy("node", "check").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node", "check"), "twins", small=True)
     one = prints.dropDuplicates(["node"]) if not twins.isEmpty() else prints
+    reached = materialise(_shared(_reached(one)), "reached", small=True)
     low = one.select("node", "low")
     rows = one.select("node", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(rows.join(sizes, "key"), "bands", small=True)
-    many = met.where(F.col("n") > MOST_MET).select("node").distinct()
+    met = materialise(_shared(rows), "bands", small=True)
+    many = met.unionByName(reached).where(F.col("n") > MOST_MET).select("node").distinct()
     close = _close(met).join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
-    pairs = materialise(map_arrow(close, likely, "a bigint, b bigint"), "pairs", small=True)
+    pairs = materialise(map_arrow(close, likely, "a bigint, b bigint").unionByName(_close(reached)).distinct(), "pairs", small=True)
     release(prints)
     nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many).distinct(), "nodes", small=True)
     # Only texts that the bitmap hits are shingled and shuffled.
@@ -327,7 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return map_arrow(joined, verify, "a bigint, b bigint")
 
     rarest = materialise(_rarest(found.join(many, "node", "left_semi")), "rarest", small=True)
-    release(met, nodes)
+    release(met, reached, nodes)
     roots = materialise(connected(linked(pairs.unionByName(_hub_pairs(rarest)).distinct())), "roots", small=True)
     open_pairs, read = _open_pairs(rarest, roots)
     more = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(open_pairs)))

@@ -196,6 +196,23 @@ def test_near_copies_with_a_repeated_line_are_linked(spark, repeats):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(0, 80, 2))
 
 
+@pytest.mark.parametrize("met", [1, 16])
+def test_simhash_links_near_copies_that_no_band_holds(spark, monkeypatch, met):
+    """Pairs whose bands have no key in common, and a pair of equal fingerprints whose shingle sets differ."""
+    monkeypatch.setattr(simhash, "MOST_MET", met)
+    texts = []
+    for s in (289, 1229, 2644):
+        words, line = [f"p{s}w{n}" for n in range(66)], " ".join(f"p{s}line{n}" for n in range(11))
+        texts += [" ".join(words[:51]) + f" {line}" * 200, " ".join(words[:51]) + f" {line}" * 200 + " " + " ".join(words[51:])]
+    keys, _ = simhash._bands(*simhash._shingle_sets(simhash.Texts.of([t.encode() for t in texts])), len(texts))
+    assert not (keys[0::2] == keys[1::2]).any()
+    assert all(jaccard(*texts[n : n + 2]) >= 0.8 for n in (0, 2, 4))
+    texts += ["again " * 3, "again " * 9]
+    assert simhash.fingerprint(texts[6].encode(), 3) == simhash.fingerprint(texts[7].encode(), 3)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 4, 6, 7]
+
+
 def test_near_duplicate_stage_keeps_odd_rows(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
